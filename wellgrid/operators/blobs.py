@@ -224,6 +224,15 @@ def drop_border_labels(df: DataFrame, labels: str = "labels", out: str | None =
     return df.withColumn(out or labels, F.pandas_udf(run, "binary")(labels, "h", "w"))
 
 
+def _relabel(img: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Replace labels ``old`` by ``new``; any other label becomes 0."""
+    if len(old) == 0:
+        return np.zeros(img.shape, "<u4")
+    order = np.argsort(old)
+    at = np.minimum(np.searchsorted(old[order], img), len(old) - 1)
+    return np.where(old[order][at] == img, new[order][at], 0).astype("<u4")
+
+
 def match_labels(df: DataFrame, nucleus: str = "nucleus", cell: str = "cell_labels") -> DataFrame:
     """Pair each nucleus with the cell under its centroid and renumber pairs 1..N by nucleus label.
 
@@ -240,15 +249,8 @@ def match_labels(df: DataFrame, nucleus: str = "nucleus", cell: str = "cell_labe
             hit = np.nonzero(under > 0)[0]
             first = np.sort(hit[np.unique(under[hit], return_index=True)[1]])
             pair_n, pair_c = ids[first], under[first]
-            renumber = lambda img, old: np.where(np.isin(img, old), np.searchsorted(np.sort(old), img), 0)
-            new_n = np.zeros(nuc.shape, "<u4")
-            new_c = np.zeros(cyt.shape, "<u4")
-            if len(pair_n):
-                rank_c = np.argsort(pair_c) + 1
-                where = np.minimum(renumber(nuc, pair_n), len(pair_n) - 1)
-                new_n = np.where(np.isin(nuc, pair_n), where + 1, 0).astype("<u4")
-                where = np.minimum(renumber(cyt, pair_c), len(pair_c) - 1)
-                new_c = np.where(np.isin(cyt, pair_c), rank_c[where], 0).astype("<u4")
+            new_id = np.arange(1, len(first) + 1)
+            new_n, new_c = _relabel(nuc, pair_n, new_id), _relabel(cyt, pair_c, new_id)
             rows.append((new_n.tobytes(), new_c.tobytes(), pair_n.astype(np.int64), pair_c.astype(np.int64)))
         return pd.DataFrame(rows, columns=["nucleus", "cell", "nucleus_ids", "cell_ids"])
 

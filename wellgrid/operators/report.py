@@ -23,8 +23,8 @@ def coverage_histogram(per_key: DataFrame, n: str) -> DataFrame:
 
 def top_tokens(df: DataFrame, col: str, separator: str, n: int = 20) -> DataFrame:
     """Most frequent trimmed parts of a delimited column (ties by token)."""
-    token = F.trim(F.explode(F.split(col, separator))).alias("token")
-    counts = df.where(F.col(col).isNotNull()).select(token).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    parts = df.select(F.explode(F.split(col, separator)).alias("token")).select(F.trim("token").alias("token"))
+    counts = parts.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), "token").limit(n)
 
 
