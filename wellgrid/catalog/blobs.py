@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def ingest_once(spark, d):
     """Two runs of the incremental job store every event exactly once."""
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    out, state = (f"{base}/ingest-{k}-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark._jvm.java.util.UUID.randomUUID()}" for k in ("out", "state"))
+    out, state = (f"{base}/ingest-{uuid.uuid4().hex}-{part}" for part in ("out", "state"))
     schema = table(spark, d, "events").schema
     for _ in range(2):
         ingest.ingest_once(ingest.file_stream(spark, d, schema, "events.parquet"), out, state, ["event_id"])

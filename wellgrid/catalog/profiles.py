@@ -29,11 +29,11 @@ PICK = "CASE pos WHEN 0 THEN nuc_area WHEN 1 THEN cyto_area ELSE nuc_cyto_ratio
 
 
 @query(f"""WITH {CELL}, g AS (SELECT source, plate, well, count(*) AS n_cells, arg_min(inchikey, row_key) FILTER (inchikey IS NOT NULL) AS inchikey FROM v_cell GROUP BY ALL),
-m AS (SELECT source, plate, well, pos, round(avg({PICK}), 4) AS value FROM v_cell, {FIELDS_SQL} GROUP BY ALL)
+m AS (SELECT source, plate, well, pos, round(avg({PICK}), 8) AS value FROM v_cell, {FIELDS_SQL} GROUP BY ALL)
 SELECT source, plate, well, n_cells, inchikey, CAST(pos AS BIGINT) AS pos, value FROM g JOIN m USING (source, plate, well)""")
 def well_mean(spark, d):
     wells = pooling.well_mean(_cell_vec(spark, d), ["source", "plate", "well"], "vec", ["inchikey"], order=["row_key"])
-    return _tidy(wells, ["source", "plate", "well", "n_cells", "inchikey"], "vec", 4)
+    return _tidy(wells, ["source", "plate", "well", "n_cells", "inchikey"], "vec", 8)
 
 
 @query(f"""WITH {CELL} SELECT source, plate, well, CAST(pos AS BIGINT) AS pos, round(median({PICK}), 6) AS value FROM v_cell, {FIELDS_SQL} GROUP BY ALL""")
@@ -279,7 +279,7 @@ sh AS (SELECT own, qb AS b, count(DISTINCT id) AS nbatch FROM dd GROUP BY ALL),
 nn AS (SELECT id, own, gb, row_number() OVER (PARTITION BY id ORDER BY round(d, 10), gid) AS rk FROM (SELECT q.id, q.perturbation AS own, g.batch AS gb, g.id AS gid,
   sqrt(list_sum(list_transform(list_zip(q.vec, g.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v_vec q JOIN v_vec g ON q.perturbation = g.perturbation AND q.id <> g.id)),
 o AS (SELECT nn.id, nn.own, kk.k, kk.nb, kk.total, gb, count(*) AS o FROM nn JOIN kk ON nn.own = kk.own WHERE rk <= kk.k GROUP BY ALL),
-x AS (SELECT o.id, o.own, o.k, o.nb, sum(o.o * o.o / (o.k * sh.nbatch / o.total)) - o.k AS x2 FROM o JOIN sh ON sh.own = o.own AND sh.b = o.gb GROUP BY ALL)
+x AS (SELECT o.id, o.own, any_value(o.k) AS k, sum(o.o * o.o / (o.k * sh.nbatch / o.total)) - any_value(o.k) AS x2 FROM o JOIN sh ON sh.own = o.own AND sh.b = o.gb GROUP BY o.id, o.own)
 SELECT own AS perturbation, CAST(max(k) AS BIGINT) AS k, count(*) AS n, round(avg(CASE WHEN exp(-x2 / 2) * (1 + x2 / 2) >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS kbet FROM x GROUP BY own""")
 def kbet_per_label(spark, d):
     out = integration.kbet_per_label(v_vec(spark, d), "id", "vec", "perturbation", "batch", DIM)
