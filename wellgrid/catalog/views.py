@@ -41,7 +41,7 @@ def v_cell(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws(
             "__", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
             F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), F.col("l_shipdate").cast("date").cast("string"),
+            (F.col("l_extendedprice") * 100 + 0.5).cast("bigint").cast("string"), F.unix_date(F.col("l_shipdate").cast("date")).cast("string"),
         ).alias("row_key"),
     )
 
@@ -53,8 +53,8 @@ CELL = """v_cell AS (
          l_quantity AS nuc_area, l_extendedprice AS cyto_area, l_discount AS nuc_cyto_ratio,
          p_brand = 'Brand#1' AS is_control,
          concat_ws('__', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-           CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
-           CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS row_key
+           CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS VARCHAR),
+           CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR)) AS row_key
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 

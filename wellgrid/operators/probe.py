@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FAMILIES
-from ..plans.linalg import correlation, moments
+from ..plans.linalg import gram
 from ..plans.quantiles import exact_quantiles
 
 ALPHA = 1.0  # fixed values
@@ -42,23 +44,26 @@ class RidgeModel:
 def ridge_fit(train: DataFrame, x: str, y: str, alpha: float = ALPHA, min_var: float = MIN_VAR) -> RidgeModel:
     """Multi-output ridge on standardised inputs with an unpenalised intercept.
 
-    Inputs and outputs are stacked into one vector; a JVM aggregate gives their joint
-    correlation and moments. What reaches the driver is (inputs+outputs)² numbers, never rows.
+    One job for the moments of inputs and outputs, one for the centred products XᵀX and XᵀY.
+    The driver solves a system of the input dimension; no row leaves the executors.
     """
-    both = train.select(F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("xy"), F.size(x).alias("d"))
-    d = both.select("d").first()[0]
-    n, mean, var = moments(both, "xy")
-    corr = correlation(both, "xy")
-    std = np.sqrt(np.maximum(var, 0.0))
+    both = F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))
+    n, mean, var, d = _joint_moments(train.select(both.alias("xy"), F.size(x).alias("d")))
     kept = np.nonzero(var[d:] > min_var)[0]
-    sx = np.where(std[:d] > 0, std[:d], 1.0)
-    constant = std[:d] <= 0
-    xx = corr[:d, :d].copy()
-    xx[constant, :] = 0.0
-    xx[:, constant] = 0.0
-    xy = corr[:d, d:][:, kept] * std[d:][kept]
-    coef = np.linalg.solve(n * xx + alpha * np.eye(d), n * xy)
-    return RidgeModel(mean[:d], sx, coef, mean[d:][kept], kept)
+    std = np.sqrt(np.maximum(var[:d], 0.0))
+    scale = np.where(std > 0, std, 1.0)
+    stacked = train.select(F.col(x).alias("l"), both.alias("r"))
+    products = gram(stacked, "l", "r", mean[:d], mean) / scale[:, None]
+    coef = np.linalg.solve(products[:, :d] / scale + alpha * np.eye(d), products[:, d:][:, kept])
+    return RidgeModel(mean[:d], scale, coef, mean[d:][kept], kept)
+
+
+def _joint_moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray, int]:
+    row = df.agg(
+        Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("xy")).alias("s"), F.max("d").alias("d")
+    ).select("s.*", "d").first()
+    n = int(row["count"])
+    return n, row["mean"].toArray(), row["variance"].toArray() * max(n - 1, 0) / max(n, 1), int(row["d"])
 
 
 def ridge_scores(df: DataFrame, x: str, y: str, train: Column, test: Column, alpha: float = ALPHA) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import check_quantiles
 from ..functions.vectors import finite_or_null
 from ..plans.joins import salted_join
-from ..plans.quantiles import exact_quantiles, medians
+from ..plans.quantiles import SMALL_GROUP, exact_quantiles, medians
+from ..plans.sizing import largest_group
 
 MAD_SCALE = 1.4826  # fixed values: robust scaling constants
 MAD_MIN_CONTROLS = 5
@@ -79,24 +80,35 @@ def clean_nonfinite(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.withColumns({f: finite_or_null(F.col(f).cast("double")) for f in fields})
 
 
-def robust_scale(tidy_df: DataFrame, plate: Sequence[str], unique: Sequence[str], is_control: Column, min_controls: int = MAD_MIN_CONTROLS, clip: float = MAD_CLIP, **kw) -> DataFrame:
+def robust_scale(tidy_df: DataFrame, plate: Sequence[str], unique: Sequence[str], is_control: Column, min_controls: int = MAD_MIN_CONTROLS, clip: float = MAD_CLIP, small_group: int = SMALL_GROUP) -> DataFrame:
     """Per plate and feature: ``(x - median) / (1.4826·MAD)`` clipped to ±clip.
 
     Reference rows are the plate's controls, or the whole plate when it has fewer than
     ``min_controls``. A zero MAD scales by 1. Input is ``plate…, unique…, feature, value`` plus
     whatever ``is_control`` reads.
+
+    When the largest plate fits a task (checked), both medians are window aggregates over one
+    shuffle. Otherwise the medians come from the bracketed quantile plan and are joined back.
     """
     keys = [*plate, "feature"]
-    src = tidy_df.withColumn("__ctrl", F.coalesce(is_control, F.lit(False)))
-    n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
-    ref = salted_join(src, n_ctrl, keys).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, "value")
-    med = medians(ref, keys, "value", "__med", **kw)
-    dev = salted_join(ref, med, keys, spread_by=["value"]).select(*keys, F.abs(F.col("value") - F.col("__med")).alias("__dev"))
-    mad = medians(dev, keys, "__dev", "__mad", **kw)
+    ctrl = F.coalesce(is_control, F.lit(False))
+    src = tidy_df.withColumns({"__ctrl": ctrl, "value": F.nanvl(F.col("value").cast("double"), F.lit(None))})
+    if largest_group(tidy_df, keys) <= small_group:
+        w = Window.partitionBy(*keys)
+        is_ref = F.col("__ctrl") | (F.col("__nc") < min_controls)
+        out = src.withColumn("__nc", F.count_if("__ctrl").over(w))
+        out = out.withColumn("__med", F.median(F.when(is_ref, F.col("value"))).over(w))
+        out = out.withColumn("__mad", F.median(F.when(is_ref, F.abs(F.col("value") - F.col("__med")))).over(w))
+    else:
+        n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
+        ref = salted_join(src, n_ctrl, keys).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, "value")
+        med = medians(ref, keys, "value", "__med", bounded=False)
+        dev = salted_join(ref, med, keys, spread_by=["value"]).select(*keys, F.abs(F.col("value") - F.col("__med")).alias("__dev"))
+        mad = medians(dev, keys, "__dev", "__mad", bounded=False)
+        out = salted_join(src, med.join(mad, keys), keys, "left", spread_by=unique)
     scale = F.when(F.col("__mad") > 0, F.col("__mad") * MAD_SCALE).otherwise(1.0)
-    out = salted_join(tidy_df, med.join(mad, keys), keys, "left", spread_by=unique)
     z = (F.col("value") - F.col("__med")) / scale
-    return out.withColumn("scaled", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).drop("__med", "__mad")
+    return out.withColumn("scaled", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).select(*tidy_df.columns, "scaled")
 
 
 def feature_audit(tidy_df: DataFrame, max_missing: float = MAX_MISSING, min_std: float = MIN_STD) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
 from ..plans.blocks import _arrow_schema, chunks, grid, matrix, similarity, values
+from ..plans.durable import checkpoint
 from ..plans.joins import salted_join
 
 NULL_SIZE = 10_000  # fixed values
@@ -206,8 +207,10 @@ def significance(ap: DataFrame, perturbation: str, null_size: int = NULL_SIZE, s
     """mAP with permutation p-value, BH-corrected p-value and flags.
 
     The null of a perturbation is the mean of its queries' nulls: a weighted mean over the
-    distinct list shapes, taken as one vector aggregate.
+    distinct list shapes, taken as one vector aggregate. The AP table is used twice, so it is
+    written to the checkpoint folder first.
     """
+    ap = checkpoint(ap)
     scored = ap.where(F.col("ap").isNotNull())
     shapes = scored.groupBy(perturbation, "n_pos", "n_neg").agg(F.count(F.lit(1)).alias("w"))
     nulls = null_distributions(shapes, null_size, seed)

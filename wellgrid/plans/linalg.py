@@ -1,17 +1,19 @@
 """Moments of a vector column and application of a d×d matrix.
 
 Only matrices whose size depends on the number of features (d×d) reach the driver; ``MAX_DIM``
-bounds them. Moments are JVM aggregates with map-side partial sums.
+bounds them. Means and variances are JVM aggregates with map-side partial sums; products are
+centred first, so large offsets cost no precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +37,62 @@ def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, var * (n - 1) / n if n > 1 else np.zeros_like(var)
 
 
-def correlation(df: DataFrame, vec: str) -> np.ndarray:
-    """Pearson matrix; a constant feature correlates 0 with all others and 1 with itself."""
-    prepared = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    m = Correlation.corr(prepared, "v").first()[0].toArray()
-    if m.shape[0] > MAX_DIM:
-        raise ValueError(f"{m.shape[0]} features exceed the bound of {MAX_DIM}")
-    m = np.nan_to_num(m, nan=0.0)
-    np.fill_diagonal(m, 1.0)
-    return m
+def table_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pd.DataFrame], np.ndarray], length: int) -> np.ndarray:
+    """Sum over all rows of ``fn(batch) -> 1-d array`` of fixed length.
+
+    Each task adds up its batches and emits one array; arrays are summed in two levels in the
+    JVM. Tasks are merged down to twice the core count first, so the number of partial arrays
+    follows the cluster, not the data.
+    """
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                v = fn(pdf)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"v": [total]})
+
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(*cols).coalesce(tasks).mapInPandas(partial, "v array<double>")
+    spread = max(1, math.isqrt(tasks))
+    mid = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(spread)).alias("g")).agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    row = mid.agg(Summarizer.sum(F.col("v")).alias("v")).first()
+    return np.zeros(length) if row is None or row.v is None else row.v.toArray()
+
+
+def gram(df: DataFrame, left: str, right: str, left_mean: np.ndarray, right_mean: np.ndarray) -> np.ndarray:
+    """Σ (l - mean)ᵀ(r - mean), as one matrix product per Arrow batch."""
+    shape = (len(left_mean), len(right_mean))
+    if max(shape) > MAX_DIM:
+        raise ValueError(f"{max(shape)} features exceed the bound of {MAX_DIM}")
+    bc = df.sparkSession.sparkContext.broadcast((left_mean, right_mean))
+
+    def product(pdf: pd.DataFrame) -> np.ndarray:
+        lm, rm = bc.value
+        a = np.stack(pdf["l"].to_numpy()).astype(np.float64) - lm
+        b = a if left == right else np.stack(pdf["r"].to_numpy()).astype(np.float64) - rm
+        return (a.T @ b).ravel()
+
+    cols = [F.col(left).cast("array<double>").alias("l")] + ([] if left == right else [F.col(right).cast("array<double>").alias("r")])
+    return table_sums(df.select(*cols), ["*"], product, shape[0] * shape[1]).reshape(shape)
 
 
 def covariance(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, mean, population covariance)."""
-    n, mean, var = moments(df, vec)
-    std = np.sqrt(np.maximum(var, 0.0))
-    return n, mean, correlation(df, vec) * np.outer(std, std)
+    n, mean, _ = moments(df, vec)
+    return n, mean, gram(df, vec, vec, mean, mean) / n
+
+
+def correlation(df: DataFrame, vec: str) -> np.ndarray:
+    """Pearson matrix; a constant feature correlates 0 with all others and 1 with itself."""
+    _, _, cov = covariance(df, vec)
+    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    safe = np.where(std > 0, std, 1.0)
+    r = cov / np.outer(safe, safe)
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def apply_affine(df: DataFrame, vec: str, weight: np.ndarray, center: np.ndarray, out: str, offset: np.ndarray | None = None) -> DataFrame:
