@@ -16,29 +16,44 @@ from ..plans.ranking import first_per_key
 # -- whitelist selection ------------------------------------------------------------
 
 
-def _matches(meta: DataFrame, samples: DataFrame, fields: Sequence[str]) -> Column:
-    """All filled fields of a whitelist entry agree; an empty field is a wildcard."""
-    tests = [
-        samples[f].isNull() | (samples[f].cast("string") == meta[f].cast("string")) for f in fields
-    ]
-    return reduce(lambda a, b: a & b, tests)
+def _patterns(samples: DataFrame, fields: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+    """Whitelist entries by which fields they fill: at most 2^fields parts, usually two or three."""
+    filled = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    tagged = samples.withColumn("__f", filled)
+    kinds = [list(r[0]) for r in tagged.select("__f").distinct().collect()]
+    text = {f: F.col(f).cast("string") for f in fields}
+    same = lambda kind: F.col("__f") == (F.array(*[F.lit(k) for k in kind]) if kind else F.array().cast("array<string>"))
+    return [(kind, tagged.where(same(kind)).drop("__f").withColumns(text)) for kind in sorted(kinds)]
 
 
 def select_samples(meta: DataFrame, samples: DataFrame, fields: Sequence[str], well_key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows matching any whitelist entry, one row per well key (first by ``order``).
 
-    The whitelist comes from a config file, so it is small; its size is left to Spark's
-    broadcast threshold rather than forced.
+    An entry matches when its filled fields agree as text; empty fields are wildcards. Entries
+    are grouped by their filled fields, so each group is one equality semi-join and a whitelist
+    of any length works. Reads the distinct field patterns of the whitelist (one small job).
     """
     require_columns(meta, [*fields, *well_key])
-    hit = meta.join(samples, _matches(meta, samples, fields), "left_semi")
+    parts = []
+    for kind, entries in _patterns(samples, fields):
+        if not kind:
+            parts.append(meta)
+            continue
+        keyed = meta.withColumns({f"__{f}": F.col(f).cast("string") for f in kind})
+        want = entries.select(*[F.col(f).alias(f"__{f}") for f in kind])
+        parts.append(skew_safe_semi(keyed, want, [f"__{f}" for f in kind]).select(*meta.columns))
+    hit = reduce(lambda a, b: a.unionByName(b), parts)
     return first_per_key(hit, well_key, [*order])
 
 
 def unmatched_samples(meta: DataFrame, samples: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Whitelist entries that match no row (compared against the distinct field values)."""
-    known = meta.select(*fields).distinct()
-    return samples.join(known, _matches(known, samples, fields), "left_anti")
+    """Whitelist entries that match no row."""
+    parts = []
+    for kind, entries in _patterns(samples, fields):
+        if kind:
+            known = meta.select(*[F.col(f).cast("string").alias(f) for f in kind]).distinct()
+            parts.append(entries.join(known, kind, "left_anti").select(*samples.columns))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else samples.limit(0)
 
 
 def of_type(df: DataFrame, col: str, *wanted: str) -> DataFrame:

@@ -94,19 +94,17 @@ def metric_summary(df: DataFrame, metric: str, family: str, prefix: str, familie
     """One row: n, median, quartiles, shares above 0 / 0.1 / 0.3 and the median per family."""
     x = F.col(metric).cast("double")
     ok = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).select(x.alias("x"), F.col(family).alias("fam"))
-    q = exact_quantiles(ok, [], "x", [0.25, 0.5, 0.75]).withColumn("__k", F.lit(0))
+    q = exact_quantiles(ok, [], "x", [0.25, 0.5, 0.75]).scalar()
     share = lambda t: F.avg((F.col("x") > t).cast("double"))
     counts = ok.agg(
         F.count(F.lit(1)).alias(f"{prefix}_n"), share(0).alias(f"{prefix}_frac_gt_0"),
         share(0.1).alias(f"{prefix}_frac_gt_0p1"), share(0.3).alias(f"{prefix}_frac_gt_0p3"),
-    ).withColumn("__k", F.lit(0))
-    per = exact_quantiles(ok, ["fam"], "x", [0.5]).agg(
-        *[F.max(F.when(F.col("fam") == f, F.col("q")[0])).alias(f"{prefix}_{f.lower()}") for f in families]
-    ).withColumn("__k", F.lit(0))
-    one = counts.join(F.broadcast(q), "__k").join(F.broadcast(per), "__k")  # one row each
-    return one.select(
-        f"{prefix}_n", F.col("q")[1].alias(f"{prefix}_median"), F.col("q")[0].alias(f"{prefix}_iqr_lo"), F.col("q")[2].alias(f"{prefix}_iqr_hi"),
-        f"{prefix}_frac_gt_0", f"{prefix}_frac_gt_0p1", f"{prefix}_frac_gt_0p3", *[f"{prefix}_{f.lower()}" for f in families],
+    )
+    per = exact_quantiles(ok, ["fam"], "x", [0.5])
+    family = {f: per.agg(F.max(F.when(F.col("fam") == f, F.col("q")[0]))).scalar().alias(f"{prefix}_{f.lower()}") for f in families}
+    return counts.select(
+        f"{prefix}_n", q[1].alias(f"{prefix}_median"), q[0].alias(f"{prefix}_iqr_lo"), q[2].alias(f"{prefix}_iqr_hi"),
+        f"{prefix}_frac_gt_0", f"{prefix}_frac_gt_0p1", f"{prefix}_frac_gt_0p3", *family.values(),
     )
 
 

@@ -67,13 +67,13 @@ def quality_filter(df: DataFrame, fields: Sequence[str], low: float, high: float
 
 def scaled_count(df: DataFrame, count: str, out: str = "n_cells_scaled", keys: Sequence[str] = ()) -> DataFrame:
     """Min-max scaling to 0..255 over the whole table (or per key)."""
-    keys = list(keys)
-    base = df if keys else df.withColumn("__k", F.lit(0))
-    on = keys or ["__k"]
-    span = base.groupBy(*on).agg(F.min(count).alias("__lo"), F.max(count).alias("__hi"))
-    joined = salted_join(base, span, on, "left")
+    lo, hi = F.min(count), F.max(count)
+    if keys:
+        src = salted_join(df, df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi")), keys, "left")
+    else:
+        src = df.withColumns({"__lo": df.agg(lo).scalar(), "__hi": df.agg(hi).scalar()})
     x = (F.col(count) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)) * 255.0
-    return joined.withColumn(out, F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0))).drop("__lo", "__hi", "__k")
+    return src.withColumn(out, F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0))).drop("__lo", "__hi")
 
 
 def clean_nonfinite(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -83,8 +84,8 @@ def average_precision(
     id_type = df.schema[id_col].dataType
 
     # positives: the query's similarity to every replicate on another plate
-    sizes = treated.where(F.col("pert").isNotNull()).groupBy("pert").agg(F.ceil(F.count(F.lit(1)) / BAND_ROWS).cast("int").alias("bands"))
-    banded = salted_join(treated.where(F.col("pert").isNotNull()), sizes, ["pert"], spread_by=["id"])
+    replicates = treated.where(F.col("pert").isNotNull())
+    n_reps = replicates.groupBy("pert").agg(F.count(F.lit(1)).alias("nq")).withColumn("ng", F.col("nq"))
     pos_type = T.StructType([
         T.StructField("id", id_type), T.StructField("band", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType())),
     ])
@@ -93,7 +94,7 @@ def average_precision(
     def positives(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return pos_schema.empty_table()
-        qm, gm, bands = matrix(left), matrix(right), int(values(left, "bands")[0])
+        qm, gm, bands = matrix(left), matrix(right), -(-int(values(left, "__nq")[0]) // BAND_ROWS)
         tests = [_same(left, right, [c]) for c in plate]
         own_q, own_g = _same(left, right, ["id"])
         parts = []
@@ -113,7 +114,7 @@ def average_precision(
             parts.append(pa.Table.from_arrays([ids.combine_chunks(), pa.array(used % bands), lists], names=pos_schema.names).cast(pos_schema))
         return pa.concat_tables(parts)
 
-    cells = grid(banded, banded, ["pert"], "id", "id", dim, positives, pos_type, lane_rows)
+    cells = grid(replicates, replicates, ["pert"], "id", "id", dim, positives, pos_type, lane_rows, sizes=n_reps)
     per_band = cells.groupBy("id", "band").agg(F.sort_array(F.flatten(F.collect_list("s")), asc=False).alias("s"))
     ahead = Window.partitionBy("id").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("id")
@@ -124,43 +125,45 @@ def average_precision(
 
     # negatives: how many wells of the plate beat each positive
     asked = ranked.join(treated.select("id", *plate, "vec"), "id")
-    pool = wells.where(F.col("ctrl")) if negatives == "controls" else wells
+    rival = F.col("ctrl") if negatives == "controls" else F.lit(True)
+    on_plate = wells.groupBy(*plate).agg(F.count_if(~F.col("ctrl")).alias("nq"), F.count_if(rival).alias("ng"))
     neg_type = T.StructType([
-        T.StructField("id", id_type), T.StructField("band", T.IntegerType()),
-        T.StructField("beats", T.ArrayType(T.DoubleType())), T.StructField("n_neg", T.LongType()),
+        T.StructField("id", id_type), T.StructField("band", T.IntegerType()), T.StructField("offset", T.LongType()),
+        T.StructField("n_pos", T.LongType()), T.StructField("beats", T.ArrayType(T.DoubleType())), T.StructField("n_neg", T.LongType()),
     ])
     neg_schema = _arrow_schema(neg_type)
 
     def count_above(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
+        if left.num_rows == 0:
             return neg_schema.empty_table()
-        qm, gm = matrix(left), matrix(right)
+        qm = matrix(left)
+        gm = matrix(right) if right.num_rows else np.empty((0, qm.shape[1]))
         own_q, own_g = _same(left, right, ["id"])
-        pos = left.column("s").to_pylist()
-        beats, totals = [], []
+        pos = left.column("s").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pos).to_numpy(zero_copy_only=False))])
+        flat = pos.flatten().to_numpy(zero_copy_only=False)
+        beats, totals = np.empty(len(flat)), np.empty(len(qm), dtype=np.int64)
         for s, e in chunks(len(qm), len(gm)):
             sim = similarity(qm[s:e], gm, "cosine")
-            for i in range(e - s):
-                neg = np.sort(sim[i][own_g != own_q[s + i]])
-                beats.append(len(neg) - np.searchsorted(neg, np.asarray(pos[s + i]), side="right"))
-                totals.append(len(neg))
-        lists = _lists(np.repeat(np.arange(len(beats)), [len(b) for b in beats]), np.concatenate(beats).astype(np.float64), len(beats), pa.float64())
-        return pa.Table.from_arrays(
-            [left.column("id").combine_chunks(), left.column("band").combine_chunks(), lists, pa.array(totals)], names=neg_schema.names
-        ).cast(neg_schema)
+            for i in range(s, e):
+                neg = np.sort(sim[i - s][own_g != own_q[i]])
+                at = slice(ends[i], ends[i + 1])
+                beats[at] = len(neg) - np.searchsorted(neg, flat[at], side="right")
+                totals[i] = len(neg)
+        lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(beats))
+        kept = [left.column(c).combine_chunks() for c in ("id", "band", "offset", "n_pos")]
+        return pa.Table.from_arrays([*kept, lists, pa.array(totals)], names=neg_schema.names).cast(neg_schema)
 
     counted = grid(
-        asked.select("id", "band", "s", "vec", *plate), pool.select("id", "vec", *plate), plate, "id", "id", dim, count_above, neg_type, lane_rows
+        asked.select("id", "band", "offset", "n_pos", "s", "vec", *plate), wells.where(rival).select("id", "vec", *plate),
+        plate, "id", "id", dim, count_above, neg_type, lane_rows, sizes=on_plate,
     )
-    above = counted.groupBy("id", "band").agg(
+    above = counted.groupBy("id", "band", "offset", "n_pos").agg(
         vector_to_array(Summarizer.sum(array_to_vector("beats"))).alias("beats"), F.sum("n_neg").alias("n_neg")
     )
-    scored = ranked.join(above, ["id", "band"], "left").withColumn(
-        "beats", F.coalesce("beats", F.array_repeat(F.lit(0.0), F.size("s")))
-    )
     place = F.transform("beats", lambda b, i: (F.col("offset") + i + 1) / (F.col("offset") + i + 1 + b))
-    per_query = scored.withColumn("part", F.aggregate(place, F.lit(0.0), lambda a, x: a + x)).groupBy("id").agg(
-        F.max("n_pos").alias("n_pos"), F.max(F.coalesce("n_neg", F.lit(0))).alias("n_neg"), (F.sum("part") / F.max("n_pos")).alias("ap")
+    per_query = above.withColumn("part", F.aggregate(place, F.lit(0.0), lambda a, x: a + x)).groupBy("id", "n_pos").agg(
+        F.max("n_neg").alias("n_neg"), (F.sum("part") / F.col("n_pos")).alias("ap")
     )
     return treated.select("id", "pert").join(per_query, "id", "left").select(
         F.col("id").alias(id_col), F.col("pert").alias(perturbation), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), "n_neg", "ap"

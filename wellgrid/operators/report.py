@@ -49,13 +49,20 @@ def group_and_mean_rows(df: DataFrame, group: str, item: str, metric: str, label
 
 
 def range_overlap(ranges: DataFrame, name: str, low: str, high: str) -> DataFrame:
-    """Ordered pairs (a above b) whose ranges do not overlap, with the margin min(a) - max(b).
+    """Ordered pairs (upper, lower) whose ranges do not overlap, with the margin min(upper) - max(lower).
 
-    ``ranges`` has one row per dataset, so the inequality join is between two report tables.
+    ``ranges`` is a report with one row per dataset; it is gathered into one array read as
+    a scalar subquery, so there is no join. More than 10,000 datasets is an error.
     """
-    a = ranges.select(F.col(name).alias("upper"), F.col(low).alias("upper_min"))
-    b = ranges.select(F.col(name).alias("lower"), F.col(high).alias("lower_max"))
-    return a.join(b, F.col("upper_min") > F.col("lower_max")).withColumn("margin", F.col("upper_min") - F.col("lower_max"))
+    others = F.collect_list(F.struct(F.col(name).alias("lower"), F.col(high).alias("lower_max")))
+    kind = f"array<struct<lower:{ranges.schema[name].dataType.simpleString()},lower_max:{ranges.schema[high].dataType.simpleString()}>>"
+    bounded = F.when(F.size("all") <= 10_000, F.col("all")).otherwise(F.raise_error(F.lit("too many datasets for a range report")).cast(kind))
+    everyone = ranges.agg(others.alias("all")).select(bounded).scalar()
+    left = ranges.select(F.col(name).alias("upper"), F.col(low).alias("upper_min"), everyone.alias("all"))
+    below = F.explode(F.filter("all", lambda x: x["lower_max"] < F.col("upper_min"))).alias("x")
+    return left.select("upper", "upper_min", below).select(
+        "upper", "upper_min", "x.lower", "x.lower_max", (F.col("upper_min") - F.col("x.lower_max")).alias("margin")
+    )
 
 
 def best_per_group(df: DataFrame, group: str, config: str, metric: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..checks import check_fractions, check_positive
 from ..functions.hashing import draw
 from ..plans.joins import salted_join, skew_safe_semi
-from ..plans.ranking import bucketed_rank, first_per_key, hash_bucket, top_n
+from ..plans.ranking import GROUP_LIMIT, bucketed_rank, first_per_key, hash_bucket, top_n
 from .metadata import on_plates_with_control
 
 SEED = 42  # fixed value
@@ -46,19 +46,26 @@ def per_perturbation_source(df: DataFrame, perturbation: str, source: str, n: in
 
 
 def in_total(df: DataFrame, n: int, unique: Sequence[str], seed: int = SEED) -> DataFrame:
-    """``n`` rows overall: each task keeps its own n smallest draws before the merge."""
+    """The ``n`` rows with the smallest draws; all rows when there are fewer.
+
+    Small ``n``: each task keeps its own best n before the merge. Larger ``n``: counts per hash
+    slice (65,536 rows) say which slices are taken whole; only the last one is ranked.
+    """
     check_positive(n=n)
-    return df.withColumn("__h", draw(seed, *unique)).orderBy("__h", *unique).limit(n).drop("__h")
+    drawn = df.withColumn("__h", draw(seed, *unique))
+    if n <= GROUP_LIMIT:
+        return drawn.orderBy("__h", *unique).limit(n).drop("__h")
+    ranked = bucketed_rank(drawn, [], ["__h", *unique], hash_bucket("__h", 4), "__r", upto=F.lit(n))
+    return ranked.where(F.col("__r") <= n).drop("__h", "__r")
 
 
 def stratified_fraction(df: DataFrame, strata: Sequence[str], fraction: float, unique: Sequence[str], seed: int = SEED) -> DataFrame:
     """Keep ``max(1, round_half_even(n·fraction))`` rows of every stratum."""
     if not 0 < fraction <= 1:
         raise ValueError(f"fraction must be in (0, 1], got {fraction}")
-    ranked = bucketed_rank(
-        df.withColumn("__h", draw(seed, *unique)), strata, ["__h", *unique], hash_bucket("__h"), "__r", "__n"
-    )
     keep = F.greatest(F.lit(1.0), F.bround(F.col("__n") * F.lit(float(fraction))))
+    drawn = df.withColumn("__h", draw(seed, *unique))
+    ranked = bucketed_rank(drawn, strata, ["__h", *unique], hash_bucket("__h"), "__r", "__n", upto=keep)
     return ranked.where(F.col("__r") <= keep).drop("__h", "__r", "__n")
 
 

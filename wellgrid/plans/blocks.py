@@ -63,37 +63,40 @@ def grid(
     fn: Callable[[pa.Table, pa.Table], pa.Table],
     schema: T.StructType | str,
     lane_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``fn(query lane, gallery lane)`` for every cell of every key.
 
-    Lane counts come from per-key row counts computed in the same plan. An explicit partition
-    number keeps adaptive execution from folding the cells into a few tasks.
+    Lane counts follow from row counts per key (``sizes``: keys, nq, ng; computed in the same
+    plan unless given, and only a guide, so estimates are fine). An explicit partition number
+    keeps adaptive execution from folding the cells into a few tasks. A query lane meets an
+    empty table when its gallery lane has no rows.
     """
     keys = list(keys)
-    if not keys:
-        queries, gallery, keys = queries.withColumn("__k", F.lit(0)), gallery.withColumn("__k", F.lit(0)), ["__k"]
     rows = lane_rows or max(MIN_LANE_ROWS, LANE_BYTES // (8 * max(1, dim)))
     n_parts = shuffle_partitions(queries)
-    qn = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq"))
-    gn = gallery.groupBy(*keys).agg(F.count(F.lit(1)).alias("ng"))
-    spread = F.least(F.lit(n_parts), F.ceil(F.col("nq") / MIN_LANE_ROWS))
-    lanes = qn.join(gn, keys).select(
-        *keys,
-        (F.greatest(F.ceil(F.col("nq") / rows), spread) if keys == ["__k"] else F.ceil(F.col("nq") / rows)).cast("int").alias("__a"),
-        F.ceil(F.col("ng") / rows).cast("int").alias("__b"),
-    )
-    seq = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lane = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    def attach(df: DataFrame, id_col: str) -> DataFrame:
-        if keys == ["__k"]:
-            return df.join(F.broadcast(lanes), "__k")  # exactly one row
-        return salted_join(df, lanes, keys, spread_by=[id_col])
-
-    q = attach(queries, q_id).withColumn("__ql", lane(q_id, "__a")).withColumn("__gl", seq("__b"))
-    g = attach(gallery, g_id).withColumn("__gl", lane(g_id, "__b")).withColumn("__ql", seq("__a"))
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    lanes_for = lambda n: F.greatest(F.ceil(F.col(n) / rows), F.lit(1)).cast("int")
+    if keys:
+        if sizes is None:
+            same = queries is gallery
+            sizes = count(queries, "nq").withColumn("ng", F.col("nq")) if same else count(queries, "nq").join(count(gallery, "ng"), keys)
+        lanes = sizes.select(*keys, F.col("nq").alias("__nq"), lanes_for("nq").alias("__a"), lanes_for("ng").alias("__b"))
+        q, g = salted_join(queries, lanes, keys, spread_by=[q_id]), salted_join(gallery, lanes, keys, spread_by=[g_id])
+        a, b = F.col("__a"), F.col("__b")
+    else:
+        # one table-wide count per side, read as scalar subqueries
+        spread = F.least(F.lit(n_parts), F.ceil(F.col("nq") / MIN_LANE_ROWS))
+        a = count(queries, "nq").select(F.greatest(lanes_for("nq"), spread).cast("int")).scalar()
+        b = count(gallery, "ng").select(lanes_for("ng")).scalar()
+        q, g = queries, gallery
+    seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lane = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    q = q.withColumn("__ql", lane(q_id, a)).withColumn("__gl", seq(b))
+    g = g.withColumn("__gl", lane(g_id, b)).withColumn("__ql", seq(a))
     cell = [*keys, "__ql", "__gl"]
     q = q.drop("__a", "__b").repartition(n_parts, *cell)
-    g = g.drop("__a", "__b").repartition(n_parts, *cell)
+    g = g.drop("__a", "__b", "__nq").repartition(n_parts, *cell)
     g = g.toDF(*g.columns)  # own attribute ids, so a table can meet itself
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,7 +135,7 @@ def topk(
     """
     cols = [*keys, id_col, *carry]
     q = queries.select(*cols, F.col(vec).cast("array<double>").alias("vec"))
-    g = gallery.select(*cols, F.col(vec).cast("array<double>").alias("vec"))
+    g = q if queries is gallery else gallery.select(*cols, F.col(vec).cast("array<double>").alias("vec"))
     schema = T.StructType(
         [_field(queries, c, c) for c in keys]
         + [_field(queries, id_col, "q_id"), _field(gallery, id_col, "g_id"), T.StructField("sim", T.DoubleType())]

@@ -35,9 +35,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return top_n(df, keys, order, 1)
 
 
-def hash_bucket(hash_col: str | Column) -> Column:
-    """Leading three hex digits of an md5: 4096 equal slices, monotone in the hash."""
-    return F.substring(F.col(hash_col) if isinstance(hash_col, str) else hash_col, 1, 3)
+def hash_bucket(hash_col: str | Column, digits: int = 3) -> Column:
+    """Leading hex digits of an md5: 16^digits equal slices, monotone in the hash."""
+    return F.substring(F.col(hash_col) if isinstance(hash_col, str) else hash_col, 1, digits)
 
 
 def bucketed_rank(
@@ -47,6 +47,7 @@ def bucketed_rank(
     bucket: Column,
     rank: str = "rank",
     total: str | None = None,
+    upto: Column | None = None,
 ) -> DataFrame:
     """1-based ``row_number`` per group without gathering the group in one task.
 
@@ -54,7 +55,9 @@ def bucketed_rank(
     are ranked inside ``(group, bucket)`` and shifted by the row count of the earlier buckets,
     which comes from a map-side combined count. Both the join and the window use the same
     ``(group, bucket)`` hash partitioning, so the rows are shuffled once. Group keys must not
-    be null.
+    be null. Choose buckets so that rows per bucket and buckets per group both stay in the
+    millions. With ``upto`` (an expression over ``total`` and the keys), buckets starting beyond
+    that rank are dropped before the rows are ranked.
     """
     tagged = df.withColumn("__b", bucket)
     counts = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -63,6 +66,8 @@ def bucketed_rank(
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("__c").over(Window.partitionBy(*keys)))
+    if upto is not None:
+        offsets = offsets.where(F.col("__off") < upto)
     offsets = offsets.drop("__c")
     local = Window.partitionBy(*keys, "__b").orderBy(*_cols(order))
     return (

@@ -40,10 +40,11 @@ def run_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_new(df: DataFrame, path: str, key: Sequence[str]) -> None:
+def append_new(df: DataFrame, path: str, key: Sequence[str], partition_by: Sequence[str] = (), max_listed: int = 10_000) -> None:
     """Append rows whose key is not stored yet; repeated keys inside ``df`` are written once.
 
-    A schema that differs from the stored one is refused.
+    A schema that differs from the stored one is refused. With ``partition_by`` (e.g. plate) only
+    the stored partitions that ``df`` touches are read for the comparison.
     """
     spark = df.sparkSession
     fresh = df.dropDuplicates(list(key))
@@ -52,12 +53,19 @@ def append_new(df: DataFrame, path: str, key: Sequence[str]) -> None:
     except AnalysisException:
         stored = None
     if stored is not None:
-        have = {f.name: f.dataType for f in stored.schema.fields}
-        new = {f.name: f.dataType for f in df.schema.fields}
-        if have != new:
+        fixed = [f for f in df.schema.fields if f.name not in partition_by]  # folder names carry no type
+        have = {f.name: f.dataType for f in stored.schema.fields if f.name not in partition_by}
+        new = {f.name: f.dataType for f in fixed}
+        if have != new or not set(partition_by) <= set(stored.columns):
             raise ValueError(f"schema changed: stored {have}, new {new}")
+        stored = stored.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in partition_by})
+        for c in partition_by:
+            touched = [r[0] for r in df.select(c).distinct().limit(max_listed + 1).collect()]
+            if len(touched) <= max_listed:  # else read every partition
+                stored = stored.where(F.col(c).isin(touched))
         fresh = skew_safe_semi(fresh, stored, key, anti=True)
-    fresh.write.mode("append").option("compression", "zstd").parquet(path)
+    writer = fresh.write.mode("append").option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def merge_parts(df: DataFrame, path: str, plate_key: str) -> None:
