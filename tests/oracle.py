@@ -57,4 +57,4 @@ def differences(df, con, sql: str) -> list[str]:
     return [f"{len(bad)} rows differ; {x} vs {y}" for x, y in bad[:3]]
 
 
-SF = os.environ.get("WELLGRID_TEST_SF", "/root/testdata/sf0.01")
+SF = os.environ.get("WELLGRID_TEST_SF", "/root/testdata/sf0.001")

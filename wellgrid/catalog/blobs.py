@@ -163,7 +163,7 @@ SELECT fov, part || '_AreaShape_Area' AS feature, CAST(a AS DOUBLE) AS value FRO
 UNION ALL SELECT fov, part || '_Intensity_Std_' || ch, round(std, 6) FROM s UNION ALL SELECT fov, part || '_Intensity_Min_' || ch, mn FROM s UNION ALL SELECT fov, part || '_Intensity_Max_' || ch, mx FROM s""")
 def featurise(spark, d):
     f = B.featurise(_pair(spark, d), SHAPE, measures=[B.intensity]).select("fov", F.explode("features").alias("feature", "value"))
-    return f.select("fov", "feature", r6("value").alias("value")).where(~F.isnan("value"))
+    return f.select("fov", "feature", r6("value").alias("value")).where("value is not null")
 
 
 @query("SELECT event_id, event_type, user_id FROM events")

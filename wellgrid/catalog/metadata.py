@@ -271,15 +271,14 @@ def best_hit(spark, d):
 PAGE_SYMBOL = r"^[A-Z][a-z]+ .*$"
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents),
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x, '""" + text.BLANKS + r"""')), lambda x: x <> '') AS lines FROM documents),
 w AS (SELECT doc_id, flatten(list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN upper(lines[i]) = upper(lines[1]) THEN list_slice(lines, i + 1, i + 7) ELSE [] END)) AS near
   FROM l WHERE len(lines) > 0),
 g AS (SELECT doc_id, list_filter(near, lambda x: regexp_full_match(x, '[A-Z][a-z]+ .*'))[1] AS gene FROM w)
 SELECT doc_id, gene FROM g WHERE gene IS NOT NULL""")
 def genes_on_pages(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    first = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), F.trim), lambda x: x != "")
-    docs = docs.withColumn("wanted", F.get(first, F.lit(0)))
+    docs = docs.withColumn("wanted", F.get(text.text_lines("text"), F.lit(0)))
     return M.genes_on_pages(docs, "doc_id", "wanted", "text", symbol=PAGE_SYMBOL)
 
 

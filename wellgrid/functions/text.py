@@ -31,6 +31,15 @@ GENE_STOPWORDS = [
 ]
 
 
+BLANKS = " \t\x0b\x0c\xa0"  # stripped from both ends of a line
+
+
+def text_lines(text: str | Column) -> Column:
+    """Stripped non-empty lines of a text."""
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x, F.lit(BLANKS)))
+    return F.filter(lines, lambda x: x != "")
+
+
 def feature_family(name: str | Column) -> Column:
     token = F.try_element_at(F.split(F.col(name) if isinstance(name, str) else name, "_"), F.lit(2))
     return (

@@ -23,11 +23,10 @@ def norm(v: str | Column) -> Column:
 
 
 def l2_normalize(df, vec: str, out: str = "unit"):
-    """Adds ``out``; the zero vector stays zero."""
-    length = norm(vec)
-    return df.withColumn("__n", length).withColumn(
-        out, F.transform(to_double(vec), lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(x))
-    ).drop("__n")
+    """Adds ``out``; the zero vector stays zero. The norm is bound once per row, not per element."""
+    pair = F.struct(to_double(vec).alias("v"), norm(vec).alias("n"))
+    unit = F.transform(F.array(pair), lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x)))
+    return df.withColumn(out, F.get(unit, F.lit(0)))
 
 
 def all_finite(v: str | Column) -> Column:

@@ -353,7 +353,7 @@ def channel_correlation(img: np.ndarray, region: np.ndarray) -> dict[str, float]
 
 
 def featurise(df: DataFrame, shape: Sequence[int], measures: Sequence[Measure] = (intensity, channel_correlation), cell: str = "cell", mask: str = "mask", out: str = "features") -> DataFrame:
-    """Map of feature name to value for nucleus and cell regions; a failing measurement gives NaN."""
+    """Map of feature name to value for nucleus and cell regions; a failing measurement gives null."""
     _, h, w = shape
     blank = np.zeros(shape, np.uint8)
     blank[:, 0, 0] = 1

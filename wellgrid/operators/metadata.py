@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import require_columns
-from ..functions.text import GENE_STOPWORDS, GENE_SYMBOL
+from ..functions.text import GENE_STOPWORDS, GENE_SYMBOL, text_lines
 from ..plans.joins import salted_join, skew_safe_semi
 from ..plans.ranking import first_per_key
 
@@ -240,15 +240,19 @@ def genes_on_pages(pages: DataFrame, page_id: str, wanted: str, text: str, reach
 
     Works inside the row with array functions: no explode, no shuffle, whole texts.
     """
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
-    none = F.array().cast("array<string>")
-    after = F.flatten(F.transform(
-        "lines",
-        lambda line, i: F.when(F.upper(line) == F.upper(F.col(wanted)), F.slice(F.col("lines"), i + 2, F.lit(reach))).otherwise(none),
-    ))
     genelike = lambda x: x.rlike(symbol) & ~x.isin(list(stopwords))
-    found = F.try_element_at(F.filter(after, genelike), F.lit(1))
-    return pages.withColumn("lines", lines).select(page_id, found.alias("gene")).where(F.col("gene").isNotNull())
+
+    def first_gene(page: Column) -> Column:
+        none = F.array().cast("array<string>")
+        after = F.transform(
+            page["lines"], lambda line, i: F.when(F.upper(line) == page["wanted"], F.slice(page["lines"], i + 2, F.lit(reach))).otherwise(none)
+        )
+        return F.get(F.filter(F.flatten(after), genelike), F.lit(0))
+
+    # bound once as a lambda argument; inlined expressions would run once per line
+    page = F.struct(text_lines(text).alias("lines"), F.upper(F.col(wanted)).alias("wanted"))
+    found = F.get(F.transform(F.array(page), first_gene), F.lit(0))
+    return pages.select(page_id, found.alias("gene")).where(F.col("gene").isNotNull())
 
 
 def tagged_values(df: DataFrame, text: str, pattern: str, group: int = 1, out: str = "value") -> DataFrame:

@@ -80,12 +80,11 @@ def ridge_scores(df: DataFrame, x: str, y: str, train: Column, test: Column, alp
 def feature_scores(rows: DataFrame, feature: str, truth: str, pred: str) -> DataFrame:
     """Pearson r (null when either side is constant) and R² per feature, one aggregate."""
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
-    flat = (F.stddev_pop(t) == 0) | (F.stddev_pop(p) == 0)
     sse = F.sum((t - p) * (t - p))
     sst = F.var_pop(t) * F.count(t)
     return rows.groupBy(feature).agg(
         F.count(F.lit(1)).alias("n"),
-        F.when(~flat, F.corr(t, p)).alias("pearson"),
+        F.try_divide(F.covar_pop(t, p), F.stddev_pop(t) * F.stddev_pop(p)).alias("pearson"),
         F.when(sst > 0, 1 - sse / sst).alias("r2"),
     )
 

@@ -24,7 +24,8 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str
     """
     order = _cols(order)
     if n > GROUP_LIMIT:
-        part = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+        part = df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
         first = Window.partitionBy(*keys, "__salt").orderBy(*order)
         df = part.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__r", "__salt")
     out = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
