@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import correct, integration, pooling, probe, replicate, retrieval
+from ..operators import correct, integration, pooling, probe, profiles, replicate, retrieval
 from ..plans.durable import checkpoint
 from . import query
 from .views import CELL, DIM, VEC, r6, table, v_cell, v_vec
@@ -363,6 +363,49 @@ def harmony(spark, d):
     return _tidy(correct.harmony(shifted, "vec", "batch", "id", n_clusters=10, max_rounds=2, inner_rounds=2), ["id"], "harmony", 4)
 
 
+# -- whole flows -------------------------------------------------------------------------
+
+
+@query(f"""WITH {CELL}, k AS (SELECT *, concat_ws('__', source, batch, plate, well, tile) AS fov, concat_ws('__', source, batch, plate) AS pk, concat_ws('__', row_key, CAST(id_local AS VARCHAR)) AS rk FROM v_cell),
+c AS (SELECT k.*, n FROM k JOIN (SELECT fov, count(*) AS n FROM k GROUP BY fov) USING (fov)),
+x AS (SELECT *, concat_ws('__', fov, row_key) AS key FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY pk, well ORDER BY md5(concat_ws('|', '42', key)), key) AS rn FROM x),
+s AS (SELECT * FROM r WHERE rn <= 5), m AS (SELECT min(n) AS lo, max(n) AS hi FROM s)
+SELECT key AS row_key, plate, well, tile, n AS n_cells_in_fov, round(least(greatest((n - lo) / greatest(hi - lo, 1) * 255.0, 0.0), 255.0), 6) AS n_cells_scaled,
+  'type_' || well AS "Metadata_PlateType", '' AS "Metadata_SMILES" FROM s, m""")
+def selected_cells(spark, d):
+    from ..functions import ids
+
+    cells = v_cell(spark, d).select(ids.composite_id("source", "batch", "plate", "well", "tile").alias("fov_id"), F.col("row_key").alias("id_local"))
+    fovs = checkpoint(cells.groupBy("fov_id").agg(F.count(F.lit(1)).alias("n_cells_in_fov")))
+    cells = cells.join(fovs, "fov_id")
+    meta = fovs.select("fov_id", F.concat(F.lit("type_"), ids.id_part("fov_id", 3)).alias("Metadata_PlateType"))
+    out = profiles.select_cells(cells, meta, "uniform_per_well", ["Metadata_PlateType", "Metadata_SMILES"], n_per_well=5)
+    return out.select("row_key", "plate", "well", "tile", "n_cells_in_fov", r6("n_cells_scaled").alias("n_cells_scaled"), "Metadata_PlateType", "Metadata_SMILES")
+
+
+@query(f"""WITH {CELL}, w AS (SELECT source, plate, well, pos, median({PICK}) AS x FROM v_cell, {FIELDS_SQL} GROUP BY ALL),
+o AS (SELECT *, well IN ('W01', 'W02', 'W03', 'W04', 'W05', 'W06') AS ctrl FROM w WHERE well <> 'W07'),
+nc AS (SELECT source, plate, pos, count(*) FILTER (ctrl) AS nc FROM o GROUP BY ALL), ref AS (SELECT o.* FROM o JOIN nc USING (source, plate, pos) WHERE ctrl OR nc < 5),
+med AS (SELECT source, plate, pos, median(x) AS med FROM ref GROUP BY ALL), mad AS (SELECT source, plate, pos, any_value(med) AS med, median(abs(x - med)) AS mad FROM ref JOIN med USING (source, plate, pos) GROUP BY ALL)
+SELECT source, plate, well, CAST(pos AS BIGINT) AS pos, round(least(greatest((x - med) / CASE WHEN mad > 0 THEN mad * 1.4826 ELSE 1.0 END, -4.0), 4.0), 5) + 0.0 AS value FROM o JOIN mad USING (source, plate, pos)""")
+def classical_profiles(spark, d):
+    cells = _cell_vec(spark, d)
+    control = F.col("well").isin("W01", "W02", "W03", "W04", "W05", "W06")
+    obs = cells.select("source", "plate", "well", control.alias("is_control")).where("well <> 'W07'").distinct()
+    out = profiles.classical_profiles_median(cells, "vec", obs, plate=["source", "plate"], sphering="none")
+    return _tidy(out, ["source", "plate", "well"], "sphered", 5)
+
+
+@query()
+def embedding_profiles(spark, d):
+    cells = v_vec(spark, d).withColumns({"source": F.lit("s"), "well": F.pmod("id", F.lit(100)).cast("string")})
+    out = profiles.embedding_profiles(
+        cells, "vec", F.col("perturbation").isin("0", "1", "2", "3"), metadata=["perturbation"], order=["id"], n_pcs=8, n_clusters=5, max_rounds=2, inner_rounds=2
+    )
+    return _tidy(out, ["well_key", "batch", "n_cells"], "pca_harmony", 4)
+
+
 # -- probe -------------------------------------------------------------------------------
 
 
@@ -378,6 +421,17 @@ def ridge_probe(spark, d):
     return out.select(F.col("feature").cast("bigint").alias("feature"), "n", r6("pearson", 5).alias("pearson"), r6("r2", 5).alias("r2"))
 
 
+@query("""WITH d AS (SELECT vec_id % 5 AS b, CAST(embedding[1] AS DOUBLE) AS x, i AS feature, CAST(embedding[i + 33] AS DOUBLE) AS y FROM embeddings, range(32) t(i)),
+m AS (SELECT feature, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM d WHERE b <> 0 GROUP BY feature),
+c AS (SELECT feature, any_value(mx) AS mx, any_value(sx) AS sx, any_value(my) AS my, sum((x - mx) / sx * (y - my)) / (any_value(n) + 1.0) AS coef FROM d JOIN m USING (feature) WHERE b <> 0 GROUP BY feature),
+p AS (SELECT feature, y, (x - mx) / sx * coef + my AS pred FROM d JOIN c USING (feature) WHERE b = 0)
+SELECT feature, count(*) AS n, round(corr(y, pred), 5) AS pearson, round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 5) AS r2 FROM p GROUP BY feature""")
+def ridge_probe_one_input(spark, d):
+    df = _probe_table(spark, d).withColumn("x", F.slice("x", 1, 1))
+    out = probe.ridge_scores(df, "x", "y", F.col("batch") != 0, F.col("batch") == 0)
+    return out.select(F.col("feature").cast("bigint").alias("feature"), "n", r6("pearson", 5).alias("pearson"), r6("r2", 5).alias("r2"))
+
+
 SCORES = """p AS (SELECT vec_id AS id, i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS t, CAST(embedding[i + 33] AS DOUBLE) AS p FROM embeddings, range(32) r(i)),
 s AS (SELECT feature, count(*) AS n, corr(t, p) AS pearson, 1 - sum((t - p) * (t - p)) / (var_pop(t) * count(*)) AS r2 FROM p GROUP BY feature)"""
 

@@ -117,6 +117,19 @@ def lookup_or_missing(df: DataFrame, table: DataFrame, key: str, value: str) ->
     return salted_join(df, side, [key], "left").withColumn("missing", F.col(value).isNull())
 
 
+def assert_lookup(df: DataFrame, key: str, value: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Runs a job; the error names at most five keys without a value or with one out of range."""
+    bad = F.col(value).isNull()
+    if low is not None:
+        bad = bad | (F.col(value) < low)
+    if high is not None:
+        bad = bad | (F.col(value) > high)
+    rows = df.where(bad).select(key, value).distinct().limit(5).collect()
+    if rows:
+        raise ValueError(f"lookup of {value!r} failed for {[tuple(r) for r in rows]}")
+    return df
+
+
 def missing_keys(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return df.select(key).where(F.col(key).isNotNull()).distinct().join(table.select(key).distinct(), key, "left_anti")
 
