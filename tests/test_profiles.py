@@ -390,3 +390,55 @@ def test_full_report(blobs):
     df, *_ = blobs
     r = integration.full_report(df, "id", "vec", "lab", "batch", 4, k=15).first()
     assert r.nmi > 0.9 and r.silhouette_label > 0.8 and r.graph_connectivity > 0.9 and r.pcr_comparison == 0.0
+
+
+# -- whole flows -------------------------------------------------------------------------------
+
+
+def test_classical_profiles_by_means(spark):
+    from wellgrid.operators import profiles
+
+    rows, nan = [], float("nan")
+    for w in range(30):
+        for c in range(3):
+            x = RNG.standard_normal(5)
+            # 2 is mostly missing, 3 is constant on controls, 4 has one infinite value
+            feats = [x[0], x[1], nan if (w + c) % 2 else 1.0, 1.0 if w < 10 else x[3], float("inf") if w == c == 0 else x[4]]
+            rows.append((f"w{w:02d}c{c}", "s", "p", f"w{w:02d}", f"b{w % 2}", "EMPTY" if w < 10 else "drug", [float(v) for v in feats]))
+    df = spark.createDataFrame(rows, "row_key string, source string, plate string, well string, batch string, perturbation string, f array<double>")
+    out = profiles.classical_profiles_mean(
+        df, "f", F.col("perturbation") == "EMPTY", "row_key", metadata=["perturbation"], n_clusters=2, max_rounds=1, inner_rounds=1
+    ).collect()
+    assert len(out) == 30 and {len(r.sphered) for r in out} == {3} and {len(r.pca_harmony) for r in out} == {3}
+    assert np.isfinite([r.pca_harmony for r in out]).all() and sum(r.is_control for r in out) == 10
+    with pytest.raises(ValueError, match="control"):
+        profiles.classical_profiles_mean(df, "f", F.col("perturbation") == "none", "row_key", metadata=["perturbation"])
+
+
+def test_select_cells_rules(spark):
+    from wellgrid.operators import profiles
+
+    cells = spark.createDataFrame([(f"s__b__p__w{w}__1", i, 10 + w) for w in range(3) for i in range(8)], "fov_id string, id_local int, n_cells_in_fov int")
+    meta = spark.createDataFrame([(f"s__b__p__w{w}__1", None if w == 0 else f"K{w}") for w in range(3)], "fov_id string, Metadata_InChIKey string")
+    columns = ["Metadata_InChIKey", "Metadata_SMILES"]
+    out = profiles.select_cells(cells, meta, "uniform_per_compound_source", columns, n_per_group=2).collect()
+    per = {k: sum(r.well == k for r in out) for k in ("w0", "w1", "w2")}
+    assert per == {"w0": 8, "w1": 2, "w2": 2}
+    assert {r.n_cells_scaled for r in out} == {0.0, 127.5, 255.0} and {r.Metadata_SMILES for r in out} == {""}
+    assert next(r for r in out if r.well == "w0").Metadata_InChIKey == ""
+    assert profiles.select_cells(cells, meta, "uniform_total", columns, n_total=5).count() == 5
+    with pytest.raises(ValueError, match="duplicate"):
+        profiles.select_cells(cells, meta.unionByName(meta), "uniform_total", columns, n_total=5)
+
+
+def test_one_hot_key_is_split(spark):
+    """A third of the rows in one group: same results whatever the lane size."""
+    n = 150
+    x = RNG.standard_normal((n, 3))
+    pert = ["hot" if i % 3 == 0 else f"g{i % 11}" for i in range(n)]
+    df = vectors(spark, x, pert=pert, plate=["big" if i % 3 == 1 else f"p{i % 7}" for i in range(n)])
+    wide, narrow = (
+        {r.id: r.ap for r in replicate.average_precision(df, "id", "vec", "pert", ["plate"], F.lit(False), 3, lane_rows=k).collect()} for k in (None, 10)
+    )
+    assert wide.keys() == narrow.keys()
+    assert all((wide[i] is None and narrow[i] is None) or wide[i] == pytest.approx(narrow[i]) for i in wide)
