@@ -298,7 +298,7 @@ def sequence_records(spark, d):
 
 @query(f"""WITH {CELL}, s AS (SELECT perturbation, count(DISTINCT batch) AS n_sources FROM v_cell WHERE nuc_area = 50 AND nuc_cyto_ratio >= 0.09 GROUP BY perturbation),
 h AS (SELECT n_sources, count(*) AS n_keys FROM s GROUP BY n_sources)
-SELECT n_sources, n_keys, sum(n_keys) OVER (ORDER BY n_sources DESC) AS n_keys_at_least FROM h""")
+SELECT n_sources, n_keys, CAST(sum(n_keys) OVER (ORDER BY n_sources DESC) AS BIGINT) AS n_keys_at_least FROM h""")
 def coverage_histogram(spark, d):
     cells = v_cell(spark, d).where("nuc_area = 50 and nuc_cyto_ratio >= 0.09")
     return report.coverage_histogram(report.distinct_sources(cells, "perturbation", "batch"), "n_sources")

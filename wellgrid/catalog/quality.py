@@ -125,7 +125,7 @@ def measured_summary(spark, d):
     return out.withColumns({c: r6(c) for c in ("success_fraction", "median", "iqr")})
 
 
-@query("""SELECT event_id, event_type, coalesce(CASE event_type WHEN 'click' THEN 20.0 WHEN 'view' THEN 35.5 END, 30.0) AS diameter FROM events""")
+@query("""SELECT event_id, event_type, CAST(coalesce(CASE event_type WHEN 'click' THEN 20.0 WHEN 'view' THEN 35.5 END, 30.0) AS DOUBLE) AS diameter FROM events""")
 def parameter_default(spark, d):
     params = spark.createDataFrame([("click", 20.0), ("view", 35.5)], "event_type string, diameter double")
     return Q.with_parameter(table(spark, d, "events").select("event_id", "event_type"), params, "event_type", "diameter", 30.0)

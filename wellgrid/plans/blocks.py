@@ -85,10 +85,13 @@ def grid(
         q, g = salted_join(queries, lanes, keys, spread_by=[q_id]), salted_join(gallery, lanes, keys, spread_by=[g_id])
         a, b = F.col("__a"), F.col("__b")
     else:
-        # one table-wide count per side, read as scalar subqueries
-        spread = F.least(F.lit(n_parts), F.ceil(F.col("nq") / MIN_LANE_ROWS))
-        a = count(queries, "nq").select(F.greatest(lanes_for("nq"), spread).cast("int")).scalar()
-        b = count(gallery, "ng").select(lanes_for("ng")).scalar()
+        # one table-wide count per side, read as scalar subqueries; about n_parts cells, shaped so
+        # that the rows sent (nq·b + ng·a) are fewest
+        total = lambda df: F.greatest(df.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+        nq, ng = total(queries), total(gallery)
+        few = lambda n, want: F.least(F.ceil(n / MIN_LANE_ROWS), F.ceil(want))
+        a = F.greatest(F.ceil(nq / rows), few(nq, F.sqrt(n_parts * nq / ng))).cast("int")
+        b = F.greatest(F.ceil(ng / rows), few(ng, n_parts / a)).cast("int")
         q, g = queries, gallery
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     lane = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
