@@ -58,72 +58,83 @@ def source_targets(sized: DataFrame, share: float = SHARE, weights: tuple[int, .
     return per.select("source", "source_size", F.when(F.col("level").isNull(), cap).otherwise(F.least(cap, F.col("weight") * F.col("level"))).alias("target"))
 
 
-def unit_draw(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from a hash of seed and key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def unit_draw(key: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from a hash of seed and key; rows without a key draw by their text."""
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("null/"), F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**12))
 
 
-def pareto_mix(docs: DataFrame, key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """One row per row of ``docs``: key, size, source, source_size, target, copies, taken.
+def _ranked(d: DataFrame, goal: DataFrame) -> DataFrame:
+    """``d`` (__source, __u, ...) with its source's goal and its Pareto ranking value.
+
+    ``goal`` has a row per source; Spark broadcasts it by its measured size, else it shuffles by source.
+    """
+    d = d.join(goal.withColumnRenamed("source", "__g"), F.col("__source").eqNullSafe(F.col("__g"))).drop("__g")
+    odds = (F.col("__u") / (F.lit(1.0) - F.col("__u"))) / (F.col("__p") / (F.lit(1.0) - F.col("__p")))
+    return d.withColumn("__rank", F.when(F.col("__p") > 0, odds))
 
-    ``docs`` has the key, ``text`` and ``source``; other columns are ignored. Null text and text
-    without words have size 0 and take nothing. Null is a source of its own. Rows with equal keys
-    (null included) are separate documents; they draw alike and are told apart by size only, so
-    equal rows may be exchanged for each other. An empty table gives an empty result.
+
+def pareto_plan(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """A row per source: source_size, target, and which documents the sample holds.
+
+    ``__whole`` copies are certain; a document is in the sample if its (rank, key, size) is not
+    above ``__last``. ``sized`` has __key, __source, __size and __u.
     """
-    sized = checkpoint(docs.select(F.col(key).alias("key"), "source", n_words(F.col("text")).alias("size")))
-    same = lambda a, b: a.eqNullSafe(b)
-    goal = source_targets(sized, share, weights, most)
+    goal = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), share, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = checkpoint(goal.withColumn("whole", F.floor(rate).cast("bigint")).withColumn("p", rate - F.floor(rate)))
-    goal = goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    # one row per source: the side Spark measures and broadcasts; a checked plan, not a hint
-    d = sized.join(goal.withColumnRenamed("source", "g_source"), same(F.col("source"), F.col("g_source"))).drop("g_source")
-    u = unit_draw(F.col("key"), seed)
-    odds = F.when(F.col("p") > 0, (u / (F.lit(1.0) - u)) / (F.col("p") / (F.lit(1.0) - F.col("p"))))
-    d = d.withColumn("rank_value", odds)
-    q = F.col("rank_value") / (F.lit(1.0) + F.col("rank_value"))
-    d = d.withColumn("slice", F.floor(q * SLICES).cast("int"))
-    sums = d.where(F.col("slice").isNotNull()).groupBy("source", "slice").agg(F.sum("size").alias("in_slice"), F.first("left").alias("left"))
-    before = F.coalesce(F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sums.withColumn("before", before).where((F.col("before") < F.col("left")) & (F.col("before") + F.col("in_slice") >= F.col("left")))
-    cut = checkpoint(cut.select(F.col("source").alias("c_source"), F.col("slice").alias("c_slice"), "before"))
-    d = d.join(cut, same(F.col("source"), F.col("c_source")), "left").drop("c_source")
-    edge = F.col("slice") == F.col("c_slice")
-    inner = Window.partitionBy("source", "slice").orderBy("rank_value", "key", "size")
-    on_edge = d.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    goal = goal.withColumns({"__whole": F.floor(rate).cast("bigint"), "__p": rate - F.floor(rate), "__left": F.col("target") - F.floor(rate) * F.col("source_size")})
+    goal = checkpoint(goal)
+    q = F.col("__rank") / (F.lit(1.0) + F.col("__rank"))
+    d = _ranked(sized, goal).where(F.col("__rank").isNotNull()).withColumn("slice", F.floor(q * SLICES).cast("int"))
+    sums = d.groupBy("__source", "slice").agg(F.sum("__size").alias("n"), F.first("__left").alias("__left"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sums.withColumn("before", before).where((F.col("before") < F.col("__left")) & (F.col("before") + F.col("n") >= F.col("__left")))
+    cut = cut.select(F.col("__source").alias("__c"), F.col("slice").alias("cut"), "before")
+    edge = d.join(cut, F.col("__source").eqNullSafe(F.col("__c")) & (F.col("slice") == F.col("cut")))
+    inner = Window.partitionBy("__source").orderBy("__rank", "__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("before") + F.coalesce(F.sum("__size").over(inner), F.lit(0)) + F.col("__size") / 2.0
+    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size")
+    start = F.struct((F.col("cut") / SLICES / (1 - F.col("cut") / SLICES)).alias("__rank"), F.lit("").alias("__key"), F.lit(-1).cast("bigint").alias("__size"))
     # the document that crosses the mark is in if that comes nearer to it
-    on_edge = on_edge.withColumn("extra", (F.col("upto") - F.col("size") / 2.0 <= F.col("left")).cast("int"))
-    rest = d.where(~F.coalesce(edge, F.lit(False))).withColumn("upto", F.lit(None).cast("bigint"))
-    rest = rest.withColumn("extra", F.coalesce(F.when(F.col("c_slice").isNull(), F.col("left") > 0).otherwise(F.col("slice") < F.col("c_slice")), F.lit(False)).cast("int"))
-    rest = rest.withColumn("extra", F.when(F.col("p") > 0, F.col("extra")).otherwise(0))
-    out = rest.unionByName(on_edge.select(rest.columns))
-    copies = (F.col("whole") + F.col("extra")).cast("bigint")
-    return out.select(F.col("key").alias(key), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    last = edge.withColumn("in", upto <= F.col("__left")).groupBy("__source").agg(F.coalesce(F.max(F.when(F.col("in"), at)), F.first(start)).alias("__last"))
+    return goal.join(last.withColumnRenamed("__source", "__c"), F.col("source").eqNullSafe(F.col("__c")), "left").drop("__c")
+
+
+def pareto_mix(docs: DataFrame, key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken.
+
+    ``docs`` has the key, ``text`` and ``source``; other columns stay, apart from those named as
+    the new ones, which are replaced. Null text and text without words have size 0 and take
+    nothing. Null is a source of its own. Rows without a key draw by their text. Rows alike in
+    draw, key and size are taken together. An empty table gives an empty result.
+    """
+    new = ("size", "source_size", "target", "copies", "taken")
+    d = docs.select(*[c for c in docs.columns if c not in new], F.col(key).alias("__key"), F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), unit_draw(F.col(key), F.col("text"), seed).alias("__u"))
+    sized = checkpoint(d.select("__key", "__source", "__size", "__u"))
+    plan = checkpoint(pareto_plan(sized, share, weights, most))
+    if set(docs.columns) <= {key, "source", "text"}:  # no more is asked for than the slim table has
+        d = sized.withColumns({key: F.col("__key"), "source": F.col("__source")})
+    d = _ranked(d, plan)
+    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size")
+    extra = F.coalesce(F.when(F.col("__rank").isNotNull(), at <= F.col("__last")), F.lit(False)).cast("int")
+    d = d.withColumn("size", F.col("__size")).withColumn("copies", (F.col("__whole") + extra).cast("bigint"))
+    d = d.withColumn("taken", F.col("copies") * F.col("size"))
+    return d.select(*[c for c in docs.columns if c in d.columns and c not in new], *new)
 
 
 def take_mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows and columns of ``docs``, each row as often as the mix takes it.
 
-    Rows are told apart by key, source and size; of rows alike in all three, each gets the mean
-    number of copies rounded to whole rows by rank, so the total stays the same.
+    Texts aren't shuffled: the plan is a row per source.
     """
-    alike = ["__key", "__source", "__size"]
-    taken = pareto_mix(docs, key, **options).groupBy(F.col(key).alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    taken = taken.where(F.col("__copies") > 0)
-    one = F.col("__rows") == 1
-    d = docs.withColumns({"__k": F.col(key), "__s": F.col("source"), "__n": n_words(F.col("text"))})
-    d = d.join(taken, F.col("__k").eqNullSafe(F.col("__key")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    whole = F.floor(F.col("__copies") / F.col("__rows"))
-    single = d.where(one).withColumn("__times", F.col("__copies"))
-    spread = Window.partitionBy(*alike).orderBy(F.xxhash64("text"))
-    several = d.where(~one).withColumn("__times", whole + (F.row_number().over(spread) <= F.col("__copies") - whole * F.col("__rows")).cast("int"))
-    out = single.unionByName(several.select(single.columns))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).where(F.col("__times") > 0).select(*docs.columns)
-
-
-SQL = f"""WITH d0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    d = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns], key, "source", "text")
+    d = pareto_mix(d, key, **options).where(F.col("copies") > 0)
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(own[c]).alias(c) for c in docs.columns])
+
+
+SQL = f"""WITH d0 AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d0 GROUP BY source),
 s1 AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM s0),
 s2 AS (SELECT *, coalesce(sum(source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
@@ -134,7 +145,7 @@ s4 AS (SELECT *, first_value(lv IGNORE NULLS) OVER (ORDER BY source_size / weigh
 s5 AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, weight * level) END AS target FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM s5),
 d1 AS (SELECT d0.*, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS remains,
-         (CAST(CAST('0x' || substr(md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / {16**12}.0::DOUBLE AS u
+         (CAST(CAST('0x' || substr(md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null/' || coalesce(text, ''))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / {16**12}.0::DOUBLE AS u
        FROM d0 JOIN s6 ON d0.source IS NOT DISTINCT FROM s6.source),
 d2 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM d1),
 d3 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d2),
@@ -145,4 +156,4 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 @query(SQL)
 def op3_mixing(spark, d):
     """Words that the mix takes of every document."""
-    return pareto_mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_mix(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
