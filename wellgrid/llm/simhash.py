@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
@@ -307,16 +307,18 @@ def groups(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, shingle:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of each group, whole: the one with the smallest key, ties by source and text hash."""
+    """One row of each group, whole: the one with the smallest key, then text hash, then other columns.
+
+    Repeated rows are cut to one before the texts are shuffled, once.
+    """
+    named = lambda k: F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("null"))
     found = groups(docs.select(key, "text").withColumn("__text", F.xxhash64("text")), key, **options)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__text").alias("t"))).alias("__first"))
-    first = first.select(F.col("__first.k").alias("__k"), F.col("__first.t").alias("__t")).distinct()
-    kept = docs.withColumns({"__own_k": F.col(key), "__own_t": F.xxhash64("text")})
-    kept = kept.join(first, F.col("__own_k").eqNullSafe(F.col("__k")) & (F.col("__own_t") == F.col("__t")), "left_semi")
-    # equal keys with equal texts are repeated rows of one document: the first by all columns stays
-    others = [c for c in docs.columns if c not in (key, "text")]
-    agg = kept.groupBy("__own_k", "__own_t").agg(F.min(F.struct(*[F.col(c) for c in others], F.col("text"), F.col(key))).alias("__row"))
-    return agg.select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    least = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__text").alias("t")))
+    first = found.groupBy("component_id").agg(least.alias("__first")).select(named(F.col("__first.k")).alias("__id"), F.col("__first.t").alias("__t"))
+    others = [F.col(c) for c in docs.columns if c not in (key, "text")]
+    same = Window.partitionBy("__id", "__t").orderBy(*others, "text")
+    one = docs.withColumns({"__id": named(F.col(key)), "__t": F.xxhash64("text")}).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    return one.join(first, ["__id", "__t"], "left_semi").select(*docs.columns)
 
 
 @query()
