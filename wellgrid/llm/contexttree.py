@@ -8,8 +8,9 @@ estimate plus half of the product over its children (at full depth: the estimate
 takes the conditional probabilities of the learned trees: along the path from depth DEPTH to 0,
 each node's estimate is mixed with what lies deeper, by their posterior weights.
 
-As a Spark job: tasks count the distinct (DEPTH+1)-byte grams of each block of documents; counts
-are summed over all blocks. Nodes of depth SHARED and deeper that share the last SHARED context
+As a Spark job: tasks count the distinct (DEPTH+1)-byte grams of each block of documents, packed
+into arrays by a hash of the gram, whose number of parts grows with the input; counts are summed
+part by part over all blocks. Nodes of depth SHARED and deeper that share the last SHARED context
 bytes are one group: at most 256^(DEPTH-SHARED+1) grams. Lesser depths follow from sums over groups;
 valid UTF-8 has fewer than 45,000 contexts of two bytes, so these have a fixed bound however large
 the corpus (some hundred thousand nodes in practice), and they are broadcast. Each block then gets
@@ -25,12 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import checkpoint
-from .arrow_text import LOWER, text_slices, words
+from ..plans.durable import materialise
+from .arrow_text import LOWER, mix, text_slices, words
 from .registry import query, table
 
 DEPTH = 5
@@ -38,7 +40,8 @@ SHARED = 3  # last context bytes that nodes of one group share
 END = 0xFF  # no byte of UTF-8
 FREE_BLOCKS = 64  # blocks of documents that come from no file
 BLOCK_BYTES = 32 << 20  # file bytes of a block, about
-LN10 = np.log(10.0)
+PART_BYTES = 16 << 20  # text bytes for each part of the counts
+PARTS = 64  # at least
 
 IS_TOKEN = np.ones(256, bool)
 IS_TOKEN[[32, 9, 10, 11, 12, 13]] = False
@@ -70,21 +73,28 @@ def with_block(docs: DataFrame, *content: str) -> DataFrame:
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gram that ends at each byte (an integer; the byte lowest), and where each text's begin.
 
-    Each text gives its bytes and one end byte.
+    Each text gives its bytes and one end byte, with end bytes before it.
     """
     n = np.diff(offsets)
+    begins = offsets[:-1] + DEPTH * np.arange(1, len(n) + 1)  # texts lie apart by DEPTH end bytes, the first of which ends the text before
+    text = np.full(len(data) + DEPTH * (len(n) + 1), END, np.int64)
+    text[np.arange(len(data)) + np.repeat(begins - offsets[:-1], n)] = LOWER[data]
+    joined, have = text, 1  # joined[i]: bytes i .. i+have-1
+    while have < DEPTH + 1:
+        by = min(have, DEPTH + 1 - have)
+        joined = (joined[:-by] << 8 * by) | (joined[by:] & ((1 << 8 * by) - 1))
+        have += by
     first = np.r_[0, np.cumsum(n + 1)]
-    text = np.full(first[-1] + DEPTH, END, np.uint64)  # the end before is the pad after it
-    at = np.arange(len(data)) + np.repeat(np.arange(len(n)), n) + DEPTH
-    text[at] = LOWER[data]
-    out = np.zeros(first[-1], np.int64)
-    begin = np.repeat(first[:-1], n + 1)
-    place = np.arange(first[-1])
-    for back in range(DEPTH, -1, -1):
-        byte = text[DEPTH - back:len(text) - back].astype(np.int64)
-        byte[place - back < begin] = END
-        out = (out << 8) | byte
-    return out, first
+    ends = np.arange(first[-1]) + np.repeat(begins - first[:-1], n + 1)
+    return joined[ends - DEPTH], first
+
+
+def _distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``learn`` for each."""
+    codes, found = pd.factorize(keys)
+    n = np.bincount(codes, learn, minlength=len(found)).astype(np.int64)
+    order = np.argsort(found)
+    return found[order], n[order]
 
 
 class Tally:
@@ -97,18 +107,15 @@ class Tally:
         self.size = 0
 
     def add(self, keys: np.ndarray, learn: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.parts.append(_summed(keys[order], learn[order].astype(np.int64)))
-        self.size += len(self.parts[-1][0])
+        if len(keys):
+            self.parts.append(_distinct(keys, learn))
+            self.size += len(self.parts[-1][0])
         if self.size > self.LIMIT:
             self.pack()
 
     def pack(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > 1:
-            keys = np.concatenate([k for k, _ in self.parts])
-            n = np.concatenate([c for _, c in self.parts])
-            order = np.argsort(keys, kind="stable")
-            self.parts = [_summed(keys[order], n[order])]
+            self.parts = [_distinct(*(np.concatenate([p[i] for p in self.parts]) for i in (0, 1)))]
             self.size = len(self.parts[0][0])
         return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -121,34 +128,66 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tallies: dict[tuple[int, int], Tally] = {}
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (block, kind), t in tallies.items():
-            keys, n = t.pack()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["block", "kind", "key", "n"])
-        tallies.clear()
 
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        for block in np.unique(blocks):
-            rows = batch.filter(pa.array(blocks == block)) if len(batch) and (blocks != block).any() else batch
-            for part, data, offsets in text_slices(rows):
-                learn = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                g, first = grams(data, offsets)
-                tallies.setdefault((int(block), GRAM), Tally()).add(g, np.repeat(learn, np.diff(first)))
-                w = words(data, offsets, IS_TOKEN)
-                tallies.setdefault((int(block), WORD), Tally()).add(w.hashes.view(np.int64), np.repeat(learn, np.diff(w.first)))
-        if sum(t.size for t in tallies.values()) > 2 * Tally.LIMIT:
-            yield from flush()
-    yield from flush()
+def _arrays(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
+
+
+def _packed(keys: np.ndarray, *columns: np.ndarray, parts: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Parts that occur, and for each its keys (in order) and columns as arrays."""
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    first = np.r_[first, len(keys)]
+    return found, [_arrays(x[order], first) for x in (keys, *columns)]
+
+
+def _count(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[tuple[int, int], Tally] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (block, kind), t in tallies.items():
+                keys, n = t.pack()
+                found, arrays = _packed(keys, n.astype(np.int32), parts=parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(np.full(len(found), kind, np.int32)), pa.array(found), *arrays], names=["block", "kind", "part", "keys", "n"])
+            tallies.clear()
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for block in np.unique(blocks):
+                rows = batch.filter(pa.array(blocks == block)) if (blocks != block).any() else batch
+                for part, data, offsets in text_slices(rows):
+                    learn = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                    g, first = grams(data, offsets)
+                    tallies.setdefault((int(block), GRAM), Tally()).add(g, np.repeat(learn, np.diff(first)))
+                    w = words(data, offsets, IS_TOKEN)
+                    tallies.setdefault((int(block), WORD), Tally()).add(w.hashes.view(np.int64), np.repeat(learn, np.diff(w.first)))
+            if sum(t.size for t in tallies.values()) > 2 * Tally.LIMIT:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def count(docs: DataFrame, parts: int) -> DataFrame:
+    """(block, kind, part, keys, n) from ``docs`` (text, held_out, block): the grams and words of a block
+    with their counts in its learning rows, as arrays by part."""
+    return docs.select("block", "held_out", "text").mapInArrow(_count(parts), "block bigint, kind int, part int, keys array<bigint>, n array<int>")
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(block, kind, key, n) from ``docs`` (text, held_out, block): every gram and word of a block, with
-    its count in the block's learning rows."""
-    return docs.select("block", "held_out", "text").mapInArrow(_count, "block bigint, kind int, key bigint, n bigint")
+def _total(table: pa.Table) -> pa.Table:
+    """Counts of one part over all blocks."""
+    keys, n = _distinct(_flat(table.column("keys")), _flat(table.column("n")))
+    one = [0, len(keys)]
+    return pa.table({"kind": table.column("kind")[:1], "part": table.column("part")[:1], "keys": _arrays(keys, np.array(one)), "n": _arrays(n, np.array(one))})
 
 
 # -- trees -----------------------------------------------------------------------------------
@@ -237,7 +276,7 @@ def _roots(table: pa.Table) -> pa.Table:
     return pa.table({"node": shorten(top.keys, SHARED), "a": top.a, "b": top.b, "deeper": top.log_pw})
 
 
-def _predict(upper):
+def _predict(upper, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """log10 probability of the byte of every gram of one group."""
         key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
@@ -251,7 +290,8 @@ def _predict(upper):
             p = level.mixed(at, bit, p)
             if depth:
                 at = shorten(at, depth)
-        return pa.table({"key": key, "value": np.log10(p).sum(axis=1)})
+        value = np.log10(p).sum(axis=1).astype(np.float32).astype(np.float64)  # digits that pack well
+        return pa.table({"kind": pa.array(np.full(len(key), GRAM, np.int32)), "part": part_of(key, parts), "key": key, "value": value})
 
     return run
 
@@ -271,21 +311,40 @@ def upper_levels(groups: DataFrame) -> list[Level]:
     return out
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
-    """(key, value): log10 probability of each gram's byte after its context; ``counts`` has key and n (0: not learned)."""
+def gram_scores(counts: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, key, value): log10 probability of each gram's byte after its context; ``counts`` has key and n (0: not learned)."""
     held = counts.withColumn("last", F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1).cast("bigint")))
     roots = held.groupBy("last").applyInArrow(_roots, "node bigint, a bigint, b bigint, deeper double")
     sent = counts.sparkSession.sparkContext.broadcast(upper_levels(roots))
-    return held.groupBy("last").applyInArrow(_predict(sent), "key bigint, value double")
+    return held.groupBy("last").applyInArrow(_predict(sent, parts), "kind int, part int, key bigint, value double")
 
 
 # -- scoring ---------------------------------------------------------------------------------
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(0)
-    return values[np.searchsorted(keys, wanted)]
+def _look_back(blocks: pa.Table, values: pa.Table) -> pa.Table:
+    """Values of the keys of each block in one part."""
+    order = np.argsort(values.column("key").to_numpy())
+    keys, value = values.column("key").to_numpy()[order], values.column("value").to_numpy()[order]
+    mine = blocks.column("keys").combine_chunks()
+    wanted = mine.flatten().to_numpy()
+    found = value[np.searchsorted(keys, wanted)] if len(wanted) else np.zeros(0)
+    first = np.r_[0, np.cumsum(mine.value_lengths().to_numpy())]
+    return pa.table({"block": blocks.column("block"), "kind": blocks.column("kind"), "keys": mine, "found": _arrays(found, first)})
+
+
+class Lookup:
+    """Values of 64-bit keys, all of which are there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(wanted):
+            return np.zeros(0)
+        codes, found = pd.factorize(wanted)
+        return self.values[np.searchsorted(self.keys, found)][codes]
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -299,22 +358,22 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _score(keep: list[str], total: int, distinct: int, ends: int):
     def run(docs: pa.Table, scores: pa.Table) -> pa.Table:
-        kind, key, value = (scores.column(c).to_numpy() for c in ("kind", "key", "value"))
+        kind = scores.column("kind").to_numpy()
         tables = {}
         for k in (GRAM, WORD):
-            order = np.argsort(key[kind == k])
-            tables[k] = key[kind == k][order], value[kind == k][order]
+            mine = scores.filter(pa.array(kind == k))
+            tables[k] = Lookup(_flat(mine.column("keys")), _flat(mine.column("found")))
         base = lambda c: np.log10((c + 1.0) / (total + distinct + 1.0))
         out = []
         for batch in docs.to_batches():
             for rows, data, offsets in text_slices(batch):
                 g, first = grams(data, offsets)
                 w = words(data, offsets, IS_TOKEN)
-                c = _lookup(*tables[WORD], w.hashes.view(np.int64))
+                c = tables[WORD].of(w.hashes.view(np.int64))
                 n = np.diff(w.first)
                 new = {
                     "n_tokens": n + 1, "n_known": (_sums(c > 0, w.first) + (ends > 0)).astype(np.int64), "train_tokens": np.full(len(n), total),
-                    "base_score": _sums(base(c), w.first) + base(float(ends)), "score": _sums(_lookup(*tables[GRAM], g), first), "n_bytes": np.diff(first) - 1,
+                    "base_score": _sums(base(c), w.first) + base(float(ends)), "score": _sums(tables[GRAM].of(g), first), "n_bytes": np.diff(first) - 1,
                 }
                 out.append(pa.table([*[rows.column(x) for x in keep], *map(pa.array, new.values())], names=[*keep, *new]))
         return pa.concat_tables(out)
@@ -333,18 +392,18 @@ def score(docs: DataFrame) -> DataFrame:
     decision has probability 1/2. Columns named as the new ones are replaced. Code length in bits
     per byte is ``-score * log2(10) / (n_bytes + 1)``.
     """
-    spark = docs.sparkSession
     new = [x.split()[0] for x in NEW.split(", ")]
     docs = docs.select(*[c for c in docs.columns if c not in new])
-    seen = checkpoint(count(docs))
-    totals = checkpoint(seen.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    grams_, words_ = totals.where(F.col("kind") == GRAM), totals.where(F.col("kind") == WORD)
+    size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    parts = max(PARTS, -(-(size or 0) // PART_BYTES))
+    seen = materialise(count(docs, parts))
+    totals = materialise(seen.groupBy("kind", "part").applyInArrow(_total, "kind int, part int, keys array<bigint>, n array<bigint>"))
+    flat = totals.select("kind", "part", F.explode(F.arrays_zip("keys", "n")).alias("x")).select("kind", "part", F.col("x.keys").alias("key"), F.col("x.n").alias("n"))
+    words_ = flat.where(F.col("kind") == WORD)
     some = words_.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-    ends = docs.where(~F.col("held_out")).count()
     total, distinct = (some[0] or 0) + ends, some[1] + (ends > 0)
-    scored = gram_scores(grams_.select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
-    values = scored.unionByName(words_.select("kind", "key", F.col("n").cast("double").alias("value")))
-    mine = seen.select("block", "kind", "key").distinct().join(values, ["kind", "key"])
+    values = gram_scores(flat.where(F.col("kind") == GRAM).select("key", "n"), parts).unionByName(words_.select("kind", "part", "key", F.col("n").cast("double").alias("value")))
+    mine = seen.select("block", "kind", "part", "keys").groupBy("kind", "part").cogroup(values.groupBy("kind", "part")).applyInArrow(_look_back, "block bigint, kind int, keys array<bigint>, found array<double>")
     keep = [c for c in docs.columns if c not in ("text", "block")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), NEW])
     return docs.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_score(keep, total, distinct, ends), schema)
