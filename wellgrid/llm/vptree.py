@@ -150,8 +150,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FAC
     v = checkpoint(v.dropDuplicates(["id", "vec"]))
     n, norm, asked = v.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.count_if("ask")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    points = v.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
-    queries = v.where("ask").select("id", "vec", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+    points = v.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    queries = v.where("ask").select("id", "vec", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     near = queries.groupBy("shard", "block").cogroup(points.groupBy("shard", "block")).applyInPandas(_search(k, factor, norm or 0.0), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
