@@ -1,7 +1,7 @@
 """Language identification with word-first backoff.
 
 Learning counts, for each language, its words (maximal runs of letters, lower-cased) and the
-character n-grams of the words with a space on either side. The model keeps the most frequent
+character n-grams of the words (of up to ``LONGEST`` letters) with a space on either side. The model keeps the most frequent
 words and n-grams of each language; what it keeps shares ``ENTRIES`` evenly among languages and
 kinds of key, so its size is bounded whatever the corpus, and all counts are over all of it.
 
@@ -32,7 +32,7 @@ GRAMS = 4  # longest n-gram
 LONGEST = 40  # characters of a word that can be in the model
 PENALTY = -7.0  # log10
 UNKNOWN = "und"
-FLUSH = 400_000  # distinct words a task holds while it counts
+FLUSH = 400_000  # distinct tokens a task holds while it counts
 SURE = 0.5  # the pipeline keeps a document from this score on
 
 
@@ -42,27 +42,32 @@ def is_held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: dict[str, Counter] = defaultdict(Counter)
+    tokens: dict[str, Counter] = defaultdict(Counter)  # between spaces; cut into words once for all their occurrences
 
     def flush() -> Iterator[pd.DataFrame]:
-        for lang, seen in words.items():
+        for lang, seen in tokens.items():
             kinds: list[Counter] = [Counter() for _ in range(GRAMS + 1)]
-            for w, n in seen.items():
-                if len(w) <= LONGEST:
-                    kinds[0][w] = n
+            long = 0
+            for token, n in seen.items():
+                for w in (token,) if token.isalpha() else LETTERS.findall(token):
+                    if len(w) <= LONGEST:
+                        kinds[0][w] += n
+                    else:
+                        long += n
+            for w, n in kinds[0].items():
                 for size, g in word_grams(w):
                     kinds[size][g] += n
             # the total of a language's words counts the long ones too
-            rows = [(lang, k, g, n) for k, c in enumerate(kinds) for g, n in c.items()] + [(lang, 0, "", sum(n for w, n in seen.items() if len(w) > LONGEST))]
+            rows = [(lang, k, g, n) for k, c in enumerate(kinds) for g, n in c.items()] + [(lang, 0, "", long)]
             yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
-        words.clear()
+        tokens.clear()
 
     held = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
-            before = len(words[lang])
-            words[lang].update(LETTERS.findall(text.lower()))
-            held += len(words[lang]) - before
+            before = len(tokens[lang])
+            tokens[lang].update(text.lower().split())
+            held += len(tokens[lang]) - before
             if held > FLUSH:
                 yield from flush()
                 held = 0
@@ -72,11 +77,15 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def word_grams(word: str) -> Iterator[tuple[int, str]]:
     """All n-grams (size, gram) of a word with a space on either side; the bare space is none."""
     w = f" {word} "
-    for size in range(GRAMS, 1, -1):
-        for i in range(len(w) - size + 1):
-            yield size, w[i:i + size]
-    for c in word:
-        yield 1, c
+    for size in range(GRAMS, 0, -1):
+        for g in grams_of(w, size):
+            yield size, g
+
+
+def grams_of(padded: str, size: int) -> list[str]:
+    if size == 1:
+        return list(padded[1:-1])
+    return [padded[i:i + size] for i in range(len(padded) - size + 1)]
 
 
 def learn(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
@@ -96,75 +105,104 @@ def learn(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
 
 
 class Model:
-    """Score vectors of words; made on the driver from at most ``ENTRIES`` keys, used in tasks."""
+    """Score vectors of keys; made on the driver from at most ``ENTRIES`` keys, used in tasks."""
 
     def __init__(self, rows: list) -> None:
         self.langs = sorted({r.lang for r in rows})
         place = {x: i for i, x in enumerate(self.langs)}
-        self.known: list[dict[str, np.ndarray]] = [{} for _ in range(GRAMS + 1)]
+        self.known: list[dict[str, int]] = [{} for _ in range(GRAMS + 1)]
+        for r in rows:
+            self.known[r.kind][r.key] = -1
+        n = 0
+        for keys in self.known:
+            for key in keys:
+                keys[key] = n
+                n += 1
+        self.vectors = np.full((n, len(self.langs)), PENALTY)
         for r in rows:
-            v = self.known[r.kind].get(r.key)
-            if v is None:
-                v = self.known[r.kind][r.key] = np.full(len(self.langs), PENALTY, np.float32)
-            v[place[r.lang]] = r.logf
-        self.floor = np.full(len(self.langs), PENALTY, np.float32)
-
-    def vector(self, word: str) -> np.ndarray:
-        found = self.known[0].get(word)
-        if found is not None:
-            return found
-        by_size: dict[int, list[np.ndarray]] = defaultdict(list)
-        for size, g in word_grams(word):
-            v = self.known[size].get(g)
-            if v is not None:
-                by_size[size].append(v)
-            elif by_size and size < max(by_size):
-                break
-        return np.mean(by_size[max(by_size)], axis=0) if by_size else self.floor
-
-
-class Scores(dict):
-    """Word to row of a growing table of score vectors, kept below a fixed number of words."""
-
-    LIMIT = 300_000
+            self.vectors[self.known[r.kind][r.key], place[r.lang]] = r.logf
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Score vector of each word."""
+        out = np.full((len(words), len(self.langs)), PENALTY)
+        row = [self.known[0].get(w, -1) for w in words]
+        hit = np.array(row) >= 0 if row else np.zeros(0, bool)
+        out[hit] = self.vectors[np.array(row, int)[hit]]
+        open_ = np.flatnonzero(~hit).tolist()
+        for size in range(GRAMS, 0, -1):
+            get = self.known[size].get
+            found = [[r for g in grams_of(f" {words[i]} ", size) if (r := get(g, -1)) >= 0] for i in open_]
+            some = [(i, f) for i, f in zip(open_, found) if f]
+            if some:
+                n = np.array([len(f) for _, f in some])
+                sums = np.add.reduceat(self.vectors[[r for _, f in some for r in f]], np.r_[0, np.cumsum(n)[:-1]], axis=0)
+                out[[i for i, _ in some]] = sums / n[:, None]
+            open_ = [i for i, f in zip(open_, found) if not f]
+        return out
+
+
+class Tokens(dict):
+    """Token to row of a table: sum of its words' score vectors, and their number; bounded."""
+
+    LIMIT = 400_000
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.vector(word)
-        self[word] = i
-        return i
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """Mean score for each language."""
+        self.rows = np.zeros((0, len(model.langs) + 1))
+
+    def add(self, tokens: set[str]) -> None:
+        """Score what isn't known yet, all at once."""
         if len(self) > self.LIMIT:
             self.clear()
-        at = list(map(self.__getitem__, words))  # may grow the table
-        return self.rows[at].mean(axis=0, dtype=np.float64)
+            self.rows = self.rows[:0]
+        new = [t for t in tokens if t not in self]
+        cut = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
+        n = np.array([len(c) for c in cut], int)
+        rows = np.zeros((len(new), self.rows.shape[1]))
+        some = np.flatnonzero(n)
+        if len(some):
+            v = self.model.score([w for c in cut for w in c])
+            rows[some, :-1] = np.add.reduceat(v, np.r_[0, np.cumsum(n[some])[:-1]], axis=0)
+            rows[:, -1] = n
+        self.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.vstack([self.rows, rows])
+
+    def of(self, tokens: list[str]) -> np.ndarray | None:
+        """Mean score of the words for each language; None without a word."""
+        total = self.rows[list(map(self.__getitem__, tokens))].sum(axis=0)
+        return total[:-1] / total[-1] if total[-1] else None
+
+
+TOGETHER = 1 << 20  # characters of texts whose new tokens are scored at once
 
 
 def _predict(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
-        scores = Scores(m)
-        for batch in batches:
-            langs, sure = [], []
-            for text in batch.pop("text"):
-                words = LETTERS.findall(text.lower()) if text and m.langs else []
-                if not words:
-                    langs.append(UNKNOWN), sure.append(0.0)
+        table_ = Tokens(m)
+
+        def verdicts(texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+            table_.add(set().union(*texts))
+            for tokens in texts:
+                mean = table_.of(tokens) if tokens and m.langs else None
+                if mean is None:
+                    yield UNKNOWN, 0.0
                     continue
-                mean = scores.of(words)
                 best = int(np.argmax(mean))  # the first of equals
-                langs.append(m.langs[best])
-                sure.append(float(1.0 / np.exp((mean - mean[best]) * np.log(10.0)).sum()))
-            yield batch.assign(lang_pred=pd.Series(langs, batch.index, dtype=object), score=pd.Series(sure, batch.index, dtype=float))
+                yield m.langs[best], float(1.0 / np.exp((mean - mean[best]) * np.log(10.0)).sum())
+
+        for batch in batches:
+            out: list[tuple[str, float]] = []
+            held, size = [], 0
+            for text in batch.pop("text"):
+                held.append(text.lower().split() if text else [])
+                size += len(text or "")
+                if size > TOGETHER:
+                    out += verdicts(held)
+                    held, size = [], 0
+            out += verdicts(held)
+            yield batch.assign(lang_pred=pd.Series([x for x, _ in out], batch.index, dtype=object), score=pd.Series([x for _, x in out], batch.index, dtype=float))
 
     return run
 
