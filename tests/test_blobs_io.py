@@ -168,6 +168,8 @@ def test_text_sources(spark, tmp_path):
     assert sorted(r.value for r in readers.text_list(spark, str(tmp_path / "l.txt")).collect()) == ["a", "b"]
     (tmp_path / "p.fa").write_text(">sp|1 GN=TP53 PE=1\nMEE\nPQS\n>sp|2 no tag\nAAA\n>sp|3 GN=MYC\nMPL\n")
     assert {r.gene: r.sequence for r in readers.fasta(spark, str(tmp_path / "p.fa")).collect()} == {"TP53": "MEEPQS", "MYC": "MPL"}
+    (tmp_path / "iso.fa").write_text(">b GN=A\nMMM\n>a GN=A PE=1\nPPP\n>c ORGN=A\nQQQ\n")
+    assert {r.gene: r.sequence for r in readers.fasta(spark, str(tmp_path / "iso.fa")).collect()} == {"A": "PPP"}  # the last record, whole tag only
     only = spark.createDataFrame([("MYC",)], "gene string")
     assert readers.fasta(spark, str(tmp_path / "p.fa"), only).count() == 1
     (tmp_path / "c.yaml").write_text("samples:\n  - source: s1\n    plate: 7\n  - plate: p2\n")

@@ -23,20 +23,20 @@ def matrix(df, col):
 # -- quantiles, quality ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [10**6, 5])
-def test_quantiles_linear_and_null_rules(spark, small):
+def test_quantiles_linear_and_null_rules(spark):
     df = spark.range(100).select((F.col("id") * 1.0).alias("a"), F.lit(None).cast("double").alias("empty"))
     df = df.unionByName(spark.createDataFrame([(float("nan"), None), (None, None)], "a double, empty double"))
-    got = {r.feature: (r.lo, r.hi) for r in quality.quantile_bounds(df, ["a", "empty", "absent"], 0.1, 0.9, small_group=small).collect()}
+    got = {r.feature: (r.lo, r.hi) for r in quality.quantile_bounds(df, ["a", "empty", "absent"], 0.1, 0.9).collect()}
     assert list(got) == ["a"] and got["a"] == pytest.approx((9.9, 89.1), abs=1e-9)
 
 
-def test_bracketed_plan_equals_numpy_on_skew(spark):
+def test_quantiles_equal_numpy_on_skew_and_null_keys(spark):
     x = np.concatenate([np.repeat(5.0, 700), RNG.standard_normal(800) ** 3, [1e9]])
-    df = spark.createDataFrame(pd.DataFrame({"g": ["hot"] * len(x) + ["one"], "x": list(x) + [2.0]}))
+    df = spark.createDataFrame([("hot", float(v)) for v in x] + [("one", 2.0)] + [(None, float(v)) for v in x[:21]], "g string, x double")
     probs = [0.0, 0.001, 0.25, 0.5, 0.975, 1.0]
-    got = {r.g: list(r.q) for r in exact_quantiles(df, ["g"], "x", probs, small_group=1).collect()}
+    got = {r.g: list(r.q) for r in exact_quantiles(df, ["g"], "x", probs).collect()}
     assert got["hot"] == pytest.approx(list(np.quantile(x, probs))) and got["one"] == [2.0] * 6
+    assert got[None] == pytest.approx(list(np.quantile(x[:21], probs)))
 
 
 def test_quality_filter_conjunction(spark):
@@ -49,11 +49,10 @@ def test_quality_filter_conjunction(spark):
     assert (counts.n_before, counts.n_after, counts.n_dropped) == (7, 4, 3)
 
 
-@pytest.mark.parametrize("small", [10**6, 1])
-def test_robust_scale(spark, small):
+def test_robust_scale(spark):
     rows = [("p4", f"a{i}", i < 4, float(i)) for i in range(10)] + [("p5", f"b{i}", i < 5, float(i * i)) for i in range(10)] + [("p0", f"c{i}", False, 7.0) for i in range(3)]
     df = spark.createDataFrame(rows, "plate string, id string, ctrl boolean, value double").withColumn("feature", F.lit("f"))
-    got = {r.id: r.scaled for r in quality.robust_scale(df, ["plate"], ["id"], F.col("ctrl"), small_group=small).collect()}
+    got = {r.id: r.scaled for r in quality.robust_scale(df, ["plate"], ["id"], F.col("ctrl")).collect()}
 
     def expect(x, ref):
         med = np.median(ref)
@@ -66,6 +65,17 @@ def test_robust_scale(spark, small):
     assert got["c0"] == 0.0
 
 
+def test_missing_values_stay_missing(spark):
+    """A gap is no extreme value, and a null plate is scaled like any other."""
+    rows = [(p, f"{p}{i}", "f", False, v) for p in ("p", None) for i, v in enumerate([1.0, 2.0, 4.0, None, float("nan"), 50.0])]
+    df = spark.createDataFrame(rows, "plate string, id string, feature string, ctrl boolean, value double")
+    got = {r.id: r.scaled for r in quality.robust_scale(df, ["plate"], ["id"], F.col("ctrl")).collect()}
+    assert got["p3"] is None and got["p4"] is None and got["p5"] == 4.0
+    assert [got[f"p{i}"] for i in range(6)] == [got[f"None{i}"] for i in range(6)]
+    n = spark.createDataFrame([(1,), (None,), (3,)], "n int")
+    assert [r.n_cells_scaled for r in quality.scaled_count(n, "n").orderBy("n").collect()] == [None, 0.0, 255.0]
+
+
 def test_scaled_count_bounds(spark):
     df = spark.createDataFrame([(1,), (3,), (5,)], "n int")
     assert sorted(r.n_cells_scaled for r in quality.scaled_count(df, "n").collect()) == [0.0, 127.5, 255.0]
@@ -107,11 +117,10 @@ def test_well_mean_needs_determinism_key(cells):
     assert pooling.well_mean(nulls, ["plate", "well"], "vec").count() == 4
 
 
-@pytest.mark.parametrize("small", [10**6, 1])
-def test_well_median_skips_nan(spark, small):
+def test_well_median_skips_nan(spark):
     nan = float("nan")
     df = spark.createDataFrame([("w", 1, [1.0, nan]), ("w", 2, [3.0, 4.0]), ("w", 3, [8.0, 6.0])], "well string, o int, vec array<double>")
-    r = pooling.well_median(df, ["well"], "vec", ["o"], ["o"], small_group=small).first()
+    r = pooling.well_median(df, ["well"], "vec", ["o"], ["o"]).first()
     assert r.vec == [3.0, 5.0] and r.o == 1
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -123,6 +122,18 @@ def blob_density(spark, d):
     return B.all_variants(_pair(spark, d), SHAPE, 1, 1)["SD"].select("fov", F.hex("cell").alias("cell"))
 
 
+@query("""WITH n AS (SELECT vec_id AS id FROM embeddings)
+SELECT count(*) FILTER (id % 10 = 1) AS n_missing, count(*) FILTER (id % 10 = 2) AS n_repeated, count(*) FILTER (id % 10 = 3) AS n_metadata_differs, count(*) FILTER (id % 10 = 4) AS n_image_differs FROM n""")
+def variant_damage(spark, d):
+    """A variant with a tenth of its rows missing, repeated, with other metadata, and with another image."""
+    good = _pair(spark, d)
+    tenth = lambda i: F.pmod("fov", F.lit(10)) == i
+    bad = good.where(~tenth(1)).unionByName(good.where(tenth(2)))
+    bad = bad.withColumn("well", F.when(tenth(3), "elsewhere").otherwise(F.col("well")))
+    bad = bad.withColumn("cell", F.when(tenth(4), F.unhex(F.repeat(F.lit("FE"), F.octet_length("cell")))).otherwise(F.col("cell")))
+    return B.variant_mismatches(good, bad, "fov", ["well", "n_cells_scaled"]).select("n_missing", "n_repeated", "n_metadata_differs", "n_image_differs")
+
+
 @query("""SELECT 'C-S' AS pair, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_metadata_differs, count(*) AS n_keys FROM embeddings UNION ALL
 SELECT 'C-CD', 0, 0, 0, count(*) FROM embeddings UNION ALL SELECT 'S-SD', 0, 0, 0, count(*) FROM embeddings""")
 def variant_alignment(spark, d):
@@ -170,7 +181,7 @@ def featurise(spark, d):
 def ingest_once(spark, d):
     """Two runs of the incremental job store every event exactly once."""
     ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getCheckpointDir()  # shared by all executors, however it was set
     out, state = (f"{base}/ingest-{uuid.uuid4().hex}-{part}" for part in ("out", "state"))
     schema = table(spark, d, "events").schema
     for _ in range(2):

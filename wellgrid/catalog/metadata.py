@@ -287,21 +287,20 @@ def tagged_values(spark, d):
     return M.tagged_values(table(spark, d, "pages"), "html", 'href="/([^"]*)"')
 
 
-@query(r"""WITH r AS (SELECT 'sp|' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'de' THEN '' ELSE ' GN=' || source || '_' || lang END AS header, regexp_replace(text, '\s', '', 'g') AS sequence,
+@query(r"""WITH r AS (SELECT doc_id, 'sp|' || CAST(doc_id AS VARCHAR) || ' ORGN=other' || CASE WHEN lang = 'de' THEN '' ELSE ' GN=' || source || '_' || lang END AS header, regexp_replace(text, '\s', '', 'g') AS sequence,
   CASE WHEN lang <> 'de' THEN source || '_' || lang END AS gene FROM documents)
-SELECT gene, sequence FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY header, sequence) AS rn FROM r WHERE gene IS NOT NULL AND sequence <> '') WHERE rn = 1""")
+SELECT gene, sequence FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY doc_id DESC) AS rn FROM r WHERE gene IS NOT NULL AND sequence <> '') WHERE rn = 1""")
 def sequence_records(spark, d):
     tag = F.when(F.col("lang") == "de", "").otherwise(F.concat(F.lit(" GN="), "source", F.lit("_"), "lang"))
-    rec = F.concat(F.lit("sp|"), F.col("doc_id").cast("string"), tag, F.lit("\n"), "text")
-    return M.sequence_records(table(spark, d, "documents").select(rec.alias("record")), "record")
+    rec = F.concat(F.lit("sp|"), F.col("doc_id").cast("string"), F.lit(" ORGN=other"), tag, F.lit("\n"), "text")
+    return M.sequence_records(table(spark, d, "documents").select("doc_id", rec.alias("record")), "record", ["doc_id"])
 
 
-@query(f"""WITH {CELL}, s AS (SELECT perturbation, count(DISTINCT batch) AS n_sources FROM v_cell WHERE nuc_area = 50 AND nuc_cyto_ratio >= 0.09 GROUP BY perturbation),
+@query(f"""WITH {CELL}, s AS (SELECT perturbation, count(DISTINCT batch) AS n_sources FROM v_cell GROUP BY perturbation),
 h AS (SELECT n_sources, count(*) AS n_keys FROM s GROUP BY n_sources)
 SELECT n_sources, n_keys, CAST(sum(n_keys) OVER (ORDER BY n_sources DESC) AS BIGINT) AS n_keys_at_least FROM h""")
 def coverage_histogram(spark, d):
-    cells = v_cell(spark, d).where("nuc_area = 50 and nuc_cyto_ratio >= 0.09")
-    return report.coverage_histogram(report.distinct_sources(cells, "perturbation", "batch"), "n_sources")
+    return report.coverage_histogram(report.distinct_sources(v_cell(spark, d), "perturbation", "batch"), "n_sources")
 
 
 @query("""WITH t AS (SELECT trim(unnest(string_split(text, ' ')), ' ') AS token FROM documents)
@@ -315,10 +314,10 @@ def factorise(spark, d):
     return dense_ids(table(spark, d, "part").select(F.col("p_name").alias("key")), "key")
 
 
-@query("""SELECT doc_id, 'https' AS scheme, source || '.example.com' AS bucket, lang || '/' || CAST(doc_id AS VARCHAR) AS key FROM documents""")
+@query("""SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/]+)/(.+)$', 1), '') AS scheme, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/]+)/(.+)$', 2), '') AS bucket,
+  nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/]+)/(.+)$', 3), '') AS key FROM pages""")
 def url_parts(spark, d):
-    url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("doc_id", ids.url_parts(url).alias("u")).select("doc_id", "u.scheme", "u.bucket", "u.key")
+    return table(spark, d, "pages").select("page_id", ids.url_parts("url").alias("u")).select("page_id", "u.scheme", "u.bucket", "u.key")
 
 
 @query("""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS n FROM orders GROUP BY o_custkey)
@@ -327,7 +326,10 @@ def request_violations(spark, d):
     return checks.request_violations(table(spark, d, "orders"), "o_custkey", ["o_orderstatus", "o_totalprice"])
 
 
-@query(f"""WITH {CELL} SELECT source, perturbation, round(avg(nuc_area), 6) AS mean FROM v_cell GROUP BY source, perturbation""", name="category_order")
+@query(f"""WITH {CELL}, m AS (SELECT source, perturbation, round(avg(nuc_area), 6) AS mean FROM v_cell GROUP BY source, perturbation)
+SELECT source, perturbation, mean, row_number() OVER (ORDER BY CASE source WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END, CASE perturbation WHEN 'Brand#9' THEN 0 WHEN 'Brand#1' THEN 1 ELSE 2 END, source, perturbation) - 1 AS position FROM m""")
 def category_order(spark, d):
     means = v_cell(spark, d).groupBy("source", "perturbation").agg(r6(F.avg("nuc_area")).alias("mean"))
-    return report.in_category_order(means, {"source": ["EUROPE", "ASIA"], "perturbation": ["Brand#9", "Brand#1"]})
+    ordered = report.in_category_order(means, {"source": ["EUROPE", "ASIA"], "perturbation": ["Brand#9", "Brand#1"]}, ["source", "perturbation"])
+    # the report's few rows, numbered as they come: the order itself is what is checked
+    return ordered.coalesce(1).withColumn("position", F.monotonically_increasing_id())

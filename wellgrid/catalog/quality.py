@@ -41,7 +41,7 @@ def quantile_bounds(spark, d):
 @query(f"WITH {CELL}, {TIDY}, {BOUNDS} SELECT feature, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b")
 def quantile_bounds_bracketed(spark, d):
     """The plan for groups too large for one task, forced by a small size limit."""
-    out = Q.quantile_bounds(v_cell(spark, d), FIELDS, 0.025, 0.975, small_group=100)
+    out = Q.quantile_bounds(v_cell(spark, d), FIELDS, 0.025, 0.975)
     return out.select("feature", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
@@ -63,14 +63,14 @@ def scaled_count(spark, d):
     return Q.scaled_count(fovs, "n_cells").withColumn("n_cells_scaled", r6("n_cells_scaled"))
 
 
-@query(f"""WITH {CELL}, {TIDY}, nc AS (SELECT source, plate, feature, count(*) FILTER (is_control) AS nc FROM tidy GROUP BY ALL),
-ref AS (SELECT t.* FROM tidy t JOIN nc USING (source, plate, feature) WHERE is_control OR nc < 22),
+@query(f"""WITH {CELL}, {TIDY}, g AS (SELECT source, plate, row_key, is_control, feature, {GAPS} AS value FROM tidy), nc AS (SELECT source, plate, feature, count(*) FILTER (is_control) AS nc FROM g GROUP BY ALL),
+ref AS (SELECT t.* FROM g t JOIN nc USING (source, plate, feature) WHERE is_control OR nc < 22),
 med AS (SELECT source, plate, feature, median(value) AS med FROM ref GROUP BY ALL),
 mad AS (SELECT source, plate, feature, any_value(med) AS med, median(abs(value - med)) AS mad FROM ref JOIN med USING (source, plate, feature) GROUP BY ALL)
-SELECT row_key, feature, round(least(greatest((value - med) / CASE WHEN mad > 0 THEN mad * 1.4826 ELSE 1.0 END, -4.0), 4.0), 6) + 0.0 AS scaled
-FROM tidy JOIN mad USING (source, plate, feature)""")
+SELECT row_key, feature, CASE WHEN value IS NOT NULL THEN round(least(greatest((value - med) / CASE WHEN mad > 0 THEN mad * 1.4826 ELSE 1.0 END, -4.0), 4.0), 6) + 0.0 END AS scaled
+FROM g JOIN mad USING (source, plate, feature)""")
 def mad_normalise(spark, d):
-    out = Q.robust_scale(_tidy(spark, d), ["source", "plate"], ["row_key"], F.col("is_control"), min_controls=22)
+    out = Q.robust_scale(Q.clean_nonfinite(_gappy(spark, d), ["value"]), ["source", "plate"], ["row_key"], F.col("is_control"), min_controls=22)
     return out.select("row_key", "feature", r6("scaled").alias("scaled"))
 
 

@@ -133,22 +133,33 @@ def mask_channels(df: DataFrame, shape: Sequence[int], cell: str = "cell", mask:
     return df.withColumn(cell, F.pandas_udf(run, "binary")(cell, mask))
 
 
+def corner_mask(h: int, w: int, size: int, pad: int) -> np.ndarray:
+    """True in the four squares of ``size`` that lie ``pad`` inside each corner."""
+    if min(h, w) < pad + size:
+        raise ValueError(f"patch {size} with pad {pad} does not fit {h}×{w}")
+
+    def edge(n: int) -> np.ndarray:
+        from_side = np.minimum(np.arange(n), np.arange(n)[::-1])
+        return (from_side >= pad) & (from_side < pad + size)
+
+    return np.outer(edge(h), edge(w))
+
+
 def mark_density(df: DataFrame, shape: Sequence[int], size: int, pad: int, cell: str = "cell", density: str = "n_cells_scaled") -> DataFrame:
-    """Density variant: four corner squares hold the scaled count (NaN → 0, clipped, cut to integer)."""
+    """Density variant: the corner squares of every channel hold the scaled count as one byte.
+
+    The byte is the count cut to a whole number between 0 and 255; a missing count is 0.
+    """
     _, h, w = shape
-    if pad + size > h or pad + size > w:
-        raise ValueError(f"patch {size} with pad {pad} does not fit {h}×{w}")
+    marked = corner_mask(h, w, size, pad)
+    x = F.col(density).cast("double")
+    level = F.when(x.isNull() | F.isnan(x), 0).when(x >= 255, 255).when(x <= 0, 0).otherwise(F.floor(x)).cast("int")
 
-    def run(x: pd.Series, n: pd.Series) -> pd.Series:
-        img = _decode(x, shape, cell).copy()
-        level = np.clip(np.nan_to_num(n.to_numpy(np.float64), nan=0.0, posinf=255.0, neginf=0.0), 0, 255).astype(np.uint8)
-        near, far_r, far_c = slice(pad, pad + size), slice(h - pad - size, h - pad), slice(w - pad - size, w - pad)
-        for r in (near, far_r):
-            for k in (near, far_c):
-                img[:, :, r, k] = level[:, None, None, None]
-        return _encode(img)
+    def run(blobs: pd.Series, levels: pd.Series) -> pd.Series:
+        images = _decode(blobs, shape, cell)
+        return _encode(np.where(marked, levels.to_numpy(np.uint8)[:, None, None, None], images))
 
-    return df.withColumn(cell, F.pandas_udf(run, "binary")(cell, F.col(density).cast("double")))
+    return df.withColumn(cell, F.pandas_udf(run, "binary")(cell, level))
 
 
 def all_variants(crops: DataFrame, shape: Sequence[int], size: int, pad: int) -> dict[str, DataFrame]:

@@ -112,8 +112,11 @@ def expand_to_sites(wells: DataFrame, listing: DataFrame, keys: Sequence[str], s
 
 
 def lookup_or_missing(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """Left join with a one-row-per-key table and a ``missing`` flag."""
-    side = table.select(key, value).dropDuplicates([key, value])
+    """Left join with a lookup table and a ``missing`` flag; rows never multiply.
+
+    Of several values of a key the smallest counts.
+    """
+    side = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
     return salted_join(df, side, [key], "left").withColumn("missing", F.col(value).isNull())
 
 
@@ -273,13 +276,15 @@ def tagged_values(df: DataFrame, text: str, pattern: str, group: int = 1, out: s
     return df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias(out)).distinct()
 
 
-def sequence_records(df: DataFrame, record: str) -> DataFrame:
+def sequence_records(df: DataFrame, record: str, order: Sequence[str] = ()) -> DataFrame:
     """``(gene, sequence)`` from FASTA records without their ``>``; untagged ones are dropped.
 
-    The shortest description of a gene wins no special place: the first by header text stays.
+    A gene is the whole word after ``GN=``. Of several records of a gene the last one counts, in
+    the order of ``order`` (file and position, say), then of the header and the sequence.
     """
     header = F.substring_index(F.col(record), "\n", 1)
-    gene = F.nullif(F.regexp_extract(header, r"GN=(\S+)", 1), F.lit(""))
+    gene = F.nullif(F.regexp_extract(header, r"\bGN=(\S+)", 1), F.lit(""))
     body = F.regexp_replace(F.substring(F.col(record), F.length(header) + 2, F.lit(2147483647)), r"\s", "")
-    rows = df.select(gene.alias("gene"), header.alias("header"), body.alias("sequence")).where("gene is not null and sequence <> ''")
-    return first_per_key(rows, ["gene"], ["header", "sequence"]).select("gene", "sequence")
+    rows = df.select(gene.alias("gene"), header.alias("header"), body.alias("sequence"), *order).where("gene is not null and sequence <> ''")
+    last = [F.col(c).desc_nulls_last() for c in (*order, "header", "sequence")]
+    return first_per_key(rows, ["gene"], last).select("gene", "sequence")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..checks import check_quantiles
 from ..functions.vectors import finite_or_null
 from ..plans.joins import salted_join
-from ..plans.quantiles import SMALL_GROUP, exact_quantiles, medians
-from ..plans.sizing import largest_group
+from ..plans.quantiles import exact_quantiles, medians
 
 MAD_SCALE = 1.4826  # fixed values: robust scaling constants
 MAD_MIN_CONTROLS = 5
@@ -40,11 +39,11 @@ def untidy_vector(df: DataFrame, keys: Sequence[str], value: str = "value", out:
     return df.groupBy(*keys).agg(F.transform(pairs, lambda s: s[value]).alias(out))
 
 
-def quantile_bounds(df: DataFrame, fields: Sequence[str], low: float, high: float, **kw) -> DataFrame:
+def quantile_bounds(df: DataFrame, fields: Sequence[str], low: float, high: float) -> DataFrame:
     """``feature, lo, hi``: exact quantiles; absent and all-null fields are left out."""
     check_quantiles(fields, low, high)
     present = [f for f in fields if f in df.columns]
-    q = exact_quantiles(tidy(df, [], present), ["feature"], "value", [low, high], **kw)
+    q = exact_quantiles(tidy(df, [], present), ["feature"], "value", [low, high])
     return q.select("feature", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
@@ -57,58 +56,52 @@ def within_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
     return out
 
 
-def quality_filter(df: DataFrame, fields: Sequence[str], low: float, high: float, enabled: bool = True, **kw) -> DataFrame:
+def quality_filter(df: DataFrame, fields: Sequence[str], low: float, high: float, enabled: bool = True) -> DataFrame:
     """Drop rows outside the quantile range of any field. The bounds are one row per field."""
     if not enabled:
         return df
-    rows = quantile_bounds(df, fields, low, high, **kw).collect()
+    rows = quantile_bounds(df, fields, low, high).collect()
     return within_bounds(df, {r.feature: (r.lo, r.hi) for r in rows})
 
 
 def scaled_count(df: DataFrame, count: str, out: str = "n_cells_scaled", keys: Sequence[str] = ()) -> DataFrame:
-    """Min-max scaling to 0..255 over the whole table (or per key)."""
+    """Min-max scaling to 0..255 over the whole table (or per key); a missing count stays missing."""
     lo, hi = F.min(count), F.max(count)
     if keys:
-        src = salted_join(df, df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi")), keys, "left")
+        src = salted_join(df, df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi")), keys, "left", null_safe=True)
     else:
         src = df.withColumns({"__lo": df.agg(lo).scalar(), "__hi": df.agg(hi).scalar()})
     x = (F.col(count) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)) * 255.0
-    return src.withColumn(out, F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0))).drop("__lo", "__hi")
+    inside = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0)))
+    return src.withColumn(out, inside).drop("__lo", "__hi")
 
 
 def clean_nonfinite(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.withColumns({f: finite_or_null(F.col(f).cast("double")) for f in fields})
 
 
-def robust_scale(tidy_df: DataFrame, plate: Sequence[str], unique: Sequence[str], is_control: Column, min_controls: int = MAD_MIN_CONTROLS, clip: float = MAD_CLIP, small_group: int = SMALL_GROUP) -> DataFrame:
+def robust_scale(tidy_df: DataFrame, plate: Sequence[str], unique: Sequence[str], is_control: Column, min_controls: int = MAD_MIN_CONTROLS, clip: float = MAD_CLIP) -> DataFrame:
     """Per plate and feature: ``(x - median) / (1.4826·MAD)`` clipped to ±clip.
 
     Reference rows are the plate's controls, or the whole plate when it has fewer than
-    ``min_controls``. A zero MAD scales by 1. Input is ``plate…, unique…, feature, value`` plus
-    whatever ``is_control`` reads.
+    ``min_controls``. A zero MAD scales by 1. A missing value (null or NaN) stays missing. Input is
+    ``plate…, unique…, feature, value`` plus whatever ``is_control`` reads. Null plates are a group.
 
-    When the largest plate fits a task (checked), both medians are window aggregates over one
-    shuffle. Otherwise the medians come from the bracketed quantile plan and are joined back.
+    Medians are tables of one row per plate and feature, joined back salted, whatever their size.
     """
     keys = [*plate, "feature"]
-    ctrl = F.coalesce(is_control, F.lit(False))
-    src = tidy_df.withColumns({"__ctrl": ctrl, "value": F.nanvl(F.col("value").cast("double"), F.lit(None))})
-    if largest_group(tidy_df, keys) <= small_group:
-        w = Window.partitionBy(*keys)
-        is_ref = F.col("__ctrl") | (F.col("__nc") < min_controls)
-        out = src.withColumn("__nc", F.count_if("__ctrl").over(w))
-        out = out.withColumn("__med", F.median(F.when(is_ref, F.col("value"))).over(w))
-        out = out.withColumn("__mad", F.median(F.when(is_ref, F.abs(F.col("value") - F.col("__med")))).over(w))
-    else:
-        n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
-        ref = salted_join(src, n_ctrl, keys).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, "value")
-        med = medians(ref, keys, "value", "__med", bounded=False)
-        dev = salted_join(ref, med, keys, spread_by=["value"]).select(*keys, F.abs(F.col("value") - F.col("__med")).alias("__dev"))
-        mad = medians(dev, keys, "__dev", "__mad", bounded=False)
-        out = salted_join(src, med.join(mad, keys), keys, "left", spread_by=unique)
+    src = tidy_df.withColumns({"__ctrl": F.coalesce(is_control, F.lit(False)), "value": F.nanvl(F.col("value").cast("double"), F.lit(None))})
+    back = lambda rows, per: salted_join(rows, per, keys, "left", spread_by=unique, null_safe=True)
+    n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
+    ref = back(src, n_ctrl).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, *[u for u in unique if u not in keys], "value")
+    med = medians(ref, keys, "value", "__med")
+    dev = back(ref, med).withColumn("__dev", F.abs(F.col("value") - F.col("__med")))
+    mad = medians(dev, keys, "__dev", "__mad")
+    out = back(back(src, med), mad)
     scale = F.when(F.col("__mad") > 0, F.col("__mad") * MAD_SCALE).otherwise(1.0)
     z = (F.col("value") - F.col("__med")) / scale
-    return out.withColumn("scaled", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).select(*tidy_df.columns, "scaled")
+    clipped = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
+    return out.withColumn("scaled", clipped).select(*tidy_df.columns, "scaled")
 
 
 def feature_audit(tidy_df: DataFrame, max_missing: float = MAX_MISSING, min_std: float = MIN_STD) -> DataFrame:
@@ -128,11 +121,11 @@ def kept_features(tidy_df: DataFrame, **kw) -> DataFrame:
     return salted_join(tidy_df, feature_audit(tidy_df, **kw).where("keep").select("feature"), ["feature"], "left_semi").select(*tidy_df.columns)
 
 
-def impute_median(tidy_df: DataFrame, **kw) -> DataFrame:
+def impute_median(tidy_df: DataFrame) -> DataFrame:
     """Missing values take the median of their feature."""
     x = finite_or_null(F.col("value"))
     clean = tidy_df.withColumn("value", x)
-    med = medians(clean, ["feature"], "value", "__med", **kw)
+    med = medians(clean, ["feature"], "value", "__med")
     return salted_join(clean, med, ["feature"], "left").withColumn("value", F.coalesce("value", "__med")).drop("__med").select(*tidy_df.columns)
 
 
@@ -167,15 +160,16 @@ def with_parameter(df: DataFrame, params: DataFrame, key: str, value: str, defau
     return salted_join(df, params.select(key, value), [key], "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
-def measured_summary(df: DataFrame, source: str, measure: str, expected: str, min_success: float = 0.5, **kw) -> DataFrame:
+def measured_summary(df: DataFrame, source: str, measure: str, expected: str, min_success: float = 0.5) -> DataFrame:
     """Per source: measured values' median and quartiles, success share, and pass/fail."""
-    q = exact_quantiles(df, [source], measure, [0.25, 0.5, 0.75], **kw)
+    q = exact_quantiles(df, [source], measure, [0.25, 0.5, 0.75])
     ok = df.groupBy(source).agg(
         F.count(F.lit(1)).alias("n_requested"),
         F.count(measure).alias("n_measured"),
         (F.count(measure) / F.count(F.lit(1))).alias("success_fraction"),
     )
-    return ok.join(q, source, "left").select(
+    q = q.withColumnRenamed(source, "__s")
+    return ok.join(q, F.col(source).eqNullSafe(F.col("__s")), "left").select(
         source, "n_requested", "n_measured", "success_fraction",
         F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
         (F.col("success_fraction") >= min_success).alias(expected),

@@ -71,5 +71,6 @@ def best_per_group(df: DataFrame, group: str, config: str, metric: str) -> DataF
     return df.groupBy(group).agg(best.alias("b")).select(group, f"b.{config}", f"b.{metric}")
 
 
-def in_category_order(df: DataFrame, orders: dict[str, list[str]]) -> DataFrame:
-    return df.orderBy(*[position_in(c, o) for c, o in orders.items()])
+def in_category_order(df: DataFrame, orders: dict[str, list[str]], ties: Sequence[str] = ()) -> DataFrame:
+    """Rows in the given order of categories, others last; equal ones by the columns of ``ties``."""
+    return df.orderBy(*[position_in(c, o) for c, o in orders.items()], *ties)

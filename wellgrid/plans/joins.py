@@ -17,16 +17,21 @@ def salted_join(
     how: str = "inner",
     salts: int = DEFAULT_SALTS,
     spread_by: Sequence[str] | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join where one key may hold a large share of ``fact``.
 
     ``side`` has one row per key (an aggregate, a lookup), so repeating it ``salts`` times is
     cheap, while each hot key of ``fact`` is spread over ``salts`` shuffle partitions. If the
-    runtime size of ``side`` is under the broadcast threshold Spark broadcasts it instead.
+    runtime size of ``side`` is under the broadcast threshold Spark broadcasts it instead. With
+    ``null_safe`` a null key meets a null key.
     """
     spread = list(spread_by or [c for c in fact.columns if c not in keys] or keys)
     left = fact.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = side.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    if null_safe:
+        same = lambda d: d.withColumn("__key", F.struct(*[F.col(k) for k in keys]))
+        return same(left).join(same(right).drop(*keys), ["__key", "__salt"], how).drop("__key", "__salt")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 

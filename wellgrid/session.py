@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,17 @@ def local_session(cores: int | str | None = None, app: str = "wellgrid") -> Spar
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context, so that their Python workers can import it.
+
+    The archive is made in the driver's temporary folder and served by the driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_wellgrid_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "wellgrid"), "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__))))
+    sc.addPyFile(archive)
+    sc._wellgrid_sent = True

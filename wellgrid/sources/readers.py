@@ -61,9 +61,14 @@ def image_blobs(spark: SparkSession, path: str, key: str, image: str) -> DataFra
 
 
 def fasta(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
-    """``gene, sequence``; records without a gene tag are dropped. Splits on '>' so files stay splittable."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    out = sequence_records(raw, "value")
+    """``gene, sequence``; records without a gene tag are dropped. Splits on '>' so files stay splittable.
+
+    Of several records of a gene the last in its file counts, of several files the last by name.
+    """
+    raw = spark.read.option("lineSep", ">").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+    )
+    out = sequence_records(raw.where(F.length(F.trim("value")) > 0), "value", ["file", "block", "place"])
     return out if genes is None else out.join(genes.select("gene").distinct(), "gene", "left_semi")
 
 
