@@ -202,7 +202,7 @@ def test_partitioned_resharded_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("s", "b", f"p{i % 2}", i) for i in range(10)], "source string, batch string, plate string, id int")
     writers.by_plate(df, str(tmp_path / "plates"))
     assert sorted(os.listdir(tmp_path / "plates" / "source=s" / "batch=b"))[-2:] == ["plate=p0", "plate=p1"]
-    writers.resharded(df, str(tmp_path / "files"), ["id"], F.floor(F.col("id") / 4), rows_per_file=3, max_files=64)
+    writers.resharded(df, str(tmp_path / "files"), ["id"], rows_per_file=3, max_files=64)
     files = sorted(f for f in os.listdir(tmp_path / "files") if f.endswith(".parquet"))
     parts = [[r.id for r in spark.read.parquet(str(tmp_path / "files" / f)).collect()] for f in files]
     assert [p for p in sorted(parts)] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]]

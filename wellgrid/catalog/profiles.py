@@ -220,7 +220,7 @@ def bh_adjust(spark, d):
 
 @query()
 def map_significance(spark, d):
-    return replicate.significance(_ap(spark, d), "perturbation", null_size=2000)
+    return replicate.significance(_ap(spark, d), "perturbation")
 
 
 # -- integration scores ------------------------------------------------------------------
@@ -345,7 +345,7 @@ def sphere(spark, d):
 
 @query()
 def pca(spark, d):
-    return _tidy(correct.principal_components(v_vec(spark, d), "vec", 10), ["id"], "pca", 4)
+    return _tidy(correct.principal_components(v_vec(spark, d), "vec"), ["id"], "pca", 4)
 
 
 # the copied features tie with their originals, of which the first goes; no other pair exceeds 0.9
@@ -362,7 +362,7 @@ def correlation_filter(spark, d):
 def harmony(spark, d):
     wells = v_vec(spark, d)
     shifted = wells.withColumn("vec", F.transform("vec", lambda x: x.cast("double") + F.col("batch").cast("double") * 0.05))
-    return _tidy(correct.harmony(shifted, "vec", "batch", "id", n_clusters=10, max_rounds=2, inner_rounds=2), ["id"], "harmony", 4)
+    return _tidy(correct.harmony(shifted, "vec", "batch", "id", max_rounds=100), ["id"], "harmony", 4)
 
 
 # -- whole flows -------------------------------------------------------------------------
@@ -399,11 +399,20 @@ def classical_profiles(spark, d):
     return _tidy(out, ["source", "plate", "well"], "sphered", 5)
 
 
+@query()
+def classical_profiles_sphered(spark, d):
+    """The same flow with its last step."""
+    cells = _cell_vec(spark, d)
+    control = F.col("well").isin("W01", "W02", "W03", "W04", "W05", "W06")
+    obs = cells.select("source", "plate", "well", control.alias("is_control")).where("well <> 'W07'").distinct()
+    return _tidy(profiles.classical_profiles_median(cells, "vec", obs, plate=["source", "plate"]), ["source", "plate", "well"], "sphered", 5)
+
+
 @query()
 def embedding_profiles(spark, d):
     cells = v_vec(spark, d).withColumns({"source": F.lit("s"), "well": F.pmod("id", F.lit(100)).cast("string")})
     out = profiles.embedding_profiles(
-        cells, "vec", F.col("perturbation").isin("0", "1", "2", "3"), metadata=["perturbation"], order=["id"], n_pcs=8, n_clusters=5, max_rounds=2, inner_rounds=2
+        cells, "vec", F.col("perturbation").isin("0", "1", "2", "3"), metadata=["perturbation"], order=["id"], max_rounds=100
     )
     return _tidy(out, ["well_key", "batch", "n_cells"], "pca_harmony", 4)
 

@@ -23,7 +23,7 @@ def _cells(spark, d):
 @query(f"""WITH {FOV}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY site) AS rn FROM v_fov)
 SELECT site, source || '_snakemake_batch_' || CAST((rn - 1) // 380 AS VARCHAR) AS snakemake_batch FROM r""")
 def bucket_assign(spark, d):
-    return S.assign_buckets(v_fov(spark, d).select("source", "site"), "source", ["site"], 380, F.floor(F.col("site") / 4096)).select("site", "snakemake_batch")
+    return S.assign_buckets(v_fov(spark, d).select("source", "site"), "source", ["site"], 380).select("site", "snakemake_batch")
 
 
 @query(f"""WITH {CELL}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, plate ORDER BY row_key) AS rn FROM v_cell) WHERE rn <= 100)
@@ -35,7 +35,7 @@ def cap_per_group(spark, d):
 
 @query("""SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS slice FROM events""")
 def fixed_slices(spark, d):
-    return S.fixed_slices(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], 50, F.floor(F.col("event_id") / 4096))
+    return S.fixed_slices(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], 50)
 
 
 @query("SELECT event_type, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS n_slices FROM events GROUP BY event_type")
@@ -47,7 +47,7 @@ def slice_counts(spark, d):
 f AS (SELECT *, least(ceil(n / 100.0), 8) AS files FROM r)
 SELECT doc_id, CAST(floor((rn - 1) / ceil(n / files)) AS BIGINT) AS file FROM f""")
 def contiguous_file_plan(spark, d):
-    return S.file_plan(table(spark, d, "documents").select("doc_id"), ["doc_id"], F.floor(F.col("doc_id") / 4096), rows_per_file=100, max_files=8)
+    return S.file_plan(table(spark, d, "documents").select("doc_id"), ["doc_id"], rows_per_file=100, max_files=8)
 
 
 @query(f"""WITH {CELL} SELECT plate, well, row_key FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY {H}, row_key) AS rn FROM v_cell) WHERE rn <= 5""")

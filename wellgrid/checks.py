@@ -134,17 +134,18 @@ def assert_batch_cardinality(df: DataFrame, batch: str, expected: int | None) ->
 
 # -- argument rules ---------------------------------------------------------------
 
-STRATEGIES = {  # fixed values: strategy name -> the size argument it needs
+STRATEGIES = {  # fixed values: strategy name -> the size argument it needs, if any
     "uniform_per_well": "n_per_well",
     "uniform_per_compound_source": "n_per_group",
     "uniform_total": "n_total",
+    "all": None,
 }
 
 
 def check_sampling(strategy: str, **args) -> None:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {sorted(STRATEGIES)}")
-    size = args.get(STRATEGIES[strategy])
+    size = args.get(STRATEGIES[strategy]) if STRATEGIES[strategy] else 1
     if size is None or int(size) <= 0:
         raise ValueError(f"{strategy} needs a positive {STRATEGIES[strategy]}")
     if args.get("control_labels") and strategy != "uniform_per_compound_source":

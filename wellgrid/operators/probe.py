@@ -100,7 +100,9 @@ def metric_summary(df: DataFrame, metric: str, family: str, prefix: str, familie
         share(0.1).alias(f"{prefix}_frac_gt_0p1"), share(0.3).alias(f"{prefix}_frac_gt_0p3"),
     )
     per = exact_quantiles(ok, ["fam"], "x", [0.5])
-    family = {f: per.agg(F.max(F.when(F.col("fam") == f, F.col("q")[0]))).scalar().alias(f"{prefix}_{f.lower()}") for f in families}
+    medians = per.agg(*[F.max(F.when(F.col("fam") == f, F.col("q")[0])).alias(f) for f in families])
+    row = medians.select(F.struct(*families)).scalar()
+    family = {f: row[f].alias(f"{prefix}_{f.lower()}") for f in families}
     return counts.select(
         f"{prefix}_n", q[1].alias(f"{prefix}_median"), q[0].alias(f"{prefix}_iqr_lo"), q[2].alias(f"{prefix}_iqr_hi"),
         f"{prefix}_frac_gt_0", f"{prefix}_frac_gt_0p1", f"{prefix}_frac_gt_0p3", *family.values(),

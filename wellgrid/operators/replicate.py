@@ -26,6 +26,8 @@ from ..functions.vectors import l2_normalize
 from ..plans.blocks import _arrow_schema, chunks, grid, matrix, similarity, values
 from ..plans.durable import checkpoint
 from ..plans.joins import salted_join
+from ..plans.ranking import pieces
+from ..plans.sizing import shuffle_partitions
 
 NULL_SIZE = 10_000  # fixed values
 SEED = 42
@@ -203,6 +205,8 @@ def null_distributions(configs: DataFrame, null_size: int = NULL_SIZE, seed: int
             })
 
     shapes = configs.select("n_pos", "n_neg").distinct()
+    # few rows with much work each: an explicit number, so that adaptive execution does not fold them into one task
+    shapes = shapes.repartition(shuffle_partitions(configs), "n_pos", "n_neg")
     return shapes.mapInPandas(draw, "n_pos bigint, n_neg bigint, nulls array<double>")
 
 
@@ -230,14 +234,22 @@ def significance(ap: DataFrame, perturbation: str, null_size: int = NULL_SIZE, s
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "corrected_p_value") -> DataFrame:
-    """Benjamini–Hochberg: ``min over p' ≥ p of p'·m/rank(p')``, capped at 1.
+    """Benjamini–Hochberg: ``min over p' ≥ p of p'·m/rank(p')``, capped at 1; null stays null.
 
-    Works on the distinct p-values (at most null size + 1 of them for permutation p-values).
+    Works on the distinct p-values, dealt out in consecutive pieces: ranks add the counts of the
+    pieces before, minima take those of the pieces after, and only one row per piece is seen together.
     """
-    steps = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__c"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    total = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    raw = steps.withColumn("__q", F.col(p) * F.sum("__c").over(total) / F.sum("__c").over(up))
-    adj = raw.select(p, F.least(F.min("__q").over(down), F.lit(1.0)).alias(out))
+    steps = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    dealt = pieces(steps, [], ["__p"])
+    per = dealt.groupBy("__piece").agg(F.sum("__c").alias("__in"))
+    by_piece = Window.partitionBy().orderBy("__piece")  # one row per piece
+    before = F.coalesce(F.sum("__in").over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("__piece", before.alias("__before"), F.sum("__in").over(Window.partitionBy()).alias("__m"))
+    inside = Window.partitionBy("__piece").orderBy("__p")
+    rank = F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    raw = checkpoint(dealt.join(per, "__piece").withColumn("__q", F.col("__p") * F.col("__m") / rank).select("__piece", "__p", "__q"))
+    later = F.min("__low").over(by_piece.rowsBetween(1, Window.unboundedFollowing))
+    after = raw.groupBy("__piece").agg(F.min("__q").alias("__low")).select("__piece", later.alias("__after"))
+    least = F.least(F.min("__q").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__after"), F.lit(1.0))
+    adj = raw.join(after, "__piece").select(F.col("__p").alias(p), least.alias(out))
     return salted_join(df, adj, [p], "left")

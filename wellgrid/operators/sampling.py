@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..checks import check_fractions, check_positive
 from ..functions.hashing import draw
 from ..plans.joins import salted_join, skew_safe_semi
-from ..plans.ranking import GROUP_LIMIT, bucketed_rank, first_per_key, hash_bucket, top_n
+from ..plans.ranking import GROUP_LIMIT, bucketed_rank, first_per_key, hash_bucket, ranged_rank, top_n
 from .metadata import on_plates_with_control
 
 SEED = 42  # fixed value
@@ -75,17 +75,17 @@ def cap_in_order(df: DataFrame, plate: Sequence[str], well: Sequence[str], order
     return top_n(out, well, order, per_well) if per_well else out
 
 
-def assign_buckets(df: DataFrame, source: str, order: Sequence[str], size: int, bucket: Column, out: str = "snakemake_batch", suffix: str = "_snakemake_batch_") -> DataFrame:
+def assign_buckets(df: DataFrame, source: str, order: Sequence[str], size: int, out: str = "snakemake_batch", suffix: str = "_snakemake_batch_") -> DataFrame:
     """``{source}_snakemake_batch_{i}``: consecutive runs of ``size`` rows, restarting per source."""
     check_positive(size=size)
-    ranked = bucketed_rank(df, [source], order, bucket, "__r")
+    ranked = ranged_rank(df, [source], order, "__r")
     name = F.concat(F.col(source).cast("string"), F.lit(suffix), F.floor((F.col("__r") - 1) / size).cast("string"))
     return ranked.withColumn(out, name).drop("__r")
 
 
-def fixed_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, bucket: Column, out: str = "slice") -> DataFrame:
+def fixed_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, out: str = "slice") -> DataFrame:
     check_positive(size=size)
-    ranked = bucketed_rank(df, keys, order, bucket, "__r")
+    ranked = ranged_rank(df, keys, order, "__r")
     return ranked.withColumn(out, F.floor((F.col("__r") - 1) / size)).drop("__r")
 
 
@@ -94,11 +94,12 @@ def slice_counts(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(n / size)).alias("n_slices"))
 
 
-def file_plan(df: DataFrame, order: Sequence[str], bucket: Column, rows_per_file: int = 25_000, max_files: int = 64) -> DataFrame:
-    """Contiguous equal ranges: ``file = (row-1) // ceil(N / min(ceil(N/rows), max))``."""
-    check_positive(rows_per_file=rows_per_file, max_files=max_files)
-    ranked = bucketed_rank(df, [], order, bucket, "__r", "__n")
-    files = F.least(F.ceil(F.col("__n") / rows_per_file), F.lit(max_files))
+def file_plan(df: DataFrame, order: Sequence[str], rows_per_file: int = 25_000, max_files: int | None = None) -> DataFrame:
+    """Contiguous equal ranges: ``file = (row-1) // ceil(N / files)``, ``files`` from the file size and at most ``max_files`` if given."""
+    check_positive(rows_per_file=rows_per_file, **({} if max_files is None else {"max_files": max_files}))
+    ranked = ranged_rank(df, [], order, "__r", "__n")
+    files = F.ceil(F.col("__n") / rows_per_file)
+    files = files if max_files is None else F.least(files, F.lit(max_files))
     return ranked.withColumn("file", F.floor((F.col("__r") - 1) / F.ceil(F.col("__n") / files))).drop("__r", "__n")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..checks import check_positive
 from ..functions.hashing import draw
 from ..plans.joins import salted_join
-from ..plans.ranking import bucketed_rank, dense_ids, hash_bucket
+from ..plans.ranking import bucketed_rank, dense_ids, hash_bucket, ranged_rank
 
 SEED = 42  # fixed value
 
@@ -121,7 +121,7 @@ def perturbation_balanced(
     pools = _pools(rows, perturbation, strata, unique, seed)
     if strata:
         layers = pools.groupBy(perturbation, strata).agg(F.max("n").alias("n"))
-        layers = bucketed_rank(layers, [perturbation], [strata], F.lit(0), "layer", "n_layers")
+        layers = ranged_rank(layers, [perturbation], [strata], "layer", "n_layers")
         per = layers.groupBy(perturbation).agg(F.max("n_layers").alias("n_layers"))
         turn = F.col("draw_no") + _uniform(seed, F.lit("layer"), "batch", "slot")
         placed = salted_join(draws, per, [perturbation]).withColumn("layer", F.pmod(turn, F.col("n_layers")) + 1)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .durable import checkpoint
+
 GROUP_LIMIT = 1000  # Spark trims groups map-side up to this n (spark.sql.window.group.limit.threshold)
 
 
@@ -78,9 +80,36 @@ def bucketed_rank(
     )
 
 
+def pieces(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """``df`` with ``__g`` (a struct of the keys) and ``__piece``: consecutive ranges of (keys, order).
+
+    A piece is one partition of a range shuffle by sampled bounds, so pieces are even whatever the
+    keys and values look like; the rows are written to the checkpoint folder, so pieces stay what they are.
+    """
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.withColumn("__g", group).repartitionByRange(n, "__g", *_cols(order)).withColumn("__piece", F.spark_partition_id()))
+
+
+def ranged_rank(df: DataFrame, keys: Sequence[str], order: Sequence, rank: str = "rank", total: str | None = None) -> DataFrame:
+    """1-based ``row_number`` per group in a total order, null keys included.
+
+    Rows are numbered inside (group, piece) and shifted by the sizes of the earlier pieces; there
+    are no more pieces than shuffle partitions, so a group's offsets are few rows.
+    """
+    dealt = pieces(df, keys, order)
+    whole = Window.partitionBy("__g")
+    sizes = dealt.groupBy("__g", "__piece").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__g", "__piece", before.alias("__off"), F.sum("__c").over(whole).alias("__total"))
+    local = Window.partitionBy("__g", "__piece").orderBy(*_cols(order))
+    out = dealt.join(sizes, ["__g", "__piece"]).withColumn(rank, F.col("__off") + F.row_number().over(local))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__g", "__piece", "__off", "__total")
+
+
 def dense_ids(df: DataFrame, key: str, out: str = "class_id") -> DataFrame:
     """Ids 0..C-1 of the distinct keys in sorted order (works on the distinct keys only)."""
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
-    numeric = isinstance(df.schema[key].dataType, T.NumericType)
-    bucket = F.floor(F.col(key) / 4096) if numeric else F.substring(F.col(key).cast("string"), 1, 2)
-    return bucketed_rank(distinct, [], [key], bucket, out).withColumn(out, F.col(out) - 1)
+    return ranged_rank(distinct, [], [key], out).withColumn(out, F.col(out) - 1)

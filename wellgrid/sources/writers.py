@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import check_positive
@@ -24,9 +24,9 @@ def by_plate(df: DataFrame, path: str, keys: Sequence[str] = ("source", "batch",
     df.repartition(*keys, spread).write.mode(mode).option("compression", "zstd").partitionBy(*keys).parquet(path)
 
 
-def resharded(df: DataFrame, path: str, order: Sequence[str], bucket: Column, rows_per_file: int = 25_000, max_files: int = 64) -> None:
-    """At most ``max_files`` contiguous equal files in the given order."""
-    plan = file_plan(df, order, bucket, rows_per_file, max_files)
+def resharded(df: DataFrame, path: str, order: Sequence[str], rows_per_file: int = 25_000, max_files: int | None = None) -> None:
+    """Contiguous equal files of about ``rows_per_file`` rows in the given order; at most ``max_files`` if given."""
+    plan = file_plan(df, order, rows_per_file, max_files)
     n = plan.agg(F.max("file")).first()[0] + 1
     plan.repartitionByRange(n, "file").sortWithinPartitions("file", *order).drop("file").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
