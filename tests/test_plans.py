@@ -3,7 +3,11 @@
 import pytest
 
 from tests.oracle import SF
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from wellgrid import catalog
+from wellgrid.plans.ranking import pieces, ranged_rank
 
 catalog.load_all()
 
@@ -33,6 +37,19 @@ def test_scan_reads_only_needed_columns(spark):
     assert "l_extendedprice" not in line and "l_shipdate" not in line
 
 
-def test_one_shuffle_for_robust_scaling(spark):
-    assert plan(spark, "mad_normalise").count("Exchange hashpartitioning") == 1
-    assert plan(spark, "well_median").count("Exchange hashpartitioning") == 1
+def test_no_group_is_gathered_for_quantiles(spark):
+    """A group with nearly all rows, keys that share a prefix, and one hot value lie in many even pieces."""
+    df = spark.range(20_000).select(F.concat(F.lit("JCP2022_"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(1).cast("string")).alias("k"), (F.col("id") * 7 % 20_000).alias("v"))
+    sizes = [r["count"] for r in pieces(df, ["k"], ["v"]).groupBy("__piece").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.3 * 20_000
+    ids = [r["count"] for r in pieces(df.select("k").distinct(), [], ["k"]).groupBy("__piece").count().collect()]
+    assert len(ids) >= 6 and max(ids) < 0.3 * sum(ids)
+    assert "percentile" not in plan(spark, "mad_normalise") and "median" not in plan(spark, "well_median")
+
+
+def test_ranks_and_adjustment_equal_the_plain_ones(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
+    got = {r.id: (r.rank, r.n) for r in ranged_rank(df, ["g", "k"], ["v", "id"], "rank", "n").collect()}
+    w = Window.partitionBy("g", "k")
+    want = {r.id: (r.rank, r.n) for r in df.withColumn("rank", F.row_number().over(w.orderBy("v", "id"))).withColumn("n", F.count(F.lit(1)).over(w)).collect()}
+    assert got == want
