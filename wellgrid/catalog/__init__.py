@@ -24,4 +24,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load_all() -> None:
-    from . import blobs, metadata, profiles, quality, sampling  # noqa: F401
+    from . import blobs, io, metadata, profiles, quality, sampling  # noqa: F401
