@@ -206,6 +206,24 @@ def average_precision(spark, d):
     return _ap(spark, d).withColumn("ap", r6("ap"))
 
 
+AP_ALL = AP.replace("q.batch <> g.batch OR q.plate <> g.plate", "q.batch <> g.batch AND q.plate <> g.plate")
+AP_CONTROLS = AP.replace("AND q.id <> g.id WHERE NOT q.is_control),", "AND q.id <> g.id AND g.is_control WHERE NOT q.is_control),")
+
+
+@query(f"WITH {AP_ALL} SELECT id, perturbation, n_pos, n_neg, round(ap, 6) AS ap FROM ap")
+def average_precision_all(spark, d):
+    """Positives differ in every plate column."""
+    out = replicate.average_precision(v_vec(spark, d), "id", "vec", "perturbation", ["batch", "plate"], F.col("is_control"), DIM, diff_mode="all")
+    return out.withColumn("ap", r6("ap"))
+
+
+@query(f"WITH {AP_CONTROLS} SELECT id, perturbation, n_pos, n_neg, round(ap, 6) AS ap FROM ap")
+def average_precision_controls(spark, d):
+    """Negatives are the plate's controls only."""
+    out = replicate.average_precision(v_vec(spark, d), "id", "vec", "perturbation", ["batch", "plate"], F.col("is_control"), DIM, negatives="controls")
+    return out.withColumn("ap", r6("ap"))
+
+
 @query(f"WITH {AP} SELECT perturbation, count(*) AS n_queries, round(avg(ap), 6) AS mean_ap FROM ap WHERE ap IS NOT NULL GROUP BY perturbation")
 def map_per_perturbation(spark, d):
     return replicate.map_per_perturbation(_ap(spark, d), "perturbation").withColumn("mean_ap", r6("mean_ap"))
@@ -329,6 +347,12 @@ def composite_score(spark, d):
     return scored.select("id", *[r6(c).alias(c) for c in ("batch_correction", "bio_conservation", "total")])
 
 
+@query()
+def integration_report(spark, d):
+    """All scores of one embedding and their composites."""
+    return integration.full_report(v_vec(spark, d), "id", "vec", "perturbation", "batch", DIM)
+
+
 # -- correction --------------------------------------------------------------------------
 
 
@@ -408,6 +432,15 @@ def classical_profiles_sphered(spark, d):
     return _tidy(profiles.classical_profiles_median(cells, "vec", obs, plate=["source", "plate"]), ["source", "plate", "well"], "sphered", 5)
 
 
+@query()
+def classical_profiles_mean(spark, d):
+    """Classical features on the embedding path, by well means."""
+    cells = _cell_vec(spark, d)
+    control = F.col("perturbation").isin("Brand#1", "Brand#2", "Brand#3")
+    out = profiles.classical_profiles_mean(cells, "vec", control, "row_key", keys=["source", "plate", "well"], metadata=["perturbation"])
+    return _tidy(out, ["well_key", "batch", "n_cells"], "pca_harmony", 4)
+
+
 @query()
 def embedding_profiles(spark, d):
     cells = v_vec(spark, d).withColumns({"source": F.lit("s"), "well": F.pmod("id", F.lit(100)).cast("string")})
