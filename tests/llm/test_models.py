@@ -100,6 +100,13 @@ def test_neighbours(spark, factor, least):
     assert all(x == sorted(x, key=lambda p: (-p[1], p[0])) for x in got.values())
 
 
+def test_equal_vectors_go_by_key(spark):
+    rows = [(i, [1.0, 0.5] if i % 2 else [0.5, 1.0]) for i in range(700, 0, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = found(vptree.search(df, F.col("vec_id") % 20 == 0, shard_rows=50))
+    assert all([i for i, _ in got[q]] == [i for i in range(2, 60, 2) if i != q][:20] for q in range(20, 701, 20))
+
+
 def test_neighbours_hard_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (20, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (0, [1.0, 0.0]), (40, []), (60, [1.0, 1.0, 1.0])]

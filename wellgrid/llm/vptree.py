@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
+from ..plans.ranking import top_n
 from .registry import query, table
 
 K = 20
 EVERY = 20
 FACTOR = 0.5
+SPARE = 8  # points beyond k that a tree returns: the query itself, and near-ties that rounding might misplace
 LEAF = 512
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
@@ -117,8 +119,7 @@ def usable(vector: str) -> Column:
 
 def _search(k: int, factor: float, norm: float):
     def run(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-        found = []
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
         for dim, part in points.groupby(points["vec"].map(len)):  # vectors of another length don't meet
             ask = queries[queries["vec"].map(len) == dim]
             if not len(ask):
@@ -126,14 +127,16 @@ def _search(k: int, factor: float, norm: float):
             x, q = np.stack(part["vec"].to_numpy()).astype(float), np.stack(ask["vec"].to_numpy()).astype(float)
             lift = np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0))
             tree = Tree(np.column_stack([x, lift]))
-            rows, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), k + 1, factor)  # one more: the query itself
+            rows, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), k + SPARE, factor)
             i, j = np.nonzero(rows >= 0)
             at = rows[i, j]
             score = np.einsum("ij,ij->i", q[i], x[at])
-            out = pd.DataFrame({"query_id": ask["id"].to_numpy()[i], "vec_id": part["id"].to_numpy()[at], "score": score})
+            ids = part["ids"].to_numpy()
+            n = np.fromiter(map(len, ids), int)[at]
+            out = pd.DataFrame({"query_id": np.repeat(ask["id"].to_numpy()[i], n), "vec_id": np.concatenate([*ids[at], np.zeros(0, np.int64)]).astype(np.int64), "score": np.repeat(score, n)})
             out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             found.append(out.groupby("query_id").head(k))
-        return pd.concat(found) if found else none
+        return pd.concat(found[1:] or found)
 
     return run
 
@@ -143,15 +146,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FAC
 
     Null keys, and vectors that are null, zero or hold a null or non-finite component take no
     part. Repeated rows (key and vector) count once; a query never finds a row of its own key.
-    Vectors of different lengths don't meet. Ties go to the smaller key. With ``factor`` 1 the
-    answer is exact. An empty table gives an empty result.
+    Vectors of different lengths don't meet. Ties go to the smaller key: equal vectors are one point
+    of a tree with their ``k + 1`` smallest keys, as no others can be an answer. With ``factor`` 1
+    the answer is exact. An empty table gives an empty result.
     """
-    v = vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"), is_query.alias("ask"))
+    vec = F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))  # no negative zero
+    v = vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("bigint").alias("id"), vec.alias("vec"), is_query.alias("ask"))
     v = checkpoint(v.dropDuplicates(["id", "vec"]))
     n, norm, asked = v.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.count_if("ask")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    points = v.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    queries = v.where("ask").select("id", "vec", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    points = top_n(v.select("id", "vec"), ["vec"], ["id"], k + 1).groupBy("vec").agg(F.collect_list("id").alias("ids"))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards))).withColumn("block", upto(blocks))
+    queries = v.where("ask").select("id", "vec", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).withColumn("shard", upto(shards))
     near = queries.groupBy("shard", "block").cogroup(points.groupBy("shard", "block")).applyInPandas(_search(k, factor, norm or 0.0), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
