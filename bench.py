@@ -15,7 +15,8 @@ HEADLINE = [
     "ridge_probe", "silhouette_label", "kbet_per_label", "lisi_scores", "pcr_comparison", "sphere", "pca",
     "well_mean", "well_median", "mad_normalise", "quality_filter", "quantile_bounds", "sample_per_well",
     "sample_fraction", "batch_diverse_pick", "bucket_assign", "annotation_priority_join", "site_expansion_join",
-    "blob_percentile_norm", "cell_stats", "top_tokens",
+    "blob_percentile_norm", "cell_stats", "top_tokens", "correlation_filter", "graph_connectivity", "selected_cells",
+    "classical_profiles", "embedding_profiles", "harmony",
 ]
 
 
