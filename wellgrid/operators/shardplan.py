@@ -56,6 +56,12 @@ def equal_per_class(df: DataFrame, label: str, unique: Sequence[str], batch_size
     return wanted.join(pools.drop("n"), [label, "pos"]).select("batch", "slot", label, *unique)
 
 
+def _times(classes: DataFrame, n: int, times: int, out: str) -> DataFrame:
+    """Each of ``n`` classes (``class_id``) once for every number below ``times``, from a range that tasks share."""
+    every = classes.sparkSession.range(n * times).select(F.pmod("id", F.lit(n)).alias("class_id"), F.floor(F.col("id") / n).alias(out))
+    return salted_join(every, classes, ["class_id"], spread_by=[out])
+
+
 def perturbation_balanced(
     df: DataFrame,
     perturbation: str,
@@ -99,7 +105,7 @@ def perturbation_balanced(
     blocks = stats.free // n_random if mode == "cycle" else 1
     epochs = -(-n_batches // blocks)
     # one hashed permutation of the free perturbations per epoch
-    perm = free.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(epochs) - 1)))).withColumn(
+    perm = _times(free, int(stats.free), int(epochs), "epoch").withColumn(
         "__h", draw(seed, F.lit("perm"), "epoch", perturbation)
     )
     perm = bucketed_rank(perm, ["epoch"], ["__h", perturbation], hash_bucket("__h"), "r")
@@ -109,10 +115,8 @@ def perturbation_balanced(
         (F.pmod(F.col("r") - 1, F.lit(n_random)) + F.lit(int(stats.p))).alias("slot"),
     ).where(F.col("batch") < int(n_batches))
     if stats.p:
-        pins = dense_ids(names.where(is_pinned), perturbation).select(perturbation, F.col("class_id").alias("slot"))
-        chosen = chosen.unionByName(
-            pins.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(int(n_batches) - 1)))).select(perturbation, "batch", "slot")
-        )
+        pins = _times(dense_ids(names.where(is_pinned), perturbation), int(stats.p), int(n_batches), "batch")
+        chosen = chosen.unionByName(pins.select(perturbation, "batch", F.col("class_id").alias("slot")))
     # the remainder: a hashed rotation of the slots, one extra row for the first ones
     shift = F.pmod(_uniform(seed, F.lit("extra"), "batch"), F.lit(perturbations_per_batch))
     extra = F.pmod(F.col("slot") + shift, F.lit(perturbations_per_batch)) < remainder
