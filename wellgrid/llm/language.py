@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
 from ..plans.ranking import top_n
+from .arrow_text import give_back
 from .registry import query, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -32,7 +34,8 @@ GRAMS = 4  # longest n-gram
 LONGEST = 40  # characters of a word that can be in the model
 PENALTY = -7.0  # log10
 UNKNOWN = "und"
-FLUSH = 400_000  # distinct tokens a task holds while it counts
+FLUSH = 300_000  # distinct tokens a task holds while it counts
+PIECE = 20_000  # rows that leave a counting task together
 SURE = 0.5  # the pipeline keeps a document from this score on
 
 
@@ -44,23 +47,31 @@ def is_held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tokens: dict[str, Counter] = defaultdict(Counter)  # between spaces; cut into words once for all their occurrences
 
+    def rows(lang: str, kind: int, found: Counter) -> Iterator[pd.DataFrame]:
+        items = iter(found.items())
+        while part := list(islice(items, PIECE)):
+            yield pd.DataFrame({"lang": lang, "kind": kind, "key": [k for k, _ in part], "n": [n for _, n in part]})
+
     def flush() -> Iterator[pd.DataFrame]:
-        for lang, seen in tokens.items():
-            kinds: list[Counter] = [Counter() for _ in range(GRAMS + 1)]
-            long = 0
+        while tokens:
+            lang, seen = tokens.popitem()
+            words, long = Counter(), 0
             for token, n in seen.items():
                 for w in (token,) if token.isalpha() else LETTERS.findall(token):
                     if len(w) <= LONGEST:
-                        kinds[0][w] += n
+                        words[w] += n
                     else:
                         long += n
-            for w, n in kinds[0].items():
+            del seen
+            words[""] = long  # the total of a language's words counts the long ones too
+            yield from rows(lang, 0, words)
+            del words[""]
+            kinds: list[Counter] = [Counter() for _ in range(GRAMS + 1)]
+            for w, n in words.items():
                 for size, g in word_grams(w):
                     kinds[size][g] += n
-            # the total of a language's words counts the long ones too
-            rows = [(lang, k, g, n) for k, c in enumerate(kinds) for g, n in c.items()] + [(lang, 0, "", long)]
-            yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
-        tokens.clear()
+            for size in range(1, GRAMS + 1):
+                yield from rows(lang, size, kinds[size])
 
     held = 0
     for batch in batches:
@@ -72,6 +83,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield from flush()
                 held = 0
     yield from flush()
+    give_back()
 
 
 def word_grams(word: str) -> Iterator[tuple[int, str]]:
@@ -144,19 +156,21 @@ class Model:
 class Tokens(dict):
     """Token to row of a table: sum of its words' score vectors, and their number; bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
-        self.rows = np.zeros((0, len(model.langs) + 1))
+        self.rows = np.empty((self.LIMIT, len(model.langs) + 1))  # the first len(self) are in use
 
     def add(self, tokens: set[str]) -> None:
         """Score what isn't known yet, all at once."""
-        if len(self) > self.LIMIT:
-            self.clear()
-            self.rows = self.rows[:0]
         new = [t for t in tokens if t not in self]
+        if len(self) + len(new) > len(self.rows):
+            self.clear()
+            new = list(tokens)
+            if len(new) > len(self.rows):
+                self.rows = np.empty((len(new), self.rows.shape[1]))
         cut = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
         n = np.array([len(c) for c in cut], int)
         rows = np.zeros((len(new), self.rows.shape[1]))
@@ -165,8 +179,9 @@ class Tokens(dict):
             v = self.model.score([w for c in cut for w in c])
             rows[some, :-1] = np.add.reduceat(v, np.r_[0, np.cumsum(n[some])[:-1]], axis=0)
             rows[:, -1] = n
-        self.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.vstack([self.rows, rows])
+        at = len(self)
+        self.rows[at:at + len(new)] = rows
+        self.update(zip(new, range(at, at + len(new))))
 
     def of(self, tokens: list[str]) -> np.ndarray | None:
         """Mean score of the words for each language; None without a word."""
@@ -177,7 +192,7 @@ class Tokens(dict):
 TOGETHER = 1 << 20  # characters of texts whose new tokens are scored at once
 
 
-def _predict(model):
+def _predict(model, keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
         table_ = Tokens(m)
@@ -195,29 +210,31 @@ def _predict(model):
         for batch in batches:
             out: list[tuple[str, float]] = []
             held, size = [], 0
-            for text in batch.pop("text"):
+            for text in batch["text"]:
                 held.append(text.lower().split() if text else [])
                 size += len(text or "")
                 if size > TOGETHER:
                     out += verdicts(held)
                     held, size = [], 0
             out += verdicts(held)
-            yield batch.assign(lang_pred=pd.Series([x for x, _ in out], batch.index, dtype=object), score=pd.Series([x for _, x in out], batch.index, dtype=float))
+            yield batch[keep].assign(lang_pred=pd.Series([x for x, _ in out], batch.index, dtype=object), score=pd.Series([x for _, x in out], batch.index, dtype=float))
+        del table_
+        give_back()
 
     return run
 
 
-def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` without ``text``, with ``lang_pred`` and ``score``.
+def predict(docs: DataFrame, model: DataFrame, carry_text: bool = False) -> DataFrame:
+    """``docs`` without ``text`` (unless ``carry_text``), with ``lang_pred`` and ``score``.
 
     The score is the share of the best language among all, at the mean odds of one word. Text that
     is null or has no letter, and any text if nothing was learned, is ``und`` with score 0. Equal
     scores go to the first language by name. Columns named as the new ones are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (carry_text or c != "text")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.collect()))
-    return docs.select(*keep, "text").mapInPandas(_predict(sent), schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(_predict(sent, keep), schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -229,9 +246,8 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def keep_identified(docs: DataFrame, key: str = "doc_id", sure: float = SURE) -> DataFrame:
     """Rows of ``docs``, whole, whose language is known with at least the score ``sure``."""
     model = learn(docs.where(~is_held_out(F.col(key))))
-    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    named = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns], "text")
-    out = predict(named, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= sure))
+    own = {c: f"__own_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}
+    out = predict(docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]), model, carry_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= sure))
     return out.select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import checkpoint
 from ..plans.joins import salted_join
 from ..plans.sizing import shuffle_partitions
-from .arrow_text import text_slices
+from .arrow_text import give_back, text_slices
 from .components import components
 from .registry import query, table
 
@@ -68,6 +68,7 @@ def _fingerprint(keep: list[str], k: int, seed: int):
                 raw = data.tobytes()
                 f = majority([_of_text(raw[a:b], k, seed) for a, b in zip(offsets[:-1], offsets[1:])])
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(f.view(np.int64))], names=[*keep, "fp"])
+        give_back()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
-from .arrow_text import Words, text_slices, words
+from .arrow_text import Words, give_back, text_slices, words
 from .registry import query, table
 
 WINDOW = 13
@@ -121,21 +121,22 @@ def _find(fingerprints, keep: list[str]):
                     [*[rows.column(c) for c in keep], pa.array(np.diff(w.first)), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     names=[*keep, "n_words", "spans", "items"],
                 )
+        give_back()
 
     return run
 
 
-def find_passages(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` without ``text``, with n_words, spans (word positions a <= i < b) and items.
+def find_passages(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS, carry_text: bool = False) -> DataFrame:
+    """``docs`` without ``text`` (unless ``carry_text``), with n_words, spans (word positions a <= i < b) and items.
 
     ``docs`` has ``text``; its other columns are carried along, apart from those named n_words,
     spans or items, which are replaced. ``items`` has item_id and text. Null and empty texts have no words; an empty
     benchmark hits nothing; repeated rows are looked at one by one; repeated item ids count once.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("text", "n_words", "spans", "items")]
+    keep = [c for c in docs.columns if c not in ("n_words", "spans", "items") and (carry_text or c != "text")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), OUT])
-    docs = docs.select(*keep, "text")
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
     windows = checkpoint(benchmark_windows(items))
     blocks = max(1, -(-windows.count() // block_windows))
     if blocks > 1:
@@ -145,7 +146,7 @@ def find_passages(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     found = []
     for b in range(blocks):
         marks = spark.sparkContext.broadcast(Fingerprints(windows.where(F.col("block") == b).collect()))
-        found.append(docs.select(*keep, "text").mapInArrow(_find(marks, keep), schema))
+        found.append(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_find(marks, keep), schema))
     if blocks == 1:
         return found[0]
     parts = found[0]
@@ -168,9 +169,9 @@ def hit_words(spans: str = "spans"):
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS, carry_text: bool = False) -> DataFrame:
     """``find_passages`` with n_hit, n_items, items_sha256 and contaminated."""
-    out = find_passages(docs, items, block_windows).withColumn("n_hit", hit_words())
+    out = find_passages(docs, items, block_windows, carry_text).withColumn("n_hit", hit_words())
     ids = F.array_join(F.array_sort("items"), ",")
     return out.withColumns({
         "n_items": F.size("items").cast("bigint"), "items_sha256": F.sha2(ids.cast("binary"), 256),
@@ -180,9 +181,8 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with their columns and whole texts."""
-    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    named = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns], F.col("text"))
-    out = contamination(named, items).where(~F.col("contaminated"))
+    own = {c: f"__own_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}
+    out = contamination(docs.select(*[F.col(c).alias(own[c]) for c in docs.columns]), items, carry_text=True).where(~F.col("contaminated"))
     return out.select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 
