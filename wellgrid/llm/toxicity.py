@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
+from .arrow_text import give_back
 from .registry import query, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -58,6 +59,7 @@ def _presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(seen[0]) + len(seen[1]) > 400_000:
             yield from flush()
     yield from flush()
+    give_back()
 
 
 def telling_words(labelled: DataFrame, n: dict[int, int], words: int = WORDS) -> list[str]:
@@ -163,17 +165,21 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarra
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE, words: int = WORDS) -> tuple[list[str], Ordinal]:
-    """Features and model from labels (key, toxic); rows with a null in either, and null texts, teach nothing."""
+    """Features and model from labels (key, toxic); rows with a null in either, and null texts, teach nothing.
+
+    The texts of labelled documents are shuffled once, to meet their labels for the counts.
+    """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = checkpoint(docs.select(key, "text").where(F.col("text").isNotNull()).join(marks, key))
-    n_rows = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    features = telling_words(labelled, n_rows, words)
+    texts = docs.select(key, "text").where(F.col("text").isNotNull())
+    marks = checkpoint(marks.join(texts.select(key).distinct(), key))  # of documents that are there; no text moves
+    n_rows = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    features = telling_words(texts.join(marks, key), n_rows, words)
     if not features:
         return [], Ordinal(np.zeros(0), np.array([40.0, 41.0]))
-    order = [F.xxhash64(key), F.col(key), F.xxhash64("text")]
-    drawn = [labelled.where(F.col("toxic") == t).orderBy(*order).limit(sample) for t in (0, 1)]
+    drawn = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64(key), key).limit(sample) for t in (0, 1)]
     sent = docs.sparkSession.sparkContext.broadcast(features)
-    x = drawn[0].unionByName(drawn[1]).select("toxic", "text").mapInPandas(_vectors(sent), "toxic int, at array<int>, n array<int>, words bigint").toPandas()
+    # at most 2 * sample keys, so the broadcast is bounded
+    x = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), key).select("toxic", "text").mapInPandas(_vectors(sent), "toxic int, at array<int>, n array<int>, words bigint").toPandas()
     size = x["at"].map(len).to_numpy(int)
     rows = np.repeat(np.arange(len(x)), size)
     cols = np.concatenate([*x["at"], np.zeros(0)]).astype(int)
