@@ -129,6 +129,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e"), (3, "other words here now"), (7, None)]
 
 
+def test_groups_that_share_an_id_stay_apart(spark):
+    """Different texts under null ids, and under one repeated id, are different groups."""
+    texts = ["red apples fall from old trees", "ships sail over the cold sea", "nobody reads the long manual"]
+    rows = [(None, t) for t in texts] + [(4, "quiet rivers run through green valleys"), (4, "seven engines hum below the deck"), (9, texts[0])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("9", texts[0]), ("None", texts[1]), ("None", texts[2]), ("4", rows[3][1]), ("4", rows[4][1])])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(df).count() == 0

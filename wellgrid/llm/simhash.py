@@ -289,7 +289,7 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame
     return b.mapInArrow(_links(radius), "u bigint, v bigint")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without ``text``, with fp and component_id (the smallest key reachable).
 
     Texts with equal fingerprints always link, so null and empty texts are one group, linked like
@@ -297,13 +297,18 @@ def groups(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, shingle:
     rows stay equal rows. An empty table gives an empty result. A column component_id or fp of
     ``docs`` is replaced.
     """
+    return _rooted(docs, key, **options).drop("__root")
+
+
+def _rooted(docs: DataFrame, key: str, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
+    """``groups`` with ``__root``, a fingerprint of the group that no other group has; component_id may be shared."""
     marked = checkpoint(fingerprints(docs.drop("component_id"), shingle, seed))
     per = checkpoint(marked.groupBy("fp").agg(F.min(key).alias("smallest")))
     comp = components(links(per.select("fp"), radius, crowd))
     comp = checkpoint(comp)
     named = per.join(comp, per.fp == comp.node, "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_fp = named.select("fp", "root").join(names, "root").select("fp", "component_id")
+    by_fp = named.select("fp", "root").join(names, "root").select("fp", F.col("root").alias("__root"), "component_id")
     return salted_join(marked, by_fp, ["fp"], spread_by=[key])
 
 
@@ -313,9 +318,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     Repeated rows are cut to one before the texts are shuffled, once.
     """
     named = lambda k: F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("null"))
-    found = groups(docs.select(key, "text").withColumn("__text", F.xxhash64("text")), key, **options)
+    found = _rooted(docs.select(key, "text").withColumn("__text", F.xxhash64("text")), key, **options)
     least = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__text").alias("t")))
-    first = found.groupBy("component_id").agg(least.alias("__first")).select(named(F.col("__first.k")).alias("__id"), F.col("__first.t").alias("__t"))
+    first = found.groupBy("__root").agg(least.alias("__first")).select(named(F.col("__first.k")).alias("__id"), F.col("__first.t").alias("__t"))
     others = [F.col(c) for c in docs.columns if c not in (key, "text")]
     same = Window.partitionBy("__id", "__t").orderBy(*others, "text")
     one = docs.withColumns({"__id": named(F.col(key)), "__t": F.xxhash64("text")}).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
