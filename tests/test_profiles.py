@@ -326,6 +326,26 @@ def test_harmony_removes_batch_keeps_labels(spark):
     assert spread(z) > 0.8 * spread(x)
 
 
+def test_harmony_goes_on_until_settled(spark, monkeypatch):
+    """Without a number of rounds it doesn't stop at the tenth."""
+    x = RNG.standard_normal((40, 3))
+    df = vectors(spark, x, batch=[str(i % 2) for i in range(40)])
+    rounds = []
+
+    class Eleventh(Exception):
+        pass
+
+    def counted(state, keep=correct.checkpoint):
+        rounds.append(1)
+        if len(rounds) == 11:
+            raise Eleventh
+        return keep(state)
+
+    monkeypatch.setattr(correct, "checkpoint", counted)
+    with pytest.raises(Eleventh):
+        correct.harmony(df, "vec", "batch", "id", n_clusters=2, inner_rounds=1, tol=-1.0)
+
+
 # -- integration scores ----------------------------------------------------------------------
 
 
