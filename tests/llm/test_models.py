@@ -62,6 +62,29 @@ def test_severity_hard_cases(spark):
     assert not any(r.toxic for r in toxicity.grade(docs, labels.limit(0)).collect())
 
 
+def test_one_copied_document_hides_no_words(spark):
+    """A third of the labelled rows are one toxic text; the words of the others still tell."""
+    rng = np.random.default_rng(2)
+    plain = [f"{a}{b}{c}word" for a in "bdfghk" for b in "aeiou" for c in "lmnprst"]
+    bad = ["idiot", "moron", "scum", "loser", "trash", "clown"]
+    fine = [" ".join(rng.choice(plain, 30)) for _ in range(300)]
+    toxic = [" ".join([*rng.choice(plain, 30), *rng.choice(bad, 4)]) for _ in range(100)]
+    hot = " ".join(f"{a}{b}{c}{a}harmless" for a in "vwxyzq" for b in "aeiou" for c in "bcdfgklmnprst")
+    texts = [*fine, *toxic, *[hot] * 200]
+    rows = list(enumerate(texts)) + [(1000 + i, f"{w} {w} you {w}") for i, w in enumerate(bad)] + [(2000, "you and others")]
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(len(texts))], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.grade(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert all(got[1000 + i] for i in range(len(bad))) and not got[2000]
+
+
+def test_repeated_rows_teach_once(spark):
+    """More rows under one id than there are labelled ids."""
+    rows = [(i, f"you idiot {i}" if i % 3 == 0 else f"fine words {i}") for i in range(90)] + [(0, "you idiot 0")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    features, _ = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    assert "idiot" in features
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, 600)

@@ -2,9 +2,10 @@
 
 ``P(grade <= k | x) = sigmoid(threshold_k - w.x)``: one weight vector for all thresholds, which are
 ordered by construction. Features are log(1 + count) of the words and word beginnings (four to six
-letters, so that inflected forms count together) that tell labelled toxic documents from others best, chosen from counts over every labelled document. The regression is
-fitted on a bounded sample of labelled documents (``SAMPLE`` of each label, first by a hash of
-the key, so reruns agree), with at most ``WORDS`` features each. Every document is scored.
+letters, so that inflected forms count together) that tell labelled toxic documents from others: all
+whose z-value is above ``TELLING``, from counts over every labelled document. Rows of equal
+key and text count once. The regression is fitted on a bounded sample of labelled
+documents (``SAMPLE`` of each label, first by a hash of the key, so reruns agree). Every document is scored.
 
 Labels say toxic or not. The grades of toxic documents come from the share of telling words among
 all: 1 below ``SEVERE``, 2 from it on; documents that are not toxic have grade 0.
@@ -26,7 +27,7 @@ from .arrow_text import give_back
 from .registry import query, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-WORDS = 512  # features
+TELLING = 3.0  # z-value from which a word is a feature
 SAMPLE = 10_000  # documents of each label that the fit sees
 LEAST = 5  # labelled documents that have a feature
 SEVERE = 0.02
@@ -62,8 +63,8 @@ def _presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
-def telling_words(labelled: DataFrame, n: dict[int, int], words: int = WORDS) -> list[str]:
-    """The words whose presence tells the labels apart best, by the z-value of their log odds ratio.
+def telling_words(labelled: DataFrame, n: dict[int, int]) -> list[str]:
+    """The words whose presence tells the labels apart, by the z-value of their log odds ratio.
 
     Only words at home in toxic documents; ``labelled`` has toxic (0 or 1) and text, ``n`` the rows of each. Counts cover all rows.
     """
@@ -76,7 +77,7 @@ def telling_words(labelled: DataFrame, n: dict[int, int], words: int = WORDS) ->
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     ratio = F.log(a / (F.lit(bad + 1.0) - a)) - F.log(b / (F.lit(fine + 1.0) - b))
     z = ratio / F.sqrt(1 / a + 1 / (F.lit(bad + 1.0) - a) + 1 / b + 1 / (F.lit(fine + 1.0) - b))
-    top = c.withColumn("z", z).where(F.col("z") > 3).orderBy(F.col("z").desc(), "word").limit(words)
+    top = c.withColumn("z", z).where(F.col("z") > TELLING).orderBy(F.col("z").desc(), "word")
     return [r.word for r in top.collect()]
 
 
@@ -109,7 +110,7 @@ def _vectors(sent):
         feats = Features(sent.value)
         for batch in batches:
             got = [feats.of(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "at": [list(c) for c, _ in got], "n": [list(c.values()) for c, _ in got], "words": [w for _, w in got]})
+            yield pd.DataFrame({"t": batch["t"], "toxic": batch["toxic"], "at": [list(c) for c, _ in got], "n": [list(c.values()) for c, _ in got], "words": [w for _, w in got]})
 
     return run
 
@@ -164,22 +165,25 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarra
     return Ordinal(p[:features], p[features] + np.r_[0.0, np.cumsum(np.exp(p[features + 1:]))])
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE, words: int = WORDS) -> tuple[list[str], Ordinal]:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], Ordinal]:
     """Features and model from labels (key, toxic); rows with a null in either, and null texts, teach nothing.
 
-    The texts of labelled documents are shuffled once, to meet their labels for the counts.
+    Rows of equal key and text teach once. Texts are shuffled once, for the counts; repeated rows are cut to
+    one before that, where they are.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(key, "text").where(F.col("text").isNotNull())
-    marks = checkpoint(marks.join(texts.select(key).distinct(), key))  # of documents that are there; no text moves
+    texts = docs.select(key, "text", F.xxhash64("text").alias("t")).where(F.col("text").isNotNull())
+    marks = checkpoint(texts.select(key, "t").distinct().join(marks, key))  # of documents that are there; no text moves
     n_rows = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    features = telling_words(texts.join(marks, key), n_rows, words)
+    features = telling_words(texts.groupBy(key, "t").agg(F.first("text").alias("text")).join(marks, [key, "t"]), n_rows)
     if not features:
         return [], Ordinal(np.zeros(0), np.array([40.0, 41.0]))
-    drawn = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64(key), key).limit(sample) for t in (0, 1)]
+    drawn = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64(key), key, "t").limit(sample) for t in (0, 1)]
     sent = docs.sparkSession.sparkContext.broadcast(features)
-    # at most 2 * sample keys, so the broadcast is bounded
-    x = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), key).select("toxic", "text").mapInPandas(_vectors(sent), "toxic int, at array<int>, n array<int>, words bigint").toPandas()
+    # at most 2 * sample rows, so the broadcast and the vectors are bounded
+    x = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), [key, "t"]).select(F.xxhash64(key, "t").alias("t"), "toxic", "text")
+    x = x.mapInPandas(_vectors(sent), "t bigint, toxic int, at array<int>, n array<int>, words bigint").dropDuplicates(["t"]).toPandas()
+    x = x.sort_values("t", ignore_index=True)
     size = x["at"].map(len).to_numpy(int)
     rows = np.repeat(np.arange(len(x)), size)
     cols = np.concatenate([*x["at"], np.zeros(0)]).astype(int)
