@@ -27,6 +27,13 @@ def test_language_hard_cases(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_of_long_runs(spark):
+    """Runs that are too long for words teach their n-grams."""
+    df = spark.createDataFrame([("天地玄黄宇宙洪荒" * 8, "zh"), ("the cat and the dog", "en")], "text string, lang string")
+    got = language.predict(spark.createDataFrame([(1, "宇宙洪荒" * 15)], "doc_id long, text string"), language.learn(df)).first()
+    assert got.lang_pred == "zh"
+
+
 def test_unknown_words_fall_back_to_shorter_grams(spark):
     df = spark.createDataFrame([("abcdef abcdef xy", "aa"), ("uvwxyz uvwxyz", "bb")], "text string, lang string")
     m = language.Model(language.learn(df).collect())

@@ -1,7 +1,8 @@
 """Language identification with word-first backoff.
 
 Learning counts, for each language, its words (maximal runs of letters, lower-cased) and the
-character n-grams of the words (of up to ``LONGEST`` letters) with a space on either side. The model keeps the most frequent
+character n-grams of the words with a space on either side; runs of more than ``LONGEST`` letters have
+n-grams, but are no words of the model. The model keeps the most frequent
 words and n-grams of each language; what it keeps shares ``ENTRIES`` evenly among languages and
 kinds of key, so its size is bounded whatever the corpus, and all counts are over all of it.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -55,19 +56,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> Iterator[pd.DataFrame]:
         while tokens:
             lang, seen = tokens.popitem()
-            words, long = Counter(), 0
+            words, long = Counter(), Counter()
             for token, n in seen.items():
                 for w in (token,) if token.isalpha() else LETTERS.findall(token):
                     if len(w) <= LONGEST:
                         words[w] += n
                     else:
-                        long += n
+                        long[w] += n
             del seen
-            words[""] = long  # the total of a language's words counts the long ones too
+            words[""] = long.total()  # the total of a language's words counts the long ones too
             yield from rows(lang, 0, words)
             del words[""]
             kinds: list[Counter] = [Counter() for _ in range(GRAMS + 1)]
-            for w, n in words.items():
+            for w, n in chain(words.items(), long.items()):
                 for size, g in word_grams(w):
                     kinds[size][g] += n
             for size in range(1, GRAMS + 1):
@@ -77,8 +78,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             before = len(tokens[lang])
-            tokens[lang].update(text.lower().split())
-            held += len(tokens[lang]) - before
+            found = text.lower().split()
+            tokens[lang].update(found)
+            # a long token holds as much as several
+            held += len(tokens[lang]) - before + sum(len(t) // LONGEST for t in found if len(t) > LONGEST)
             if held > FLUSH:
                 yield from flush()
                 held = 0
