@@ -98,3 +98,7 @@ def test_mix_and_shards(stages):
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(str, got)) == sorted(map(str, stages[5]))
+
+
+def test_run_reads_parquet(spark):
+    assert all(f.endswith(".parquet") for f in corpus_pipeline.run(spark, SF).inputFiles() or ["none"])
