@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from wellgrid.llm import private as P
 
 PLAIN = {
@@ -74,3 +76,9 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, None), (2, "plain words")], "doc_id long, text string")
     assert [r.found for r in P.find_private(df).collect()] == [[], []]
     assert P.find_private(df.limit(0)).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    text = "token=" + "a1" * 150 + " end"
+    row = spark.createDataFrame([(text,)], "text string").select(P.candidates(F.col("text"), "secret").alias("c")).first()
+    assert [(x.s, x.e) for x in row.c] == [(0, 306)]

@@ -40,7 +40,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9_/+-]{8,128}",
+    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9_/+-]{8,}+",
 }
 NEEDS = {"email": "@", "phone": "+"}  # without it there is no match
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
