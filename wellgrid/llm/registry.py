@@ -33,4 +33,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{name}")
 
 
-OPERATORS = ["sharding", "mixing", "winnowing", "simhash", "language", "contexttree", "vptree", "tokencount", "private", "toxicity", "periodic", "packing"]
+OPERATORS = ["sharding", "mixing", "winnowing", "simhash", "language", "contexttree", "vptree", "tokencount", "private", "toxicity", "periodic", "packing", "merkle"]
