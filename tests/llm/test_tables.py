@@ -82,6 +82,25 @@ def test_targets_stop_at_twice_the_size(spark):
     assert got["a"] == 20 and got["d"] == 0
 
 
+@pytest.mark.parametrize("seed", [f"p{i}" for i in range(4)])
+def test_repeated_rows_are_mixed_one_by_one(spark, seed):
+    from wellgrid.llm import mixing
+
+    rows = [(7, "many words of one text " * 20, "a")] * 200 + [(i, f"w{i} " * (1 + i % 90), "a") for i in range(200, 400)] + [(None, "none " * 30, "b")] * 50 + [(900 + i, "x y z", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.pareto_mix(df, seed=seed).groupBy("source").agg({"taken": "sum", "size": "max", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] / 2 + 1e-6 for r in got)
+    mix = mixing.take_mix(df, seed=seed)
+    assert mix.count() == mixing.pareto_mix(df, seed=seed).agg({"copies": "sum"}).first()[0]
+
+
+def test_repeated_rows_match_sql(spark, tmp_path):
+    rows = [(7, "many words of one text " * 20, "a")] * 60 + [(i, f"w{i} " * (1 + i % 9), "a") for i in range(20)] + [(8, "c d " * 40, "b")] * 90 + [(900 + i, "x y z", "c") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert differences(registry.QUERIES["op3_mixing"](spark, str(tmp_path)), duck(str(tmp_path)), registry.ORACLES["op3_mixing"]) == []
+
+
 def test_shares_of_the_lookup_table():
     from collections import Counter
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
+from ..plans.ranking import ranged_rank
 from .registry import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,8 +79,9 @@ def _ranked(d: DataFrame, goal: DataFrame) -> DataFrame:
 def pareto_plan(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """A row per source: source_size, target, and which documents the sample holds.
 
-    ``__whole`` copies are certain; a document is in the sample if its (rank, key, size) is not
-    above ``__last``. ``sized`` has __key, __source, __size and __u.
+    ``__whole`` copies are certain; a document is in the sample if its (rank, key, size, text hash) is not
+    above ``__last``, and of the rows that equal ``__cut`` in these, ``__some`` are. ``sized`` has __key, __source,
+    __size, __hash and __u.
     """
     goal = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), share, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -92,12 +94,17 @@ def pareto_plan(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...]
     cut = sums.withColumn("before", before).where((F.col("before") < F.col("__left")) & (F.col("before") + F.col("n") >= F.col("__left")))
     cut = cut.select(F.col("__source").alias("__c"), F.col("slice").alias("cut"), "before")
     edge = d.join(cut, F.col("__source").eqNullSafe(F.col("__c")) & (F.col("slice") == F.col("cut")))
-    inner = Window.partitionBy("__source").orderBy("__rank", "__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("before") + F.coalesce(F.sum("__size").over(inner), F.lit(0)) + F.col("__size") / 2.0
-    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size")
-    start = F.struct((F.col("cut") / SLICES / (1 - F.col("cut") / SLICES)).alias("__rank"), F.lit("").alias("__key"), F.lit(-1).cast("bigint").alias("__size"))
-    # the document that crosses the mark is in if that comes nearer to it
-    last = edge.withColumn("in", upto <= F.col("__left")).groupBy("__source").agg(F.coalesce(F.max(F.when(F.col("in"), at)), F.first(start)).alias("__last"))
+    # rows alike in draw, key, size and text are one class; the mark may cut a class
+    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size", "__hash")
+    classes = edge.groupBy("__source", at.alias("at"), "before", "cut", "__left").agg(F.count(F.lit(1)).alias("n"))
+    size = F.col("at.__size")
+    first = F.col("before") + F.coalesce(F.sum(size * F.col("n")).over(Window.partitionBy("__source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a document that crosses the mark is in if that comes nearer to it
+    fit = F.when(size > 0, F.floor((F.col("__left") - F.col("first") + size / 2.0) / size)).otherwise(F.when(F.col("first") <= F.col("__left"), F.col("n")).otherwise(0))
+    classes = classes.withColumn("first", first).withColumn("in", F.greatest(F.lit(0), F.least(fit, F.col("n"))).cast("bigint"))
+    start = F.struct((F.col("cut") / SLICES / (1 - F.col("cut") / SLICES)).alias("__rank"), F.lit("").alias("__key"), F.lit(-1).cast("bigint").alias("__size"), F.lit(-(2**63)).cast("bigint").alias("__hash"))
+    part = (F.col("in") > 0) & (F.col("in") < F.col("n"))
+    last = classes.groupBy("__source").agg(F.coalesce(F.max(F.when(F.col("in") == F.col("n"), F.col("at"))), F.first(start)).alias("__last"), F.max(F.when(part, F.col("at"))).alias("__cut"), F.coalesce(F.max(F.when(part, F.col("in"))), F.lit(0)).alias("__some"))
     return goal.join(last.withColumnRenamed("__source", "__c"), F.col("source").eqNullSafe(F.col("__c")), "left").drop("__c")
 
 
@@ -106,18 +113,27 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", share: float = SHARE, weigh
 
     ``docs`` has the key, ``text`` and ``source``; other columns stay, apart from those named as
     the new ones, which are replaced. Null text and text without words have size 0 and take
-    nothing. Null is a source of its own. Rows without a key draw by their text. Rows alike in
-    draw, key and size are taken together. An empty table gives an empty result.
+    nothing. Null is a source of its own. Rows without a key draw by their text. Repeated rows are taken one by one,
+    as many as the target asks for. An empty table gives an empty result.
     """
     new = ("size", "source_size", "target", "copies", "taken")
-    d = docs.select(*[c for c in docs.columns if c not in new], F.col(key).alias("__key"), F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), unit_draw(F.col(key), F.col("text"), seed).alias("__u"))
-    sized = checkpoint(d.select("__key", "__source", "__size", "__u"))
+    d = docs.select(*[c for c in docs.columns if c not in new], F.col(key).alias("__key"), F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__hash"), unit_draw(F.col(key), F.col("text"), seed).alias("__u"))
+    sized = checkpoint(d.select("__key", "__source", "__size", "__hash", "__u"))
     plan = checkpoint(pareto_plan(sized, share, weights, most))
     if set(docs.columns) <= {key, "source", "text"}:  # no more is asked for than the slim table has
         d = sized.withColumns({key: F.col("__key"), "source": F.col("__source")})
     d = _ranked(d, plan)
-    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size")
+    at = F.struct("__rank", F.col("__key").cast("string").alias("__key"), "__size", "__hash")
+    cut = F.coalesce(at.eqNullSafe(F.col("__cut")), F.lit(False)) & F.col("__cut").isNotNull()
     extra = F.coalesce(F.when(F.col("__rank").isNotNull(), at <= F.col("__last")), F.lit(False)).cast("int")
+    if plan.where(F.col("__some") > 0).isEmpty():
+        d = d.withColumn("__extra", extra)
+    else:  # number the equal rows of a class that the mark cuts
+        d = d.withColumn("__at_cut", cut)
+        numbered = ranged_rank(d.where("__at_cut").withColumn("__row", F.xxhash64(*[c for c in docs.columns if c in d.columns])).withColumn("__tie", F.monotonically_increasing_id()), ["__source"], ["__row", "__tie"], "__number")
+        some = numbered.withColumn("__extra", (F.col("__number") <= F.col("__some")).cast("int")).drop("__row", "__tie", "__number")
+        d = d.where("not __at_cut").withColumn("__extra", extra).unionByName(some)
+    extra = F.col("__extra")
     d = d.withColumn("size", F.col("__size")).withColumn("copies", (F.col("__whole") + extra).cast("bigint"))
     d = d.withColumn("taken", F.col("copies") * F.col("size"))
     return d.select(*[c for c in docs.columns if c in d.columns and c not in new], *new)
