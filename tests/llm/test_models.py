@@ -45,7 +45,48 @@ def test_unknown_words_fall_back_to_shorter_grams(spark):
 
 def test_language_model_is_bounded(spark):
     df = spark.createDataFrame([(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x", "ab"[i % 2]) for i in range(600)], "text string, lang string")
-    assert language.learn(df, entries=100).count() <= 100
+    model = language.learn(df, entries=100)
+    per = {(r.lang, r.kind): r["count"] for r in model.groupBy("lang", "kind").count().collect()}
+    assert len(per) == 10 and max(per.values()) <= 100 and per["a", 0] > 80
+    assert sorted(model.collect()) == sorted(language.learn(df.repartition(9), entries=100).collect())
+
+
+def test_language_keeps_the_most_frequent_keys(spark):
+    """Scores by hand: counts, limit, word first, then the longest n-grams known."""
+    texts = {"aa": "one one one two two three un", "bb": "uno uno dos dos dos one"}
+    df = spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, lang string")
+    model = {(r.lang, r.kind, r.key): r.logf for r in language.learn(df, entries=2).collect()}
+    want = {("aa", "one"): 3 / 7, ("aa", "two"): 2 / 7, ("bb", "dos"): 3 / 6, ("bb", "uno"): 2 / 6}
+    assert {(k[0], k[2]): v for k, v in model.items() if k[1] == 0} == {k: pytest.approx(np.log10(v)) for k, v in want.items()}
+    full = language.learn(df)
+    logf = {(r.lang, r.kind, r.key): r.logf for r in full.collect()}
+    for text in ["one dos", "one, onex!", "twofold unodos", "zzz", "ОДИН one"]:
+        means = []
+        words = [w for w in language.LETTERS.findall(text.lower())]
+        for lang in ("aa", "bb"):
+            total = 0.0
+            for w in words:
+                if any((x, 0, w) in logf for x in texts):
+                    total += logf.get((lang, 0, w), language.PENALTY)
+                    continue
+                pad, score = f" {w} ", language.PENALTY
+                for size in range(language.GRAMS, 0, -1):
+                    grams = [g for g in (w if size == 1 else [pad[i:i + size] for i in range(len(pad) - size + 1)]) if any((x, size, g) in logf for x in texts)]
+                    if grams:
+                        score = sum(logf.get((lang, size, g), language.PENALTY) for g in grams) / len(grams)
+                        break
+                total += score
+            means.append(total / len(words))
+        got = language.predict(spark.createDataFrame([(text,)], "text string").withColumn("k", F.lit(1)), full).first()
+        assert got.lang_pred == ("aa" if means[0] >= means[1] else "bb")
+        assert got.score == pytest.approx(1 / sum(10 ** (m - max(means)) for m in means))
+
+
+def test_only_letters_are_words(spark):
+    assert [list(language.words_of(t)) for t in ("½", "²³", "Ⅷ", "हिन्दी", "ภาษาไทย", "(l’ami)", "«où?»", "a1b")] == [[], [], [], ["हिन्दी"], ["ภาษาไทย"], ["l", "ami"], ["où"], ["a", "b"]]
+    model = language.learn(spark.createDataFrame([("the cat", "en"), ("le chat", "fr")], "text string, lang string"))
+    df = spark.createDataFrame([("½",), ("² ³",), ("Ⅷ",), ("1 2",), ("\u0301",)], "text string").withColumn("k", F.lit(0))
+    assert {(r.lang_pred, r.score) for r in language.predict(df, model).collect()} == {("und", 0.0)}
 
 
 def test_severity_of_labelled_documents(spark):
@@ -137,6 +178,27 @@ def test_equal_vectors_go_by_key(spark):
     assert all([i for i, _ in got[q]] == [i for i in range(2, 60, 2) if i != q][:20] for q in range(20, 701, 20))
 
 
+def test_different_vectors_of_equal_score_go_by_key(spark):
+    rng = np.random.default_rng(4)
+    order = rng.permutation(400) + 1
+    rows = [(0, [1.0, 0.0])] + [(int(i), [1.0, float(y)]) for i, y in zip(order, np.linspace(-3, 3, 400))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = found(vptree.search(df, F.col("vec_id") == 0, factor=1.0, shard_rows=150))
+    assert got[0] == [(i, 1.0) for i in range(1, 21)]
+
+
+@pytest.mark.parametrize("factor", [1.0, vptree.FACTOR])
+def test_many_ties_against_brute_force(spark, factor):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1, 2, (3000, 8)).astype(float)
+    x[(x == 0).all(axis=1), 0] = 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    want = exact(np.arange(len(x)), x, 20)
+    got = found(vptree.search(df, F.col("vec_id") % 20 == 0, factor=factor, shard_rows=700, query_rows=50))
+    same = np.mean([got[q] == want[q] for q in want])
+    assert same == 1.0 if factor == 1.0 else same > 0.9
+
+
 def test_neighbours_hard_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (20, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (0, [1.0, 0.0]), (40, []), (60, [1.0, 1.0, 1.0])]

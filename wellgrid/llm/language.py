@@ -3,8 +3,8 @@
 Learning counts, for each language, its words (maximal runs of letters, lower-cased) and the
 character n-grams of the words with a space on either side; runs of more than ``LONGEST`` letters have
 n-grams, but are no words of the model. The model keeps the most frequent
-words and n-grams of each language; what it keeps shares ``ENTRIES`` evenly among languages and
-kinds of key, so its size is bounded whatever the corpus, and all counts are over all of it.
+words and n-grams of each language, up to ``ENTRIES`` of each kind for each language, whatever the number of languages
+and the size of the corpus; all counts are over all of it.
 
 A word that the model knows scores the logarithm of its relative frequency in each language, or
 ``PENALTY`` where the language lacks it. A word it doesn't know falls back to its n-grams of the
@@ -14,23 +14,24 @@ text scores the mean of its words.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
-from ..plans.ranking import top_n
 from .arrow_text import give_back
 from .registry import query, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
-ENTRIES = 200_000  # keys of the model, in all languages together
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # marks belong to the letter before them
+EDGES = ".,;:!?\"'()[]{}<>…«»„“”‘’¿¡-–—|*#/0123456789"
+ENTRIES = 10_000  # keys of the model for each language and kind
+SLICES = 4096  # of keys that are equally frequent
 GRAMS = 4  # longest n-gram
 LONGEST = 40  # characters of a word that can be in the model
 PENALTY = -7.0  # log10
@@ -45,6 +46,14 @@ def is_held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
+def words_of(token: str) -> tuple[str, ...] | list[str]:
+    """Runs of letters in a token; most tokens are one word, or one between marks of punctuation."""
+    if token.isalpha():
+        return (token,)
+    inner = token.strip(EDGES)
+    return (inner,) if inner.isalpha() else LETTERS.findall(token)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tokens: dict[str, Counter] = defaultdict(Counter)  # between spaces; cut into words once for all their occurrences
 
@@ -58,7 +67,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lang, seen = tokens.popitem()
             words, long = Counter(), Counter()
             for token, n in seen.items():
-                for w in (token,) if token.isalpha() else LETTERS.findall(token):
+                for w in words_of(token):
                     if len(w) <= LONGEST:
                         words[w] += n
                     else:
@@ -104,23 +113,37 @@ def grams_of(padded: str, size: int) -> list[str]:
 
 
 def learn(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """The model: (lang, kind, key, logf), at most ``entries`` keys; kind 0 are words, n are n-grams.
+    """The model: (lang, kind, key, logf), at most ``entries`` keys of each language and kind; kind 0 are words, n are n-grams.
 
-    ``docs`` has ``text`` and ``lang``. Rows in which either is null teach nothing. Keys of equal
-    counts go by their text, so reruns agree.
+    ``docs`` has ``text`` and ``lang``. Rows in which either is null teach nothing. Of keys of equal count at the
+    limit some go in by their hash, so reruns agree. The limit is found from the numbers of keys of each
+    count, so no language's keys are sorted or gathered. No rows give no model.
     """
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = rows.mapInPandas(_count, "lang string, kind int, key string, n bigint")
     counts = checkpoint(seen.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     totals = checkpoint(counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")))
-    langs = totals.select("lang").distinct().count()
-    share = max(1, entries // (max(1, langs) * (GRAMS + 1)))
-    top = top_n(counts.where("key <> ''"), ["lang", "kind"], [F.col("n").desc(), F.col("key")], share)
-    return top.join(totals, ["lang", "kind"]).select("lang", "kind", "key", F.log10(F.col("n") / F.col("total")).alias("logf"))
+    by = ["lang", "kind"]
+    real = counts.where("key <> ''").withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES)))
+
+    def limit(c: DataFrame, order: Column, room: Column, name: str) -> DataFrame:
+        """Per language and kind the first value of ``name``, in its order, that no longer has room, and the room before it."""
+        per = c.groupBy(*by, name).agg(F.count(F.lit(1)).alias("c"), F.max(room).alias("room"))
+        upto = F.sum("c").over(Window.partitionBy(*by).orderBy(order))
+        over = per.withColumn("left", F.col("room") - upto + F.col("c")).where(F.col("left") < F.col("c"))
+        return over.groupBy(*by).agg(F.max(F.struct("left", name)).alias("at")).select(*by, F.col(f"at.{name}").alias(f"{name}_at"), F.col("at.left").alias("left"))
+
+    # the first that has no room left has the most room before it
+    rank = limit(real, F.col("n").desc(), F.lit(entries), "n")
+    ties = real.join(rank, by).where(F.col("n") == F.col("n_at"))
+    part = limit(ties, F.col("slice"), F.col("left"), "slice").drop("left")
+    marked = real.join(rank.drop("left"), by, "left").join(part, by, "left")
+    inside = F.col("n_at").isNull() | (F.col("n") > F.col("n_at")) | ((F.col("n") == F.col("n_at")) & (F.col("slice") < F.col("slice_at")))
+    return marked.where(inside).join(totals, by).select(*by, "key", F.log10(F.col("n") / F.col("total")).alias("logf"))
 
 
 class Model:
-    """Score vectors of keys; made on the driver from at most ``ENTRIES`` keys, used in tasks."""
+    """Score vectors of keys; made on the driver from at most ``ENTRIES`` keys of each kind and language, used in tasks."""
 
     def __init__(self, rows: list) -> None:
         self.langs = sorted({r.lang for r in rows})
@@ -174,7 +197,7 @@ class Tokens(dict):
             new = list(tokens)
             if len(new) > len(self.rows):
                 self.rows = np.empty((len(new), self.rows.shape[1]))
-        cut = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
+        cut = [words_of(t) for t in new]
         n = np.array([len(c) for c in cut], int)
         rows = np.zeros((len(new), self.rows.shape[1]))
         some = np.flatnonzero(n)
@@ -241,7 +264,10 @@ def predict(docs: DataFrame, model: DataFrame, carry_text: bool = False) -> Data
 
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` (key, text, lang) without text: held_out, lang_pred and score, learned from the other rows."""
+    """``docs`` (key, text, lang) without text: held_out, lang_pred and score, learned from the other rows.
+
+    A null key is not held out; repeated rows teach and are predicted one by one; no rows give no rows.
+    """
     marked = docs.withColumn("held_out", is_held_out(F.col(key)))
     return predict(marked, learn(marked.where(~F.col("held_out"))))
 
