@@ -27,7 +27,7 @@ from .registry import query, table
 K = 20
 EVERY = 20
 FACTOR = 0.5
-SPARE = 8  # points beyond k that a tree returns: the query itself, and near-ties that rounding might misplace
+NEAR = 1e-9  # what rounding may take from a squared distance, relative to the longest norm squared
 LEAF = 512
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
@@ -64,38 +64,47 @@ class Tree:
         self.nodes[at] = (v, near, d[0], d[half - 1], far, d[half], d[-1])
         return at
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, squared distances) of the ``k`` nearest found for each query, unsorted; -1 for none."""
-        best = np.full((len(q), k), np.inf)
-        rows = np.full((len(q), k), -1)
+    def search(self, q: np.ndarray, k: int, factor: float, score, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the ``k`` best found for each query, best first; -1 for none.
+
+        ``score(i, j)`` is the exact nearness of query i and row j. Distances only choose what is scored: all
+        that is not surely farther than a query's worst hit. Equal scores go by ``first``, the rows' smallest keys.
+        """
+        self.best = np.full((len(q), k), -np.inf)
+        self.rows = np.full((len(q), k), -1)
         if len(self.x) and len(q):
             squared = (self.x * self.x).sum(axis=1)
-            self._visit(self.root, np.arange(len(q)), q, (q * q).sum(axis=1), squared, best, rows, factor)
-        return rows, best
+            self.slack = NEAR * max(float(squared.max()), float((q * q).sum(axis=1).max()), 1e-300)
+            self.offset = (q * q).sum(axis=1) + squared.max()  # all rows have the same norm
+            self._visit(self.root, np.arange(len(q)), q, (q * q).sum(axis=1), squared, factor, score, first)
+        return self.rows, self.best
+
+    def _worst(self, who: np.ndarray) -> np.ndarray:
+        """Squared distance up to which a row may still be a hit, rounding allowed for."""
+        return np.maximum(self.offset[who] - 2 * self.best[who, -1], 0) + self.slack
 
-    def _visit(self, node, who, q, qq, squared, best, rows, factor) -> None:
+    def _visit(self, node, who, q, qq, squared, factor, score, first) -> None:
         """``who``: the queries that come here, all at once."""
         n = self.nodes[node]
         if n[0] < 0:
             at = self.order[n[1]:n[2]]
             d = np.maximum(qq[who, None] + squared[at][None, :] - 2 * q[who] @ self.x[at].T, 0)
-            k = best.shape[1]
-            less = d < best[who].max(axis=1)[:, None]
-            i, j = np.nonzero(less)
-            if len(i):
-                # what beats a query's worst hit, side by side with its hits so far
-                count = less.sum(axis=1)
-                better = np.flatnonzero(count)
-                count = count[better]
-                row = np.repeat(np.arange(len(better)), count)
-                col = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                both = np.full((len(better), k + count.max()), np.inf)
-                ids = np.full(both.shape, -1)
-                both[:, :k], ids[:, :k] = best[who[better]], rows[who[better]]
-                both[row, k + col], ids[row, k + col] = d[i, j], at[j]
-                pick = np.argpartition(both, k - 1, axis=1)[:, :k]
-                best[who[better]] = np.take_along_axis(both, pick, 1)
-                rows[who[better]] = np.take_along_axis(ids, pick, 1)
+            i, j = np.nonzero(d <= self._worst(who)[:, None])
+            if not len(i):
+                return
+            s = score(who[i], at[j])
+            k = self.best.shape[1]
+            some = np.unique(i)
+            # what may beat a query's worst hit, after its hits so far
+            row = np.r_[np.repeat(np.arange(len(some)), k), np.searchsorted(some, i)]
+            s = np.r_[self.best[who[some]].ravel(), s]
+            r = np.r_[self.rows[who[some]].ravel(), at[j]]
+            key = np.where(r < 0, np.iinfo(np.int64).max, first[r])
+            order = np.lexsort((key, -s, row))
+            begin = np.searchsorted(row[order], np.arange(len(some)))
+            pick = order[(begin[:, None] + np.arange(k)).ravel()]
+            self.best[who[some]] = s[pick].reshape(-1, k)
+            self.rows[who[some]] = r[pick].reshape(-1, k)
             return
         v, near, n0, n1, far, f0, f1 = n
         d = np.sqrt(np.maximum(qq[who] + squared[v] - 2 * q[who] @ self.x[v], 0))
@@ -104,10 +113,9 @@ class Tree:
             for child, lo, hi, mine in ((near, n0, n1, first_near == nearer), (far, f0, f1, first_near != nearer)):
                 group, dist = who[mine], d[mine]
                 gap = np.maximum(np.maximum(dist - hi, lo - dist), 0)  # what the triangle inequality leaves
-                worst = np.sqrt(best[group].max(axis=1))
-                go = group[gap <= factor * worst]
+                go = group[gap <= factor * np.sqrt(self._worst(group)) + np.sqrt(self.slack)]
                 if len(go):
-                    self._visit(child, go, q, qq, squared, best, rows, factor)
+                    self._visit(child, go, q, qq, squared, factor, score, first)
 
 
 def usable(vector: str) -> Column:
@@ -126,12 +134,14 @@ def _search(k: int, factor: float, norm: float):
                 continue
             x, q = np.stack(part["vec"].to_numpy()).astype(float), np.stack(ask["vec"].to_numpy()).astype(float)
             lift = np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0))
+            ids = part["ids"].to_numpy()
+            first = np.fromiter((min(i) for i in ids), np.int64, len(ids))
+            score = lambda i, j: np.einsum("ij,ij->i", q[i], x[j])  # noqa: B023,E731
             tree = Tree(np.column_stack([x, lift]))
-            rows, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), k + SPARE, factor)
+            # one more than k, as one may be the query itself
+            rows, best = tree.search(np.column_stack([q, np.zeros(len(q))]), k + 1, factor, score, first)
             i, j = np.nonzero(rows >= 0)
-            at = rows[i, j]
-            score = np.einsum("ij,ij->i", q[i], x[at])
-            ids = part["ids"].to_numpy()
+            at, score = rows[i, j], best[i, j]
             n = np.fromiter(map(len, ids), int)[at]
             out = pd.DataFrame({"query_id": np.repeat(ask["id"].to_numpy()[i], n), "vec_id": np.concatenate([*ids[at], np.zeros(0, np.int64)]).astype(np.int64), "score": np.repeat(score, n)})
             out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
@@ -146,9 +156,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FAC
 
     Null keys, and vectors that are null, zero or hold a null or non-finite component take no
     part. Repeated rows (key and vector) count once; a query never finds a row of its own key.
-    Vectors of different lengths don't meet. Ties go to the smaller key: equal vectors are one point
-    of a tree with their ``k + 1`` smallest keys, as no others can be an answer. With ``factor`` 1
-    the answer is exact. An empty table gives an empty result.
+    Vectors of different lengths don't meet. Equal scores go to the smaller key, of equal vectors (one point
+    of a tree with their ``k + 1`` smallest keys, as no others can be an answer) and of different ones. With
+    ``factor`` 1 the answer is exact; with less, what is found is scored exactly and ranked like that.
+    An empty table gives an empty result.
     """
     vec = F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))  # no negative zero
     v = vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("bigint").alias("id"), vec.alias("vec"), is_query.alias("ask"))
