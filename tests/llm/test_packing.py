@@ -87,7 +87,9 @@ def test_words_alone_encode_like_the_whole(whole):
     bits = ["the", "Éaux", "don't", "WE'LL", "'s", "12", "3.14", " ", "  ", "\n", "\t", "\r\n", "\x0b", "…", "日本語", "🙂", " ", " ", "é", "́", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "x" * 90, "-"]
     for _ in range(2000):
         text = "".join(rng.choice(bits) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.choice([0, 1, 4, 40])))
-        assert [*encoder.ids(text).tolist(), 0] == whole(text), text
+        assert [*encoder.ids([text])[0].tolist(), 0] == whole(text), text
+    texts = ["".join(rng.choice(bits[:8]) + " " for _ in range(rng.randrange(9))) for _ in range(300)]
+    assert [[*x.tolist(), 0] for x in encoder.ids(texts)] == [whole(t) for t in texts]
 
 
 def check(rows, texts, whole, capacity=2048):

@@ -13,6 +13,7 @@ nothing is lost at borders.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,72 +32,153 @@ from .registry import query, table
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
 CHUNK = 1 << 20  # characters encoded together; words are never cut
-CACHE, CACHE_CHARS = 300_000, 4_000_000  # words a worker remembers
+CACHE, CACHE_CHARS = 400_000, 4_000_000  # words, and pre-tokens, a worker remembers
 
 
 class _Slots(dict):
-    """Word to number; ``fresh`` are those not encoded yet."""
+    """Key to number; ``fresh`` are those without ids yet. The ids of all stand one after another."""
 
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
+        self.chars = self.used = 0
+        self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        self.chars += len(key)
         return n
 
+    def full(self) -> bool:
+        return len(self) > CACHE or self.chars > CACHE_CHARS
+
+    def put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the fresh keys."""
+        first, self.fresh = len(self) - len(self.fresh), []
+        while len(self.ends) < len(self) + 1:
+            self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.r_[self.flat, np.empty_like(self.flat)]
+        self.ends[first + 1:len(self) + 1] = self.used + np.cumsum(lengths)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys with these numbers, and how many each has."""
+        starts = self.ends[numbers]
+        n = self.ends[numbers + 1] - starts
+        total = np.cumsum(n)
+        return self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + n, n)], n
+
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and joins nothing across it, so each word is encoded once."""
+    """Ids of whole texts. The tokenizer drops white space and joins nothing across it, so each word is encoded once.
+
+    Most words are new for long, so a word of common characters is cut into pre-tokens here, and these
+    are remembered too; new ones are encoded together, each ended by a token that ends a word. The normaliser
+    does no more to such words than to lower their letters. Other words go through the whole tokenizer.
+    """
+
+    PLAIN = r"[\x20-\x7e\xa1-\xff]*"  # no white space but the blank, nothing to compose
 
     def __init__(self, vocabulary: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of work
-        from tokenizers import Tokenizer
-
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        shape = json.loads(vocabulary)
+        steps = [x["type"] for x in shape["normalizer"]["normalizers"]]
+        cut, level = shape["pre_tokenizer"]["pretokenizers"]
+        suffix = shape["model"]["end_of_word_suffix"]
+        if steps != ["NFC", "Replace", "Lowercase"] or (cut["type"], cut["behavior"], cut["invert"], level["type"]) != ("Split", "Removed", True, "ByteLevel") or not suffix:
+            raise ValueError("not a vocabulary of lower-case words with word ends")
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots, self.chars, self.used = _Slots(), 0, 0
-        self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.pieces_only = Tokenizer.from_str(vocabulary.decode())
+        self.pieces_only.normalizer = None
+        self.pieces_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.cut = regex.compile(cut["pattern"]["Regex"]).findall
+        self.cut_all = regex.compile(cut["pattern"]["Regex"] + "| ").findall
+        self.plain = regex.compile(self.PLAIN).fullmatch
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in shape["added_tokens"]) or r"(?!)").search
+        self.words, self.pieces = _Slots(), _Slots()
+
+    def _numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of the fresh words, and how many each word has."""
+        fresh, number = self.words.fresh, self.pieces.__getitem__
+        joined = " ".join(fresh)
+        if self.plain(joined) and not self.special(joined):
+            found = self.cut_all(joined.lower())
+            numbers = np.fromiter(map(number, found), np.int64, len(found))
+            gaps = np.flatnonzero(numbers == self.pieces[" "])
+            return np.delete(numbers, gaps), np.diff(np.r_[-1, gaps, len(numbers)]) - 1
+        numbers: list[int] = []
+        bounds = [0]
+        for w in fresh:
+            if self.plain(w) and not self.special(w):
+                numbers.extend(map(number, self.cut(w.lower())))
+            else:
+                numbers.append(number(" " + w))  # no piece begins with a space
+            bounds.append(len(numbers))
+        return np.array(numbers, np.int64), np.diff(bounds)
 
     def _learn(self) -> None:
-        words, self.slots.fresh = self.slots.fresh, []
-        first = len(self.slots) - len(words)
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ends = self.used + np.cumsum([len(x) for x in found])
-        while len(self.ends) < len(self.slots) + 1:
-            self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
-        while len(self.flat) < ends[-1]:
-            self.flat = np.r_[self.flat, np.empty_like(self.flat)]
-        self.ends[first + 1:first + 1 + len(words)] = ends
-        self.flat[self.used:ends[-1]] = [i for x in found for i in x]
-        self.used = int(ends[-1])
-        self.chars += sum(map(len, words))
-
-    def _part(self, text: str) -> np.ndarray:
-        if len(self.slots) > CACHE or self.chars > CACHE_CHARS:
-            self._clear()
-        words = text.replace("\n", " ").split(" ")
-        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if self.slots.fresh:
+        """Ids of the fresh words, by their pieces."""
+        if self.pieces.full():
+            self.pieces = _Slots()
+        numbers, counts = self._numbers()
+        if fresh := self.pieces.fresh:
+            odd = np.fromiter((p[0] == " " for p in fresh), bool, len(fresh))
+            plain = " ".join([p for p in fresh if p[0] != " "])
+            ids = np.array(self.pieces_only.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
+            lengths = np.zeros(len(fresh), np.int64)
+            lengths[~odd] = np.diff(np.r_[0, np.flatnonzero(self.ends_word[ids]) + 1])
+            if odd.any():
+                others = [x.ids for x in self.tokenizer.encode_batch([fresh[k] for k in np.flatnonzero(odd)], add_special_tokens=False)]
+                lengths[odd] = [len(x) for x in others]
+                of = np.repeat(odd, lengths)
+                both = np.empty(len(of), np.uint32)
+                both[~of], both[of] = ids, [i for x in others for i in x]
+                ids = both
+            self.pieces.put(ids, lengths)
+        ids, n = self.pieces.gather(numbers)
+        total = np.r_[0, np.cumsum(n)]
+        self.words.put(ids, np.diff(total[np.r_[0, np.cumsum(counts)]]))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.words.full():
+            self.words = _Slots()
+        words: list[str] = []
+        bounds = [0]
+        for t in texts:
+            words += t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            bounds.append(len(words))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.fresh:
             self._learn()
-        starts = self.ends[at]
-        n = self.ends[at + 1] - starts
-        total = np.cumsum(n)
-        return self.flat[np.arange(total[-1]) + np.repeat(starts - total + n, n)]
+        ids, n = self.words.gather(at)
+        return np.split(ids, np.r_[0, np.cumsum(n)][bounds[1:-1]])
 
-    def ids(self, text: str) -> np.ndarray:
-        if len(text) <= CHUNK:
-            return self._part(text)
-        parts, at = [], 0
-        while at < len(text):
-            end = text.find(" ", at + CHUNK)
-            end = len(text) if end < 0 else end
-            parts.append(self._part(text[at:end]))
-            at = end
-        return np.concatenate(parts)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Short ones are held together, a text of over ``CHUNK`` characters is taken part by part."""
+        if not texts:
+            return []
+        if sum(map(len, texts)) <= CHUNK:
+            return self._encode(texts)
+        return [self._encode([t])[0] if len(t) <= CHUNK else np.concatenate([self._encode([part])[0] for part in _parts(t)]) for t in texts]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """Consecutive parts of about ``CHUNK`` characters that end before a space, or at the end."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + CHUNK)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[int, Encoder] = {}
@@ -115,18 +197,21 @@ def _cut(sent, keep: list[str], capacity: int, end_id: int, with_ids: bool):
             texts = batch.column("text")
             at = 0
             while at < batch.num_rows:
-                row, new, ids, size = [], [], [], 0
-                while at < batch.num_rows and size < CHUNK:
-                    all_ids = np.r_[encoder.ids(texts[at].as_py() or ""), np.uint32(end_id)].astype("<u4")
-                    size += len(all_ids)
+                first, some, size = at, [], 0
+                while at < batch.num_rows and (not some or size < CHUNK // 2):
+                    some.append(texts[at].as_py() or "")
+                    size += len(some[-1])
+                    at += 1
+                row, new, ids = [], [], []
+                for i, found in enumerate(encoder.ids(some)):
+                    all_ids = np.r_[found, np.uint32(end_id)].astype("<u4")
                     for k, a in enumerate(range(0, len(all_ids), capacity)):
                         one = all_ids[a:a + capacity]
-                        row.append(at)
+                        row.append(first + i)
                         new.append((k, a, len(one), zlib.crc32(one.tobytes()), part, seen[len(one)]))
                         seen[len(one)] += 1
                         if with_ids:
                             ids.append(one)
-                    at += 1
                 columns = [batch.column(c).take(pa.array(row, pa.int64())) for c in keep] + [pa.array(x, t) for x, t in zip(zip(*new), [pa.int32(), *[pa.int64()] * 5])]
                 if with_ids:
                     flat = np.concatenate(ids).view(np.int32)
