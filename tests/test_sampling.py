@@ -134,3 +134,55 @@ def test_balanced_plan(spark, mode):
     for bad in ({"batch_size": 1, "perturbations_per_batch": 2}, {"batch_size": 10, "perturbations_per_batch": 9}, {"batch_size": 4, "perturbations_per_batch": 1, "pinned": ["3"]}):
         with pytest.raises(ValueError):
             shardplan.perturbation_balanced(df, "p", ["id"], **bad)
+
+
+def _collect(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_rows_of_a_slot_do_not_travel_together(spark):
+    """Two slots of one perturbation share about as many rows as chance says."""
+    df = spark.createDataFrame([("a", i) for i in range(200)], "p string, id int")
+    out = shardplan.perturbation_balanced(df, "p", ["id"], 20, 1)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.batch, set()).add(r.id)
+    assert len(by) == 10 and all(len(x) == 20 for x in by.values())
+    shared = [len(by[a] & by[b]) for a in by for b in by if a < b]
+    assert 1.2 < sum(shared) / len(shared) < 2.8  # 20 * 20 / 200 = 2
+    assert len({i for x in by.values() for i in x}) > 100
+
+
+def test_samples_per_perturbation_and_what_lacks(spark):
+    df = spark.createDataFrame([(str(i % 5), i) for i in range(100)], "p string, id int")
+    out = shardplan.perturbation_balanced(df, "p", ["id"], 10, 3, samples_per_perturbation=2)
+    sizes = [tuple(sorted(r["list"])) for r in out.groupBy("batch", "slot").count().groupBy("batch").agg(F.collect_list("count").alias("list")).collect()]
+    assert sizes == [(3, 3, 3)] * 10  # of four lacking only one goes to each slot
+    for bad in ({"samples_per_perturbation": 4}, {"samples_per_perturbation": 0}):
+        with pytest.raises(ValueError):
+            shardplan.perturbation_balanced(df, "p", ["id"], 10, 3, **bad)
+
+
+def test_replacement(spark):
+    df = spark.createDataFrame([(str(i % 2), i) for i in range(8)] + [(None, 99)], "p string, id int")
+    with pytest.raises(ValueError):
+        shardplan.perturbation_balanced(df, "p", ["id"], 40, 10, mode="iid")
+    args = dict(batch_size=40, perturbations_per_batch=10, mode="iid", pinned=["1", "absent"], perturbations_with_replacement=True, rows_with_replacement=True)
+    out = shardplan.perturbation_balanced(df, "p", ["id"], **args)
+    assert out.count() == 40 and out.where("slot = 0").select("p").distinct().collect()[0].p == "1"
+    assert _collect(out) == _collect(shardplan.perturbation_balanced(df.repartition(7), "p", ["id"], **args))
+    short = shardplan.perturbation_balanced(df, "p", ["id"], 12, 2)  # six of four rows: with repeats
+    assert short.count() == 12 and short.select("id").distinct().count() <= 8
+
+
+def test_distinct_draws_are_even(spark):
+    from wellgrid.plans.draws import distinct_below, whole
+
+    df = spark.range(4000).select(distinct_below(F.lit(3), F.lit(7), lambda i: whole(1, F.col("id"), i)).alias("x"))
+    got = [tuple(r.x) for r in df.collect()]
+    assert all(len(set(x)) == 3 and 0 <= min(x) and max(x) < 7 for x in got)
+    sets = {frozenset(x) for x in got}
+    assert len(sets) == 35
+    per = [sum(frozenset(x) == s for x in got) for s in sets]
+    assert 60 < min(per) and max(per) < 180  # 114 each
+    assert df.sparkSession.range(1).select(distinct_below(F.lit(0), F.lit(5), lambda i: i).alias("x")).first().x == []

@@ -10,7 +10,7 @@ from ..operators import sampling as S
 from ..operators import shardplan
 from ..plans.ranking import first_per_key
 from . import query
-from .views import CELL, FOV, table, v_cell, v_fov, v_vec
+from .views import CELL, FOV, VEC, table, v_cell, v_fov, v_vec
 
 H = "md5(concat_ws('|', '42', row_key))"
 NARROW = ["source", "batch", "plate", "well", "perturbation", "row_key"]
@@ -183,11 +183,74 @@ def shard_plan_equal(spark, d):
     return shardplan.equal_per_class(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], batch_size=32)
 
 
-@query()
+def _whole(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '42', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+def _distinct(q: str, n: str, *parts: str) -> str:
+    draws = f"list_transform(range(CAST({q} AS BIGINT)), lambda i: [{_whole(*parts, 'i')} % CAST({n} - {q} + i + 1 AS BIGINT), CAST({n} - {q} + i AS BIGINT)])"
+    return f"list_reduce(list_prepend(CAST([] AS BIGINT[]), {draws}), lambda a, b: list_append(a, CASE WHEN list_contains(a, b[1]) THEN b[2] ELSE b[1] END))"
+
+
+def _any(q: str, n: str, *parts: str) -> str:
+    return f"list_transform(range(CAST({q} AS BIGINT)), lambda i: {_whole(*parts, 'i')} % {n})"
+
+
+def _balanced_sql(size: int, k: int, pinned: str, base: int, mode: str, strata: bool, again: bool = False, repeated: bool = False) -> str:
+    """SQL of a balanced plan over the vectors; ``again`` and ``repeated`` draw perturbations and rows with replacement."""
+    extra = _distinct(str(min(size - k * base, k)), str(k), "'extra'", "batch")
+    if mode == "iid":
+        picks = (_any if again else _distinct)(f"({k} - p)", "m", "'pick'", "batch")
+        drawn = f"""d0 AS (SELECT batch, p, unnest({picks}) AS class_id, unnest(range({k} - p)) AS k FROM batches, sizes),
+drawn AS (SELECT batch, k + p AS slot, perturbation FROM d0 JOIN free USING (class_id))"""
+    else:
+        drawn = f"""d0 AS (SELECT epoch, perturbation, p, {k} - p AS w, m // ({k} - p) AS blocks, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws('|', '42', 'perm', epoch, perturbation)), perturbation) - 1 AS r
+  FROM free, sizes, (SELECT unnest(range((SELECT -(-max(batch + 1) // (max(m) // ({k} - max(p)))) + 1 FROM batches, sizes))) AS epoch)),
+drawn AS (SELECT epoch * blocks + r // w AS batch, r % w + p AS slot, perturbation FROM d0 WHERE r < blocks * w AND epoch * blocks + r // w < (SELECT count(*) FROM batches))"""
+    pool, layer = ("perturbation, stratum", "layer, ") if strata else ("perturbation", "")
+    if strata:
+        cut = f"""layers AS (SELECT perturbation, stratum, count(*) AS n, row_number() OVER (PARTITION BY perturbation ORDER BY stratum) - 1 AS layer, count(*) OVER (PARTITION BY perturbation) AS n_layers FROM wells GROUP BY perturbation, stratum),
+q0 AS (SELECT batch, slot, perturbation, quota // n_layers AS each, {_distinct('(quota % n_layers)', 'n_layers', "'layer'", 'batch', 'slot')} AS more FROM slots JOIN (SELECT DISTINCT perturbation, n_layers FROM layers) USING (perturbation)),
+q1 AS (SELECT batch, slot, perturbation, stratum, layer, n, each + CAST(list_contains(more, layer) AS BIGINT) AS quota FROM q0 JOIN layers USING (perturbation))"""
+    else:
+        cut = "q1 AS (SELECT batch, slot, perturbation, quota, n FROM slots JOIN (SELECT perturbation, count(*) AS n FROM wells GROUP BY perturbation) USING (perturbation))"
+    parts = ["'row'", "batch", "slot", *["layer"] * strata]
+    many, few = _any("quota", "n", *parts), _distinct("quota", "n", *parts)
+    rows = many if repeated else f"CASE WHEN n >= quota THEN {few.replace('range(CAST(quota', 'range(CAST(least(quota, n)')} ELSE {many} END"
+    return f"""WITH {VEC}, wells AS (SELECT id, perturbation, batch AS stratum FROM v_vec WHERE perturbation IS NOT NULL),
+free AS (SELECT perturbation, row_number() OVER (ORDER BY perturbation) - 1 AS class_id FROM (SELECT DISTINCT perturbation FROM wells WHERE perturbation <> '{pinned}')),
+pins AS (SELECT DISTINCT perturbation FROM wells WHERE perturbation = '{pinned}'),
+sizes AS (SELECT (SELECT count(*) FROM pins) AS p, (SELECT count(*) FROM free) AS m),
+batches AS (SELECT unnest(range(CAST(ceil(count(*) / {size}.0) AS BIGINT))) AS batch FROM wells),
+{drawn},
+both_ AS (SELECT batch, slot, perturbation FROM drawn UNION ALL SELECT batch, 0, perturbation FROM pins, batches),
+slots AS (SELECT batch, slot, perturbation, {base} + CAST(list_contains({extra}, slot) AS BIGINT) AS quota FROM both_),
+{cut},
+picked AS (SELECT batch, slot, {pool}, unnest({rows}) AS pos, unnest(range(quota)) AS draw_no FROM q1 WHERE quota > 0),
+pools AS (SELECT *, row_number() OVER (PARTITION BY {pool} ORDER BY md5(concat_ws('|', '42', id)), id) - 1 AS pos FROM wells)
+SELECT batch, slot, draw_no, perturbation, {'stratum, ' if strata else ''}id FROM picked JOIN pools USING ({pool}, pos)"""
+
+
+def _wells(spark, d):
+    return v_vec(spark, d).select("id", "perturbation", F.col("batch").alias("stratum"))
+
+
+@query(_balanced_sql(18, 4, "0", 4, "cycle", strata=True))
 def shard_plan_balanced(spark, d):
-    wells = v_vec(spark, d).select("id", "perturbation", F.col("batch").alias("stratum"))
+    return shardplan.perturbation_balanced(_wells(spark, d), "perturbation", ["id"], batch_size=18, perturbations_per_batch=4, pinned=["0"], strata="stratum")
+
+
+@query(_balanced_sql(16, 6, "3", 2, "iid", strata=False))
+def shard_plan_iid(spark, d):
+    return shardplan.perturbation_balanced(_wells(spark, d), "perturbation", ["id"], batch_size=16, perturbations_per_batch=6, pinned=["3"], mode="iid")
+
+
+@query(_balanced_sql(40, 12, "0", 3, "iid", strata=True, again=True, repeated=True))
+def shard_plan_replacement(spark, d):
+    """More slots than perturbations: both are drawn with replacement, three rows a slot and one more for four."""
     return shardplan.perturbation_balanced(
-        wells, "perturbation", ["id"], batch_size=18, perturbations_per_batch=4, pinned=["0"], strata="stratum"
+        _wells(spark, d), "perturbation", ["id"], batch_size=40, perturbations_per_batch=12, pinned=["0"], mode="iid", strata="stratum",
+        samples_per_perturbation=3, perturbations_with_replacement=True, rows_with_replacement=True,
     )
 
 

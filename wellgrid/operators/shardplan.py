@@ -14,17 +14,14 @@ from pyspark.sql import functions as F
 
 from ..checks import check_positive
 from ..functions.hashing import draw
+from ..plans.draws import any_below, distinct_below, whole
+from ..plans.durable import checkpoint
 from ..plans.joins import salted_join
 from ..plans.ranking import bucketed_rank, dense_ids, hash_bucket, ranged_rank
 
 SEED = 42  # fixed value
 
 
-def _uniform(seed: int, *parts: Column | str) -> Column:
-    """Hashed integer draw, the same in any engine with md5: the first 15 hex digits."""
-    return F.conv(F.substring(draw(seed, *parts), 1, 15), 16, 10).cast("bigint")
-
-
 def _pools(df: DataFrame, cls: str, strata: str | None, unique: Sequence[str], seed: int) -> DataFrame:
     """``cls[, stratum], pos, n`` for every row: its hashed position in its pool."""
     keys = [cls] + ([strata] if strata else [])
@@ -51,15 +48,42 @@ def equal_per_class(df: DataFrame, label: str, unique: Sequence[str], batch_size
     pools = _pools(df.where(F.col(label).isNotNull()), label, None, unique, seed)
     sizes_by_class = per_class.join(classes, label)
     wanted = salted_join(slots, sizes_by_class, ["class_id"]).withColumn(
-        "pos", F.pmod(_uniform(seed, "batch", "slot"), F.col("n")) + 1
+        "pos", F.pmod(whole(seed, "batch", "slot"), F.col("n")) + 1
     )
     return wanted.join(pools.drop("n"), [label, "pos"]).select("batch", "slot", label, *unique)
 
 
-def _times(classes: DataFrame, n: int, times: int, out: str) -> DataFrame:
-    """Each of ``n`` classes (``class_id``) once for every number below ``times``, from a range that tasks share."""
-    every = classes.sparkSession.range(n * times).select(F.pmod("id", F.lit(n)).alias("class_id"), F.floor(F.col("id") / n).alias(out))
-    return salted_join(every, classes, ["class_id"], spread_by=[out])
+def _pick_slots(spark, names: DataFrame, perturbation: str, slots: int, n_batches: int, is_pinned: Column, mode: str, replacement: bool, seed: int) -> DataFrame:
+    """``batch, slot, perturbation``: the pinned ones first, then drawn ones."""
+    pins, free = dense_ids(names.where(is_pinned), perturbation), dense_ids(names.where(~is_pinned), perturbation)
+    p, n = pins.count(), free.count()
+    n_random = slots - p
+    if n_random < 1:
+        raise ValueError("perturbations_per_batch must exceed the number of pinned perturbations")
+    if n_random > n and not (replacement and mode == "iid" and n):
+        raise ValueError("perturbations_per_batch exceeds the number of perturbations")
+    batches = spark.range(n_batches).withColumnRenamed("id", "batch")
+    if mode == "iid":
+        number = lambda i: whole(seed, F.lit("pick"), F.col("batch"), i)
+        picked = (any_below if replacement else distinct_below)(F.lit(n_random), F.lit(n), number)
+        drawn = batches.select("batch", F.posexplode(picked).alias("slot", "class_id"))
+        drawn = salted_join(drawn, free, ["class_id"])
+    else:  # consecutive blocks of a hashed permutation, a new one when no block is left
+        blocks = n // n_random
+        epochs = -(-n_batches // blocks)
+        every = spark.range(epochs * n).select(F.pmod("id", F.lit(n)).alias("class_id"), F.floor(F.col("id") / n).alias("epoch"))
+        perm = salted_join(every, free, ["class_id"], spread_by=["epoch"]).withColumn("__h", draw(seed, F.lit("perm"), "epoch", perturbation))
+        perm = bucketed_rank(perm, ["epoch"], ["__h", perturbation], hash_bucket("__h"), "r").where(F.col("r") <= blocks * n_random)
+        drawn = perm.select(
+            perturbation, (F.col("epoch") * blocks + F.floor((F.col("r") - 1) / n_random)).alias("batch"),
+            F.pmod(F.col("r") - 1, F.lit(n_random)).alias("slot"),
+        ).where(F.col("batch") < n_batches)
+    drawn = drawn.select("batch", (F.col("slot") + p).cast("bigint").alias("slot"), perturbation)
+    if not p:
+        return drawn
+    pinned = spark.range(n_batches * p).select(F.floor(F.col("id") / p).alias("batch"), F.pmod("id", F.lit(p)).alias("slot"))
+    pinned = salted_join(pinned.withColumn("class_id", F.col("slot")), pins, ["class_id"], spread_by=["batch"])
+    return drawn.unionByName(pinned.select("batch", "slot", perturbation))
 
 
 def perturbation_balanced(
@@ -73,70 +97,66 @@ def perturbation_balanced(
     strata: str | None = None,
     seed: int = SEED,
     drop_last: bool = False,
+    samples_per_perturbation: int | None = None,
+    perturbations_with_replacement: bool = False,
+    rows_with_replacement: bool = False,
 ) -> DataFrame:
-    """``batch, slot, draw_no, perturbation, unique…`` with K perturbations per batch.
-
-    Each batch holds the pinned perturbations plus K−P others. ``cycle`` walks a hashed
-    permutation in consecutive blocks and reshuffles when a block no longer fits; ``iid`` takes the hashed best K−P
-    of all for every batch. Each chosen perturbation gets ``batch_size // K`` rows and the
-    remainder goes one each to hashed slots. With ``strata`` the rows of a slot are spread
-    evenly over the strata of the perturbation.
+    """``batch, slot, draw_no, perturbation[, stratum], unique…`` with K perturbations per batch.
+
+    Each batch holds the pinned perturbations (those that exist) plus K−P others. ``cycle`` walks a hashed permutation in
+    consecutive blocks and reshuffles when a block no longer fits; ``iid`` draws anew for every batch, the
+    same one more than once with ``perturbations_with_replacement``. A slot gets ``samples_per_perturbation`` rows
+    (by default ``batch_size // K``), and what then lacks in the batch goes one each to drawn slots. With
+    ``strata`` the rows of a slot are spread evenly over the strata of the perturbation, what is left over to drawn ones.
+
+    Rows of a slot (and stratum) are drawn on their own for each slot: different rows, or with
+    ``rows_with_replacement``, or where the pool is too small, any rows. ``draw_no`` counts them from 0. Rows without a
+    perturbation, or without a stratum where asked for, take no part. The plan grows with its rows; pools are ranked
+    by hash, so no pool is gathered.
     """
     check_positive(batch_size=batch_size, perturbations_per_batch=perturbations_per_batch)
     if mode not in ("cycle", "iid"):
         raise ValueError("mode must be 'cycle' or 'iid'")
-    base, remainder = divmod(batch_size, perturbations_per_batch)
+    base = batch_size // perturbations_per_batch if samples_per_perturbation is None else samples_per_perturbation
     if base < 1:
-        raise ValueError("batch_size is smaller than perturbations_per_batch")
+        raise ValueError("batch_size is smaller than perturbations_per_batch" if samples_per_perturbation is None else "samples_per_perturbation must be 1 or more")
+    lacking = batch_size - perturbations_per_batch * base
+    if lacking < 0:
+        raise ValueError("perturbations_per_batch * samples_per_perturbation exceeds batch_size")
+    spark = df.sparkSession
     rows = df.where(F.col(perturbation).isNotNull())
-    names = rows.groupBy(perturbation).agg(F.count(F.lit(1)).alias("n_rows"))
+    if strata:
+        rows = rows.where(F.col(strata).isNotNull())
+    names = checkpoint(rows.groupBy(perturbation).agg(F.count(F.lit(1)).alias("n_rows")))
+    total = names.agg(F.sum("n_rows")).first()[0]
+    if not total:
+        raise ValueError("no row has a perturbation")
+    n_batches = int(total // batch_size if drop_last else -(-total // batch_size))
     is_pinned = F.col(perturbation).isin(list(pinned)) if pinned else F.lit(False)
-    stats = names.agg(
-        F.sum("n_rows").alias("rows"), F.count_if(is_pinned).alias("p"), F.count_if(~is_pinned).alias("free")
-    ).first()
-    n_random = perturbations_per_batch - stats.p
-    if n_random < 1:
-        raise ValueError("perturbations_per_batch must exceed the number of pinned perturbations")
-    if n_random > stats.free:
-        raise ValueError("perturbations_per_batch exceeds the number of perturbations")
-    n_batches = stats.rows // batch_size if drop_last else -(-stats.rows // batch_size)
-    spark = df.sparkSession
-    free = dense_ids(names.where(~is_pinned), perturbation)
-    blocks = stats.free // n_random if mode == "cycle" else 1
-    epochs = -(-n_batches // blocks)
-    # one hashed permutation of the free perturbations per epoch
-    perm = _times(free, int(stats.free), int(epochs), "epoch").withColumn(
-        "__h", draw(seed, F.lit("perm"), "epoch", perturbation)
-    )
-    perm = bucketed_rank(perm, ["epoch"], ["__h", perturbation], hash_bucket("__h"), "r")
-    chosen = perm.where(F.col("r") <= blocks * n_random).select(
-        perturbation,
-        (F.col("epoch") * blocks + F.floor((F.col("r") - 1) / n_random)).alias("batch"),
-        (F.pmod(F.col("r") - 1, F.lit(n_random)) + F.lit(int(stats.p))).alias("slot"),
-    ).where(F.col("batch") < int(n_batches))
-    if stats.p:
-        pins = _times(dense_ids(names.where(is_pinned), perturbation), int(stats.p), int(n_batches), "batch")
-        chosen = chosen.unionByName(pins.select(perturbation, "batch", F.col("class_id").alias("slot")))
-    # the remainder: a hashed rotation of the slots, one extra row for the first ones
-    shift = F.pmod(_uniform(seed, F.lit("extra"), "batch"), F.lit(perturbations_per_batch))
-    extra = F.pmod(F.col("slot") + shift, F.lit(perturbations_per_batch)) < remainder
-    quota = chosen.withColumn("quota", F.lit(base) + F.when(extra, 1).otherwise(0))
-    draws = quota.withColumn("draw_no", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)))
-    pools = _pools(rows, perturbation, strata, unique, seed)
+    slots = _pick_slots(spark, names, perturbation, perturbations_per_batch, n_batches, is_pinned, mode, perturbations_with_replacement, seed)
+    extra = distinct_below(F.lit(min(lacking, perturbations_per_batch)), F.lit(perturbations_per_batch), lambda i: whole(seed, F.lit("extra"), F.col("batch"), i))
+    slots = slots.withColumn("quota", F.lit(base).cast("bigint") + F.array_contains(extra, F.col("slot")).cast("bigint"))
+
+    pools = _pools(rows, perturbation, strata, unique, seed).withColumn("pos", F.col("pos") - 1)
     if strata:
-        layers = pools.groupBy(perturbation, strata).agg(F.max("n").alias("n"))
-        layers = ranged_rank(layers, [perturbation], [strata], "layer", "n_layers")
-        per = layers.groupBy(perturbation).agg(F.max("n_layers").alias("n_layers"))
-        turn = F.col("draw_no") + _uniform(seed, F.lit("layer"), "batch", "slot")
-        placed = salted_join(draws, per, [perturbation]).withColumn("layer", F.pmod(turn, F.col("n_layers")) + 1)
-        placed = salted_join(placed, layers.drop("n_layers"), [perturbation, "layer"])
-        step = F.floor(F.col("draw_no") / F.col("n_layers"))
-        join_keys = [perturbation, strata, "pos"]
+        layers = ranged_rank(pools.groupBy(perturbation, strata).agg(F.max("n").alias("n")), [perturbation], [strata], "layer", "n_layers")
+        layers = layers.withColumn("layer", F.col("layer") - 1)
+        slots = salted_join(slots, layers.groupBy(perturbation).agg(F.max("n_layers").alias("n_layers")), [perturbation], spread_by=["batch", "slot"])
+        left = F.pmod("quota", F.col("n_layers"))
+        more = distinct_below(left, F.col("n_layers"), lambda i: whole(seed, F.lit("layer"), F.col("batch"), F.col("slot"), i))
+        slots = slots.withColumn("more", more).withColumn("each", F.floor(F.col("quota") / F.col("n_layers")).cast("bigint"))
+        share = lambda x, k: F.struct(x.alias("layer"), k.alias("quota"))
+        spread = F.when(F.col("each") == 0, F.transform("more", lambda x: share(x, F.lit(1).cast("bigint")))).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_layers").cast("bigint") - 1), lambda x: share(x, F.col("each") + F.array_contains("more", x).cast("bigint")))
+        )
+        slots = slots.select("batch", "slot", perturbation, F.explode(spread).alias("part")).select("batch", "slot", perturbation, "part.layer", "part.quota")
+        slots = salted_join(slots, layers.drop("n_layers"), [perturbation, "layer"], spread_by=["batch", "slot"])
+        parts, keys = [F.col("layer")], [perturbation, strata, "pos"]
     else:
-        sizes = pools.groupBy(perturbation).agg(F.max("n").alias("n"))
-        placed, step, join_keys = salted_join(draws, sizes, [perturbation]), F.col("draw_no"), [perturbation, "pos"]
-    # a random start, then consecutive positions: no row repeats while the pool is large enough
-    start = _uniform(seed, F.lit("row"), "batch", "slot")
-    placed = placed.withColumn("pos", F.pmod(start + step, F.col("n")) + 1).drop("n")
-    cols = ["batch", "slot", "draw_no", perturbation, *([strata] if strata else []), *unique]
-    return placed.join(pools.drop("n"), join_keys).select(*cols)
+        slots = salted_join(slots, pools.groupBy(perturbation).agg(F.max("n").alias("n")), [perturbation], spread_by=["batch", "slot"])
+        parts, keys = [], [perturbation, "pos"]
+    number = lambda i: whole(seed, F.lit("row"), F.col("batch"), F.col("slot"), *parts, i)
+    repeated = any_below(F.col("quota"), F.col("n"), number)
+    drawn = repeated if rows_with_replacement else F.when(F.col("n") >= F.col("quota"), distinct_below(F.col("quota"), F.col("n"), number)).otherwise(repeated)
+    placed = slots.select("batch", "slot", *keys[:-1], F.posexplode(drawn).alias("draw_no", "pos"))
+    return placed.join(pools.drop("n"), keys).select("batch", "slot", "draw_no", *keys[:-1], *unique)
