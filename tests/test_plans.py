@@ -53,3 +53,24 @@ def test_ranks_and_adjustment_equal_the_plain_ones(spark):
     w = Window.partitionBy("g", "k")
     want = {r.id: (r.rank, r.n) for r in df.withColumn("rank", F.row_number().over(w.orderBy("v", "id"))).withColumn("n", F.count(F.lit(1)).over(w)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("limit", [0, 3, 40, 10_000])
+def test_quantiles_of_small_and_large_groups(spark, limit):
+    """Arrays, dealt pieces and both together give what NumPy gives, with nulls, NaN and a hot value."""
+    import numpy as np
+
+    from wellgrid.plans.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(6)
+    data = {("a", 1): rng.standard_normal(200), ("a", None): [5.0] * 90 + [7.0, -1.0], (None, 2): [3.0], ("b", 3): rng.integers(0, 3, 41).astype(float), (None, None): [1.0, 2.0]}
+    rows = [(k, j, float(x)) for (k, j), xs in data.items() for x in xs] + [("a", 1, None), ("b", 3, float("nan")), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.k, r.j): list(r.q) for r in exact_quantiles(df, ["k", "j"], "v", probs, in_one_row=limit).collect()}
+    assert got.keys() == data.keys()
+    for key, xs in data.items():
+        assert got[key] == pytest.approx(np.quantile(xs, probs), abs=1e-12)
+    whole = exact_quantiles(df, [], "v", probs, in_one_row=limit).collect()
+    assert len(whole) == 1 and list(whole[0].q) == pytest.approx(np.quantile(np.concatenate(list(data.values())), probs), abs=1e-12)
+    assert exact_quantiles(df.where("false"), [], "v", probs, in_one_row=limit).count() == 0

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..checks import check_quantiles
 from ..functions.vectors import finite_or_null
+from ..plans.durable import checkpoint
 from ..plans.joins import salted_join
-from ..plans.quantiles import exact_quantiles, medians
+from ..plans.quantiles import exact_quantiles, large_groups, medians, quantile_of
 
 MAD_SCALE = 1.4826  # fixed values: robust scaling constants
 MAD_MIN_CONTROLS = 5
@@ -87,21 +88,42 @@ def robust_scale(tidy_df: DataFrame, plate: Sequence[str], unique: Sequence[str]
     ``min_controls``. A zero MAD scales by 1. A missing value (null or NaN) stays missing. Input is
     ``plate…, unique…, feature, value`` plus whatever ``is_control`` reads. Null plates are a group.
 
-    Medians are tables of one row per plate and feature, joined back salted, whatever their size.
+    A plate and feature of ``IN_ONE_ROW`` values at most (usually all) gives both medians from one array; larger ones take
+    the dealt plan twice. Either way they are one row per plate and feature, joined back salted, once.
     """
     keys = [*plate, "feature"]
-    src = tidy_df.withColumns({"__ctrl": F.coalesce(is_control, F.lit(False)), "value": F.nanvl(F.col("value").cast("double"), F.lit(None))})
+    src = tidy_df.withColumns({"__ctrl": F.coalesce(is_control, F.lit(False)), "value": F.nanvl(F.col("value").cast("double"), F.lit(None)) + F.lit(0.0)})
     back = lambda rows, per: salted_join(rows, per, keys, "left", spread_by=unique, null_safe=True)
-    n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
-    ref = back(src, n_ctrl).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, *[u for u in unique if u not in keys], "value")
-    med = medians(ref, keys, "value", "__med")
-    dev = back(ref, med).withColumn("__dev", F.abs(F.col("value") - F.col("__med")))
-    mad = medians(dev, keys, "__dev", "__mad")
-    out = back(back(src, med), mad)
+    large = large_groups(src, keys)
+    if large.isEmpty():
+        per = _scales_in_rows(src, keys, min_controls)
+    else:
+        marked = back(src, large.withColumn("__large", F.lit(True)))
+        per = _scales_in_rows(marked.where(F.col("__large").isNull()), keys, min_controls).unionByName(_scales_dealt(marked.where("__large"), keys, unique, min_controls, back))
     scale = F.when(F.col("__mad") > 0, F.col("__mad") * MAD_SCALE).otherwise(1.0)
     z = (F.col("value") - F.col("__med")) / scale
     clipped = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
-    return out.withColumn("scaled", clipped).select(*tidy_df.columns, "scaled")
+    return back(src, per).withColumn("scaled", clipped).select(*tidy_df.columns, "scaled")
+
+
+def _scales_in_rows(src: DataFrame, keys: list[str], min_controls: int) -> DataFrame:
+    """``keys…, __med, __mad`` of groups whose values fit an array."""
+    values = lambda x: F.sort_array(F.collect_list(x))
+    one = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"), values("value").alias("__all"), values(F.when(F.col("__ctrl"), F.col("value"))).alias("__own"))
+    one = one.select(*keys, F.when(F.col("__nc") < min_controls, F.col("__all")).otherwise(F.col("__own")).alias("__ref"))
+    one = one.withColumn("__med", quantile_of(F.col("__ref"), 0.5))
+    dev = F.sort_array(F.transform("__ref", lambda x: F.abs(x - F.col("__med"))))
+    return one.withColumn("__dev", dev).select(*keys, "__med", quantile_of(F.col("__dev"), 0.5).alias("__mad"))
+
+
+def _scales_dealt(src: DataFrame, keys: list[str], unique: Sequence[str], min_controls: int, back) -> DataFrame:
+    """``keys…, __med, __mad`` of groups of any size."""
+    n_ctrl = src.groupBy(*keys).agg(F.count_if("__ctrl").alias("__nc"))
+    ref = back(src, n_ctrl).where(F.col("__ctrl") | (F.col("__nc") < min_controls)).select(*keys, *[u for u in unique if u not in keys], "value")
+    med = checkpoint(medians(ref, keys, "value", "__med"))
+    dev = back(ref, med).withColumn("__dev", F.abs(F.col("value") - F.col("__med")))
+    mad = medians(dev, keys, "__dev", "__mad").withColumn("__same", F.struct(*keys)).drop(*keys)
+    return med.withColumn("__same", F.struct(*keys)).join(mad, "__same").drop("__same")
 
 
 def feature_audit(tidy_df: DataFrame, max_missing: float = MAX_MISSING, min_std: float = MIN_STD) -> DataFrame:
