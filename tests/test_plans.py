@@ -74,3 +74,20 @@ def test_quantiles_of_small_and_large_groups(spark, limit):
     whole = exact_quantiles(df, [], "v", probs, in_one_row=limit).collect()
     assert len(whole) == 1 and list(whole[0].q) == pytest.approx(np.quantile(np.concatenate(list(data.values())), probs), abs=1e-12)
     assert exact_quantiles(df.where("false"), [], "v", probs, in_one_row=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_well_medians_of_small_and_large_wells(spark, monkeypatch, limit):
+    import numpy as np
+
+    from wellgrid.operators import pooling
+
+    monkeypatch.setattr(pooling, "VALUES_IN_ONE_ROW", limit)
+    nan = float("nan")
+    rows = [("a", [1.0, nan, 5.0]), ("a", [2.0, 4.0, None]), ("a", [9.0, 8.0, 7.0]), ("b", [3.0]), ("b", [4.0, 6.0]), ("c", None), ("c", []), ("d", [nan, 2.0]), (None, [1.0])]
+    got = {r.k: list(r.vec) for r in pooling.well_median(spark.createDataFrame(rows, "k string, vec array<double>").repartition(4), ["k"], "vec").collect()}
+    assert got == {"a": [2.0, 6.0, 6.0], "b": [3.5, 6.0], "d": [2.0]}
+    x = np.random.default_rng(3).standard_normal((300, 4))
+    df = spark.createDataFrame([(str(i % 7), v.tolist()) for i, v in enumerate(x)], "k string, vec array<double>")
+    got = {r.k: list(r.vec) for r in pooling.well_median(df, ["k"], "vec").collect()}
+    assert all(got[str(k)] == pytest.approx(np.median(x[k::7], axis=0), abs=1e-12) for k in range(7))
