@@ -353,7 +353,7 @@ def test_harmony_goes_on_until_settled(spark, monkeypatch):
 def blobs(spark):
     n = 90
     lab, bat = np.arange(n) % 3, (np.arange(n) // 3) % 2
-    x = RNG.standard_normal((n, 4)) + np.eye(4)[lab] * 12
+    x = np.random.default_rng(31).standard_normal((n, 4)) + np.eye(4)[lab] * 12
     return vectors(spark, x, lab=[f"l{v}" for v in lab], batch=[f"b{v}" for v in bat]), x, lab, bat
 
 
@@ -379,10 +379,30 @@ def test_silhouette_brute_force(blobs, lane_rows):
     assert got == pytest.approx((np.mean(s) + 1) / 2)
 
 
-def test_lisi_extremes(blobs):
-    df, *_ = blobs
+def lisi_by_hand(x, code, k):
+    """Median inverse Simpson index over the k nearest rows (the row itself left out), one row after another."""
+    out = []
+    for i in range(len(x)):
+        d = np.linalg.norm(x - x[i], axis=1)
+        near = [j for j in np.argsort(d, kind="stable") if j != i][:k]
+        lo, hi, beta = 0.0, np.inf, 1.0
+        for _ in range(200):
+            w = np.exp(-(d[near] - d[near].min()) * beta)
+            w /= w.sum()
+            if -(w * np.log(np.maximum(w, 1e-300))).sum() > np.log(k / 3):
+                lo = beta
+            else:
+                hi = beta
+            beta = beta * 2 if np.isinf(hi) else (lo + hi) / 2
+        out.append(1 / sum(w[code[near] == c].sum() ** 2 for c in set(code[near].tolist())))
+    return np.median(out)
+
+
+def test_lisi_against_plain_loops(blobs):
+    df, x, lab, bat = blobs
     r = integration.lisi_scores(df, "id", "vec", "lab", "batch", 4, k=15).first()
-    assert r.clisi == pytest.approx(1.0, abs=1e-6) and 0.6 < r.ilisi <= 1.0
+    assert r.clisi == pytest.approx((3 - lisi_by_hand(x, lab, 15)) / 2, abs=1e-5)
+    assert r.ilisi == pytest.approx(lisi_by_hand(x, bat, 15) - 1, abs=1e-4)
 
 
 def test_lisi_weights_reach_perplexity():
