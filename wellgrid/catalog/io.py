@@ -76,6 +76,25 @@ def sink_overwrite(spark, d):
     return spark.read.parquet(path)
 
 
+@query("""SELECT 'after a failed write' AS seen, n_nationkey, n_name, n_regionkey FROM nation
+UNION ALL SELECT 'after a whole write', n_nationkey, upper(n_name), n_regionkey FROM nation WHERE n_regionkey <> 2""")
+def sink_replaced(spark, d):
+    """A write that fails half-way leaves the old rows; a whole one replaces them."""
+    path = _place(spark, "replaced")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    writers.replace(nations, path)
+    broken = nations.withColumn("n_name", F.when(F.col("n_nationkey") == 20, F.raise_error(F.lit("broken row"))).otherwise(F.lower("n_name")))
+    try:
+        writers.replace(broken, path)
+    except Exception as e:
+        if "broken row" not in str(e):
+            raise
+    before = readers.current(spark, path)
+    writers.replace(nations.where("n_regionkey <> 2").withColumn("n_name", F.upper("n_name")), path)
+    seen = lambda df, what: df.select(F.lit(what).alias("seen"), *nations.columns)
+    return seen(before, "after a failed write").unionByName(seen(readers.current(spark, path), "after a whole write"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem")
 def sink_by_plate(spark, d):
     """One folder per plate, a large plate spread over files."""

@@ -88,3 +88,24 @@ def whitelist_yaml(spark: SparkSession, path: str, fields: Sequence[str], key: s
 
     with open(path) as f:
         return whitelist(spark, yaml.safe_load(f)[key], fields)
+
+
+LOG = "log"  # folder with one row per version of a replaceable table
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """``version, folder`` of a table written by ``writers.replace``; none if there is no such table yet."""
+    try:
+        return spark.read.schema("version bigint, folder string").parquet(f"{path}/{LOG}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "version bigint, folder string")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table written by ``writers.replace``."""
+    last = versions(spark, path).agg(F.max(F.struct("version", "folder")).alias("at")).first()["at"]
+    if last is None:
+        raise FileNotFoundError(f"no version at {path}")
+    return spark.read.parquet(f"{path}/{last['folder']}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,12 +12,30 @@ from pyspark.sql import functions as F
 from ..checks import check_positive
 from ..operators.sampling import file_plan
 from ..plans.joins import skew_safe_semi
+from .readers import LOG, versions
 
 
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> str:
+    """Put ``df`` in the place of the table at ``path`` in one step; returns the folder of the new version.
+
+    The rows are written to a folder of their own. Only when all are there, a line in the table's log names that
+    folder, and readers (``readers.current``) follow the last line. A write that fails leaves no line, so
+    the old rows stay; readers of the old version are not disturbed. Of two writers at once, the one with the greater version
+    and folder name wins. Folders of older versions stay until someone clears them.
+    """
+    spark = df.sparkSession
+    folder = f"version-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path}/{folder}")
+    last = versions(spark, path).agg(F.max("version")).first()[0]
+    line = spark.range(1).select(F.lit((last or 0) + 1).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
+    line.write.mode("append").parquet(f"{path}/{LOG}")
+    return folder
+
+
 def by_plate(df: DataFrame, path: str, keys: Sequence[str] = ("source", "batch", "plate"), salts: int = 1, mode: str = "overwrite") -> None:
     """One folder per plate, zstd. ``salts`` > 1 spreads a very large plate over several files."""
     check_positive(salts=salts)
@@ -27,7 +46,7 @@ def by_plate(df: DataFrame, path: str, keys: Sequence[str] = ("source", "batch",
 def resharded(df: DataFrame, path: str, order: Sequence[str], rows_per_file: int = 25_000, max_files: int | None = None) -> None:
     """Contiguous equal files of about ``rows_per_file`` rows in the given order; at most ``max_files`` if given."""
     plan = file_plan(df, order, rows_per_file, max_files)
-    n = plan.agg(F.max("file")).first()[0] + 1
+    n = (plan.agg(F.max("file")).first()[0] or 0) + 1  # an empty table is one empty file
     plan.repartitionByRange(n, "file").sortWithinPartitions("file", *order).drop("file").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
