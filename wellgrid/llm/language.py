@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
+from ..plans.joins import salted_join
 from .arrow_text import give_back
 from .registry import query, table
 
@@ -37,6 +38,7 @@ LONGEST = 40  # characters of a word that can be in the model
 PENALTY = -7.0  # log10
 UNKNOWN = "und"
 FLUSH = 300_000  # distinct tokens a task holds while it counts
+TOGETHER_WORDS = 5_000  # whose n-grams are counted at once
 PIECE = 20_000  # rows that leave a counting task together
 SURE = 0.5  # the pipeline keeps a document from this score on
 
@@ -76,12 +78,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words[""] = long.total()  # the total of a language's words counts the long ones too
             yield from rows(lang, 0, words)
             del words[""]
-            kinds: list[Counter] = [Counter() for _ in range(GRAMS + 1)]
+            often: dict[int, list[str]] = defaultdict(list)  # words by their count
             for w, n in chain(words.items(), long.items()):
-                for size, g in word_grams(w):
-                    kinds[size][g] += n
+                often[n].append(w)
             for size in range(1, GRAMS + 1):
-                yield from rows(lang, size, kinds[size])
+                grams: Counter = Counter()
+                for n, some in often.items():
+                    count_grams(some, n, size, grams)
+                yield from rows(lang, size, grams)
 
     held = 0
     for batch in batches:
@@ -98,12 +102,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
-def word_grams(word: str) -> Iterator[tuple[int, str]]:
-    """All n-grams (size, gram) of a word with a space on either side; the bare space is none."""
-    w = f" {word} "
-    for size in range(GRAMS, 0, -1):
-        for g in grams_of(w, size):
-            yield size, g
+def count_grams(words: list[str], n: int, size: int, into: Counter) -> None:
+    """Add the grams of words with a space on either side, each word ``n`` times; the bare space is none."""
+    for a in range(0, len(words), TOGETHER_WORDS):
+        joined = f" {' \0 '.join(words[a:a + TOGETHER_WORDS])} "
+        found = Counter([joined[i:i + size] for i in range(len(joined) - size + 1)])
+        for g, k in found.items():
+            if "\0" not in g and g != " ":
+                into[g] += n * k
 
 
 def grams_of(padded: str, size: int) -> list[str]:
@@ -135,11 +141,12 @@ def learn(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
 
     # the first that has no room left has the most room before it
     rank = limit(real, F.col("n").desc(), F.lit(entries), "n")
-    ties = real.join(rank, by).where(F.col("n") == F.col("n_at"))
+    ties = salted_join(real, rank, by, spread_by=["key"]).where(F.col("n") == F.col("n_at"))
     part = limit(ties, F.col("slice"), F.col("left"), "slice").drop("left")
-    marked = real.join(rank.drop("left"), by, "left").join(part, by, "left")
+    # small tables, joined to the keys at once and spread, as a language may hold most of them
+    per = checkpoint(totals.join(rank.drop("left"), by, "left").join(part, by, "left"))
     inside = F.col("n_at").isNull() | (F.col("n") > F.col("n_at")) | ((F.col("n") == F.col("n_at")) & (F.col("slice") < F.col("slice_at")))
-    return marked.where(inside).join(totals, by).select(*by, "key", F.log10(F.col("n") / F.col("total")).alias("logf"))
+    return salted_join(real, per, by, spread_by=["key"]).where(inside).select(*by, "key", F.log10(F.col("n") / F.col("total")).alias("logf"))
 
 
 class Model:
