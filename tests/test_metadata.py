@@ -184,3 +184,20 @@ def test_argument_rules():
             checks.check_quantiles(*bad)
     with pytest.raises(ValueError):
         checks.check_fractions(0.6, 0.5)
+
+
+def test_range_standing_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"n{i}", float(a := rng.randrange(60)), float(a + rng.randrange(8))) for i in range(150)] + [("n0", 1.0, 1.0), ("bad", 5.0, 1.0), ("none", None, 2.0)]
+    df = spark.createDataFrame(rows, "name string, lo double, hi double").repartition(6)
+    good = [r for r in rows if None not in r and r[1] <= r[2]]
+    want = []
+    for k, (n, lo, hi) in enumerate(good):
+        under = [(b, m) for j, (m, a, b) in enumerate(good) if j != k and b < lo]
+        over = [(-a, m) for j, (m, a, b) in enumerate(good) if j != k and a > hi]
+        u, o = max(under, default=None), max(over, default=None)
+        want.append((n, lo, hi, len(under), len(over), len(good) - 1 - len(under) - len(over), u and u[1], u and lo - u[0], o and o[1], o and -o[0] - hi))
+    assert sorted(map(tuple, report.range_standing(df, "name", "lo", "hi").collect()), key=str) == sorted(want, key=str)
+    assert report.range_standing(df.limit(0), "name", "lo", "hi").count() == 0

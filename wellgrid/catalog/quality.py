@@ -161,3 +161,17 @@ def range_overlap(spark, d):
     ranges = table(spark, d, "part").groupBy(F.col("p_brand").alias("name"), "p_brand").agg((F.min(price) + lift).alias("lo"), (F.max(price) + lift).alias("hi"))
     out = report.range_overlap(ranges, "name", "lo", "hi")
     return out.select("upper", r6("upper_min", 4).alias("upper_min"), "lower", r6("lower_max", 4).alias("lower_max"), r6("margin", 4).alias("margin"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS name, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_orderkey),
+u AS (SELECT name, k, count(*) FILTER (k = 1) OVER w AS n, max({'v': v, 'name': name}) FILTER (k = 1) OVER w AS last
+  FROM (SELECT name, lo AS v, 0 AS k FROM r UNION ALL SELECT name, hi, 1 FROM r) WINDOW w AS (ORDER BY v, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT name, k, count(*) FILTER (k = 1) OVER w AS n, max({'v': v, 'name': name}) FILTER (k = 1) OVER w AS last
+  FROM (SELECT name, -hi AS v, 0 AS k FROM r UNION ALL SELECT name, -lo, 1 FROM r) WINDOW w AS (ORDER BY v, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT r.name, u.n AS n_below, o.n AS n_above, (SELECT count(*) FROM r) - 1 - u.n - o.n AS n_overlapping, u.last.name AS below, round(lo - u.last.v, 4) + 0.0 AS gap_below, o.last.name AS above, round(-o.last.v - hi, 4) + 0.0 AS gap_above
+FROM r JOIN u ON u.k = 0 AND u.name = r.name JOIN o ON o.k = 0 AND o.name = r.name""")
+def range_standing(spark, d):
+    """Price ranges of all orders."""
+    ranges = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("name")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    out = report.range_standing(ranges, "name", "lo", "hi")
+    return out.select("name", "n_below", "n_above", "n_overlapping", "below", r6("gap_below", 4).alias("gap_below"), "above", r6("gap_above", 4).alias("gap_above"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import position_in
+from ..plans.durable import checkpoint
+from ..plans.ranking import pieces
 
 
 def distinct_sources(df: DataFrame, key: str, source: str, out: str = "n_sources") -> DataFrame:
@@ -65,6 +67,40 @@ def range_overlap(ranges: DataFrame, name: str, low: str, high: str) -> DataFram
     )
 
 
+def _points_before(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """``id, n, last``: for each query (id, v) the points (name, v) below it: their number, and the greatest (v, name).
+
+    One sweep over both in order of v, dealt out by ranges: a piece counts on from what the earlier pieces hold.
+    """
+    events = queries.select("id", "v", F.lit(0).alias("k"), F.lit(None).alias("name")).unionByName(points.select("id", "v", F.lit(1).alias("k"), "name"))
+    dealt = pieces(events, [], ["v", "k", "id"])
+    point = F.when(F.col("k") == 1, F.struct("v", "name"))
+    earlier = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    per = dealt.groupBy("__piece").agg(F.sum("k").alias("c"), F.max(point).alias("m"))
+    per = per.select("__piece", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.max("m").over(earlier).alias("m"))
+    run = Window.partitionBy("__piece").orderBy("v", "k", "id").rowsBetween(Window.unboundedPreceding, -1)
+    swept = dealt.join(per, "__piece").withColumns({"n": F.col("c") + F.coalesce(F.sum("k").over(run), F.lit(0)), "last": F.greatest("m", F.max(point).over(run))})
+    return swept.where("k = 0").select("id", "n", "last")
+
+
+def range_standing(ranges: DataFrame, name: str, low: str, high: str) -> DataFrame:
+    """Per range: how many others lie wholly below, wholly above, or overlap it, and the nearest one on either side.
+
+    ``name, low, high, n_below, n_above, n_overlapping, below, gap_below, above, gap_above``; ranges that touch overlap. Of
+    equally near ones the greater name is given below, the greater name above too. Rows without both ends, or with
+    low beyond high, are left out; names may repeat. Any number of ranges: two sweeps, no pairs.
+    """
+    r = checkpoint(ranges.select(F.col(name).alias("name"), F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"), F.monotonically_increasing_id().alias("id")).where("lo <= hi"))
+    under = _points_before(r.select("id", F.col("lo").alias("v")), r.select("id", F.col("hi").alias("v"), "name"))
+    over = _points_before(r.select("id", (-F.col("hi")).alias("v")), r.select("id", (-F.col("lo")).alias("v"), "name"))
+    both = r.join(under.withColumnsRenamed({"n": "n_below", "last": "u"}), "id").join(over.withColumnsRenamed({"n": "n_above", "last": "o"}), "id")
+    return both.select(
+        F.col("name").alias(name), F.col("lo").alias(low), F.col("hi").alias(high), "n_below", "n_above",
+        (F.lit(r.count() - 1) - F.col("n_below") - F.col("n_above")).alias("n_overlapping"),
+        F.col("u.name").alias("below"), (F.col("lo") - F.col("u.v")).alias("gap_below"), F.col("o.name").alias("above"), (-F.col("o.v") - F.col("hi")).alias("gap_above"),
+    )
+
+
 def best_per_group(df: DataFrame, group: str, config: str, metric: str) -> DataFrame:
     """Best configuration per group; equal scores go to the smaller name."""
     best = F.min_by(F.struct(config, metric), F.struct((-F.col(metric)).alias("m"), F.col(config)))
