@@ -26,6 +26,32 @@ def scan_csv(spark, d):
     return readers.csv_table(spark, path, df.schema)
 
 
+@query("SELECT n_regionkey AS region_file, n_nationkey, n_name FROM nation")
+def scan_csv_files(spark, d):
+    """One file per region, read as one table that knows the file of each row."""
+    df = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    path = _place(spark, "csv-files")
+    df.repartition("n_regionkey").write.partitionBy("n_regionkey").option("header", True).csv(path)
+    regions = [r[0] for r in table(spark, d, "region").select("r_regionkey").orderBy("r_regionkey").collect()]
+    folders = [f"{path}/n_regionkey={r}" for r in regions]
+    got = readers.csv_table(spark, folders, df.drop("n_regionkey").schema, with_file=True)
+    return got.select(F.regexp_extract("file_path", r"n_regionkey=(\d+)/", 1).cast("int").alias("region_file"), "n_nationkey", "n_name")
+
+
+@query("SELECT DISTINCT 'p' || CAST(vec_id % 50 AS VARCHAR) AS prefix, CAST(vec_id % 50 % 4 AS INTEGER) AS shard FROM embeddings")
+def scan_shard_index(spark, d):
+    """Which shard holds which key prefix, from keys and file names; the vectors are not read."""
+    e = table(spark, d, "embeddings")
+    path = _place(spark, "shards")
+    keyed = e.select(F.concat_ws("_", F.concat(F.lit("p"), (F.col("vec_id") % 50).cast("string")), F.col("vec_id").cast("string")).alias("__key__"), "embedding", (F.col("vec_id") % 50 % 4).alias("shard"))
+    found = None
+    for k in range(4):  # a file's number stands in its name, so each shard is a write of one task
+        keyed.where(F.col("shard") == k).drop("shard").coalesce(1).write.parquet(f"{path}/shard-{k}")
+        one = readers.shard_index(spark, f"{path}/shard-{k}", shard=r"part-(\d+)").withColumn("shard", F.col("shard") + k)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def scan_commented_tsv(spark, d):
     """A comment line of its own among the rows is skipped."""
