@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -250,9 +252,8 @@ def test_significance_separates_signal(spark):
 
 
 def test_null_draws_have_the_expected_mean():
-    rng = np.random.default_rng(0)
     for n_pos, n_total in ((2, 4), (1, 200)):
-        draws = replicate._null_draws(n_pos, n_total, 20_000, rng)
+        draws = replicate._null_draws(n_pos, n_total, 20_000)
         if n_pos == 1:
             want = np.mean(1 / np.arange(1, n_total + 1))
         else:
@@ -260,6 +261,16 @@ def test_null_draws_have_the_expected_mean():
         assert draws.mean() == pytest.approx(want, rel=0.03)
 
 
+def test_null_draws_take_every_set_of_ranks_alike():
+    draws = replicate._null_draws(3, 6, 40_000, seed=5)
+    sets = [np.mean([(j + 1) / (i + 1) for j, i in enumerate(c)]) for c in itertools.combinations(range(6), 3)]
+    values, counts = np.unique(np.round(draws, 9), return_counts=True)
+    want, ways = np.unique(np.round(sets, 9), return_counts=True)
+    assert np.allclose(values, want) and np.allclose(counts / 40_000, ways / 20, atol=0.006)
+    assert (replicate._null_draws(4, 4, 10) == 1.0).all()
+    assert (replicate._null_draws(3, 6, 100, seed=5) == draws[:100]).all() and (replicate._null_draws(3, 6, 100, seed=6) != draws[:100]).any()
+
+
 # -- probe, correction ---------------------------------------------------------------------
 
 

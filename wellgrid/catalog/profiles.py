@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import correct, integration, pooling, probe, profiles, replicate, retrieval
 from ..plans.durable import checkpoint
+from ..plans.linalg import mean_vector
 from . import query
 from .views import CELL, DIM, VEC, r6, table, v_cell, v_vec
 
@@ -236,9 +238,34 @@ def bh_adjust(spark, d):
     return replicate.bh_adjust(p, "p").select("event_id", r6("corrected_p_value").alias("corrected_p_value"))
 
 
-@query()
+def _mixed(name: str, columns: str, h: str, source: str) -> str:
+    """A common table expression with the scattered 32-bit number of ``h`` under ``name``."""
+    a, b = replicate.MIX
+    h0, h1, h2 = (f"{name}_{i}" for i in range(3))
+    return f"""(SELECT {columns}, CAST({h} AS UBIGINT) AS {h0}, xor({h0}, {h0} >> 16) * CAST({a} AS UBIGINT) % 4294967296 AS {h1},
+  xor({h1}, {h1} >> 13) * CAST({b} AS UBIGINT) % 4294967296 AS {h2}, xor({h2}, {h2} >> 16) AS {name} FROM {source})"""
+
+
+@query(f"""WITH RECURSIVE {AP}, scored AS (SELECT * FROM ap WHERE ap IS NOT NULL), cfg AS (SELECT DISTINCT n_pos, n_neg FROM scored),
+k1 AS {_mixed("a", "n_pos, n_neg", f"xor({replicate.SEED}, n_pos)", "cfg")}, k2 AS {_mixed("b", "n_pos, n_neg", "xor(a, CAST(n_pos + n_neg AS UBIGINT))", "k1")},
+k3 AS {_mixed("key", "n_pos, n_neg, i", "xor(b, CAST(i AS UBIGINT))", f"k2, range({replicate.NULL_SIZE}) x(i)")},
+steps AS {_mixed("g", "t", "t + 1", "range((SELECT max(n_pos + n_neg) FROM cfg)) x(t)")},
+walk AS (SELECT n_pos, n_neg, i, key, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS seen, CAST(0 AS DOUBLE) AS total FROM k3 UNION ALL
+  SELECT n_pos, n_neg, i, key, t + 1, seen + hit, total + CASE WHEN hit = 1 THEN (seen + 1) / (t + 1) ELSE 0 END FROM (
+    SELECT *, CAST(CAST(u AS BIGINT) * (n_pos + n_neg - t) < (n_pos - seen) * 4294967296 AS BIGINT) AS hit FROM
+      {_mixed("u", "w.*", "xor(w.key, s.g)", "walk w JOIN steps s ON s.t = w.t WHERE w.t < w.n_pos + w.n_neg")})),
+nulls AS (SELECT n_pos, n_neg, i, total / n_pos AS x FROM walk WHERE t = n_pos + n_neg),
+shapes AS (SELECT perturbation, n_pos, n_neg, count(*) AS w FROM scored GROUP BY ALL),
+mixed AS (SELECT perturbation, i, sum(x * w) / sum(w) AS x FROM shapes JOIN nulls USING (n_pos, n_neg) GROUP BY ALL),
+maps AS (SELECT perturbation, count(*) AS n_queries, avg(ap) AS mean_ap FROM scored GROUP BY ALL),
+p AS (SELECT perturbation, n_queries, mean_ap, (count_if(round(x, 12) > round(mean_ap, 12)) + 1) / {replicate.NULL_SIZE + 1} AS p FROM maps JOIN mixed USING (perturbation) GROUP BY ALL),
+r AS (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS up FROM p),
+c AS (SELECT *, least(min(p * m / up) OVER (ORDER BY p DESC), 1.0) AS corrected FROM r)
+SELECT perturbation, n_queries, round(mean_ap, 6) AS mean_ap, round(p, 6) AS p_value, round(corrected, 6) AS corrected_p_value,
+  p < {replicate.THRESHOLD} AS below_p, corrected < {replicate.THRESHOLD} AS below_corrected_p FROM c""")
 def map_significance(spark, d):
-    return replicate.significance(_ap(spark, d), "perturbation")
+    out = replicate.significance(_ap(spark, d), "perturbation")
+    return out.withColumns({c: r6(c) for c in ("mean_ap", "p_value", "corrected_p_value")})
 
 
 # -- integration scores ------------------------------------------------------------------
@@ -389,6 +416,25 @@ def harmony(spark, d):
     return _tidy(correct.harmony(shifted, "vec", "batch", "id", max_rounds=100), ["id"], "harmony", 4)
 
 
+@query(f"""WITH {VEC}, s AS (SELECT id, batch, list_transform(vec, lambda x: x + CAST(batch AS DOUBLE) * 0.5) AS v FROM v_vec),
+u AS (SELECT batch, i, v[i + 1] AS x FROM s, range(64) t(i)), a AS (SELECT i, avg(x) AS m FROM u GROUP BY ALL), b AS (SELECT batch, i, avg(x) AS x, count(*) AS n FROM u GROUP BY ALL)
+SELECT batch, n, round(sqrt(sum((x - m) * (x - m))), 6) AS gap_before, TRUE AS closer FROM b JOIN a USING (i) GROUP BY ALL""")
+def harmony_gaps(spark, d):
+    """How far the mean of each batch lies from the mean of all before the correction, and whether the batches lie closer together after it."""
+    wells = v_vec(spark, d)
+    shifted = wells.withColumn("vec", F.transform("vec", lambda x: x.cast("double") + F.col("batch").cast("double") * 0.5))
+    both = checkpoint(correct.harmony(shifted, "vec", "batch", "id", max_rounds=5).select("batch", "vec", "harmony"))
+
+    def gaps(vec):
+        every = mean_vector(both, [], vec, "a").scalar()
+        apart = F.zip_with("m", "a", lambda x, y: (x - y) * (x - y))
+        return mean_vector(both, ["batch"], vec, "m", "n").withColumn("a", every).select("batch", "n", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda t, x: t + x)).alias(vec))
+
+    apart = lambda c: F.sum(F.col("n") * F.col(c) * F.col(c)).over(Window.partitionBy())  # noqa: E731  (one row per batch)
+    out = gaps("vec").join(gaps("harmony").drop("n"), "batch")
+    return out.select("batch", "n", r6("vec").alias("gap_before"), (apart("harmony") < 0.5 * apart("vec")).alias("closer"))
+
+
 # -- whole flows -------------------------------------------------------------------------
 
 

@@ -177,31 +177,47 @@ def map_per_perturbation(ap: DataFrame, perturbation: str) -> DataFrame:
     return scored.groupBy(perturbation).agg(F.count(F.lit(1)).alias("n_queries"), F.avg("ap").alias("mean_ap"))
 
 
-def _null_draws(n_pos: int, n_total: int, size: int, rng: np.random.Generator) -> np.ndarray:
-    """AP of ``size`` random rankings with ``n_pos`` positives among ``n_total``."""
-    order = np.arange(1, n_pos + 1)
-    if n_pos * 50 < n_total:
+MIX = (0x85EBCA6B, 0xC2B2AE35)  # fixed values: a public 32-bit finaliser
+LONG_LIST = 65_536
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """32-bit numbers scattered over all 32 bits; any engine with 64-bit integers can repeat it."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(MIX[0])
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(MIX[1])
+    return h ^ (h >> np.uint32(16))
+
+
+def _null_draws(n_pos: int, n_total: int, size: int, seed: int = SEED) -> np.ndarray:
+    """AP of ``size`` random rankings with ``n_pos`` positives among ``n_total``.
+
+    Walks down the ranks of all rankings at once: the next rank is a positive with the share of positives among
+    the ranks left, so every set of ranks is equally likely. The random number of ranking i at rank t is a hash of
+    seed, shape, i and t, with no state. Few positives in a list beyond ``LONG_LIST`` are drawn as sets instead.
+    """
+    if n_total > LONG_LIST and n_pos * 50 < n_total:
+        rng = np.random.default_rng([seed, n_pos, n_total])
         ranks = np.stack([np.sort(rng.choice(n_total, n_pos, replace=False, shuffle=False)) for _ in range(size)])
-        return (order / (ranks + 1)).mean(axis=1)
-    out, step = np.empty(size), max(1, 4_000_000 // n_total)
-    for s in range(0, size, step):
-        m = min(step, size - s)
-        ranks = np.sort(np.argpartition(rng.random((m, n_total)), min(n_pos, n_total - 1), axis=1)[:, :n_pos], axis=1)
-        out[s : s + m] = (order / (ranks + 1)).mean(axis=1)
-    return out
+        return (np.arange(1, n_pos + 1) / (ranks + 1)).mean(axis=1)
+    one = lambda x: np.array([x & 0xFFFFFFFF], dtype=np.uint32)
+    key = _mix(_mix(_mix(one(seed ^ n_pos)) ^ one(n_total)) ^ np.arange(size, dtype=np.uint32))
+    at = _mix(np.arange(1, n_total + 1, dtype=np.uint32))
+    seen, total = np.zeros(size, dtype=np.int64), np.zeros(size)
+    for t in range(n_total):
+        hit = _mix(key ^ at[t]).astype(np.int64) * (n_total - t) < (n_pos - seen) << 32
+        seen += hit
+        total += np.where(hit, seen / (t + 1), 0.0)
+    return total / n_pos
 
 
 def null_distributions(configs: DataFrame, null_size: int = NULL_SIZE, seed: int = SEED) -> DataFrame:
-    """``n_pos, n_neg, nulls`` for distinct list shapes; the stream depends on seed and shape only."""
+    """``n_pos, n_neg, nulls`` for distinct list shapes; the numbers depend on seed and shape only."""
 
     def draw(batches):
         for pdf in batches:
             yield pd.DataFrame({
                 "n_pos": pdf["n_pos"], "n_neg": pdf["n_neg"],
-                "nulls": [
-                    _null_draws(int(p), int(p + n), null_size, np.random.default_rng([seed, int(p), int(n)]))
-                    for p, n in zip(pdf["n_pos"], pdf["n_neg"])
-                ],
+                "nulls": [_null_draws(int(p), int(p + n), null_size, seed) for p, n in zip(pdf["n_pos"], pdf["n_neg"])],
             })
 
     shapes = configs.select("n_pos", "n_neg").distinct()
@@ -226,7 +242,8 @@ def significance(ap: DataFrame, perturbation: str, null_size: int = NULL_SIZE, s
         vector_to_array(Summarizer.mean(array_to_vector("nulls"), F.col("w").cast("double"))).alias("nulls")
     )
     maps = map_per_perturbation(ap, perturbation).join(null_map, perturbation)
-    above = F.size(F.filter("nulls", lambda x: x > F.col("mean_ap")))
+    # compared at 12 digits, so that a null equal to the mAP does not beat it by the order of its sum
+    above = F.size(F.filter("nulls", lambda x: F.round(x, 12) > F.round(F.col("mean_ap"), 12)))
     p = maps.withColumn("p_value", (above + 1) / F.lit(null_size + 1)).drop("nulls")
     return bh_adjust(p, "p_value").withColumns({
         "below_p": F.col("p_value") < threshold, "below_corrected_p": F.col("corrected_p_value") < threshold,

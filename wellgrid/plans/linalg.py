@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DIM = 4096
+DIRECT = 1 << 20
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], vec: str, out: str = "mean", count: str | None = None) -> DataFrame:
@@ -40,9 +41,9 @@ def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
 def table_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pd.DataFrame], np.ndarray], length: int) -> np.ndarray:
     """Sum over all rows of ``fn(batch) -> 1-d array`` of fixed length.
 
-    Each task adds up its batches and emits one array; arrays are summed in two levels in the
-    JVM. Tasks are merged down to twice the core count first, so the number of partial arrays
-    follows the cluster, not the data.
+    Each task adds up its batches and emits one array. Tasks are merged down to twice the core count
+    first, so the number of partial arrays follows the cluster, not the data. Arrays of at most
+    ``DIRECT`` numbers in all are added on the driver, larger ones in two levels in the JVM.
     """
 
     def partial(batches):
@@ -54,7 +55,14 @@ def table_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pd.DataFrame],
         if total is not None:
             yield pd.DataFrame({"v": [total]})
 
+    def packed(batches):
+        for out in partial(batches):
+            yield pd.DataFrame({"v": [v.tobytes() for v in out["v"]]})
+
     tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if tasks * length <= DIRECT:
+        some = df.select(*cols).coalesce(tasks).mapInPandas(packed, "v binary").collect()  # at most one array a task
+        return sum((np.frombuffer(bytes(r.v)) for r in some), np.zeros(length))
     parts = df.select(*cols).coalesce(tasks).mapInPandas(partial, "v array<double>")
     spread = max(1, math.isqrt(tasks))
     mid = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(spread)).alias("g")).agg(Summarizer.sum(array_to_vector("v")).alias("v"))
