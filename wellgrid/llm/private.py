@@ -105,8 +105,7 @@ def candidates(text: Column, kind: str) -> Column:
     """Array of candidates with votes and shape; its base spans are those whose form vote is 1."""
 
     def describe(x: Column) -> Column:
-        left = F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
-        right = F.substring(text, x["e"] + 1, F.lit(1))
+        left, right = x["left"], x["right"]
         inside = F.regexp_like(left, F.lit(r"[\p{L}\p{N}_]$")) | F.regexp_like(right, F.lit(r"^[\p{L}\p{N}_]"))
         context = F.when(inside | F.regexp_like(left, F.lit(COUNTER_CUES)), -1).when(F.regexp_like(left, F.lit(CUES)), 1).otherwise(0)
         shape = F.regexp_like(left, F.lit(r"(^|\s)$")).cast("int") + 2 * F.regexp_like(right, F.lit(r"^(\s|$)")).cast("int") + 4 * F.regexp_like(x["m"], F.lit(r"[\x20()\x22'-]")).cast("int")
@@ -115,7 +114,7 @@ def candidates(text: Column, kind: str) -> Column:
             gazetteer(kind, x["m"]).alias("known"), context.alias("context"), shape.alias("shape"),
         )
 
-    found = F.filter(match_spans(text, PATTERNS[kind]), lambda x: _worth_a_look(kind, x["m"]))
+    found = F.filter(match_spans(text, PATTERNS[kind], 24, 1), lambda x: _worth_a_look(kind, x["m"]))
     none = F.array().cast("array<struct<kind:string,s:int,e:int,form:int,known:int,context:int,shape:int>>")
     if kind in NEEDS:
         found = F.when(F.contains(text, F.lit(NEEDS[kind])), found)
