@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from wellgrid.llm import private as P
+from wellgrid.llm import spans
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -82,3 +84,25 @@ def test_long_secrets_are_whole(spark):
     text = "token=" + "a1" * 150 + " end"
     row = spark.createDataFrame([(text,)], "text string").select(P.candidates(F.col("text"), "secret").alias("c")).first()
     assert [(x.s, x.e) for x in row.c] == [(0, 306)]
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions and context stay right over part borders, for counts around squares, marks of four bytes and matches side by side."""
+    for n in (1, 2, 3, 8, 9, 10, 400):
+        text = "".join(f"\U0001F600 {'mail: ' if i % 3 else ''}u{i}@x{i}.org" + ("," if i % 2 else "\n") for i in range(n)) + "end"
+        df = spark.createDataFrame([(text,)], "text string")
+        got = df.select(spans.match_spans(F.col("text"), P.PATTERNS["email"], 24, 1).alias("x")).first().x
+        want = [(m.start(), m.end(), m.group(), text[max(m.start() - 24, 0) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        assert [tuple(r) for r in got] == want and len(want) == n
+
+
+def test_time_follows_the_number_of_matches(spark):
+    def seconds(n):
+        text = ", ".join(f"+49 170 {10_000_000 + i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        assert P.find_private(df).select(F.size("base")).first()[0] == n
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(32_000) < 4 * max(seconds(16_000), 2.0)
