@@ -155,14 +155,42 @@ def blob_resize(spark, d):
     return B.resize(img, (1, 8, 8), (16, 16), blob="pixels").select("fov", F.hex("pixels").alias("pixels"))
 
 
+NEAREST = "g.x = CAST(floor(x.x * 0.5 + 0.5) AS BIGINT) AND g.y = CAST(floor(y.y * 0.5 + 0.5) AS BIGINT)"
+TARGET = "range(7) y(y), range(15) x(x)"
+
+
+@query(f"""WITH {SPLIT}, near AS (SELECT g.fov, g.ch, y.y, x.x, g.u FROM {TARGET}, cell g WHERE {NEAREST})
+SELECT fov, {HEX.format(v='u', o='ch, y, x')} AS cell FROM near GROUP BY fov""")
+def blob_resize_nearest(spark, d):
+    return B.resize(_pair(spark, d), SHAPE, (7, 15), nearest=True).select("fov", F.hex("cell").alias("cell"))
+
+
+@query(f"""WITH {SPLIT}, near AS (SELECT g.fov, g.ch, y.y, x.x, g.u FROM {TARGET}, cell g WHERE g.ch = 1 AND {NEAREST}),
+four AS (SELECT g.fov, g.ch, y.y, x.x, g.u * (1 - abs(y.y * 0.5 - g.y)) * (1 - abs(x.x * 0.5 - g.x)) AS z FROM {TARGET}, cell g WHERE g.ch = 0 AND abs(y.y * 0.5 - g.y) < 1 AND abs(x.x * 0.5 - g.x) < 1),
+mixed AS (SELECT * FROM near UNION ALL SELECT fov, ch, y, x, CAST(floor(sum(z) + 1e-9) AS BIGINT) FROM four GROUP BY ALL)
+SELECT fov, {HEX.format(v='u', o='ch, y, x')} AS cell FROM mixed GROUP BY fov""")
+def blob_resize_mixed(spark, d):
+    """An image channel bilinear and a mask channel nearest in one stack."""
+    return B.resize(_pair(spark, d), SHAPE, (7, 15), nearest=[1]).select("fov", F.hex("cell").alias("cell"))
+
+
+@query("SELECT vec_id AS fov, 'w' AS well FROM embeddings")
+def columns_without_blobs(spark, d):
+    pair = _pair(spark, d).drop("n_cells_scaled")
+    return pair.select(*checks.non_binary_columns(pair))
+
+
 @query("""SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(512 AS BIGINT) AS expected FROM documents WHERE octet_length(encode(text)) <> 512""")
 def blob_size_violations(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("blob"))
     return checks.blob_size_violations(docs, "blob", (2, 16, 16), "doc_id")
 
 
-@query(f"""WITH {SPLIT}, m AS (SELECT fov, ch, avg(u) / 255.0 AS m FROM cell GROUP BY ALL), n AS (SELECT fov, sqrt(sum(m * m)) AS n FROM m GROUP BY fov)
-SELECT fov, ch AS pos, round(m / n, 4) AS value FROM m JOIN n USING (fov)""")
+CHANNEL_MEANS = f"""WITH {SPLIT}, m AS (SELECT fov, ch, avg(u) / 255.0 AS m FROM cell GROUP BY ALL), n AS (SELECT fov, sqrt(sum(m * m)) AS n FROM m GROUP BY fov)
+SELECT fov, ch AS pos, round(m / n, 4) AS value FROM m JOIN n USING (fov)"""
+
+
+@query(CHANNEL_MEANS)
 def batch_inference(spark, d):
     e = B.embed(_pair(spark, d), SHAPE, "channel_mean").select("fov", F.posexplode("embedding").alias("pos", "value"))
     return e.select("fov", F.col("pos").cast("bigint").alias("pos"), r6(F.col("value").cast("double"), 4).alias("value"))
@@ -187,3 +215,18 @@ def ingest_once(spark, d):
     for _ in range(2):
         ingest.ingest_once(ingest.file_stream(spark, d, schema, "events.parquet"), out, state, ["event_id"])
     return spark.read.parquet(out).select("event_id", "event_type", "user_id")
+
+
+@query(CHANNEL_MEANS)
+def stream_inference(spark, d):
+    """Images land as files and are embedded one micro-batch per file; a second start finds nothing to do."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/inference-{uuid.uuid4().hex}"
+    landed = _pair(spark, d).select("fov", "cell")
+    landed.repartition(4, "fov").write.parquet(f"{base}/in")
+    embed = lambda batch: B.embed(batch, SHAPE, "channel_mean").drop("cell")
+    for _ in range(2):
+        stream = ingest.file_stream(spark, f"{base}/in", landed.schema, files_per_batch=1)
+        ingest.ingest_once(stream, f"{base}/out", f"{base}/state", ["fov"], embed)
+    e = spark.read.parquet(f"{base}/out").select("fov", F.posexplode("embedding").alias("pos", "value"))
+    return e.select("fov", F.col("pos").cast("bigint").alias("pos"), r6(F.col("value").cast("double"), 4).alias("value"))

@@ -183,9 +183,13 @@ def variant_mismatches(a: DataFrame, b: DataFrame, key: str, compare: Sequence[s
     )
 
 
-def resize(df: DataFrame, shape: Sequence[int], to: tuple[int, int], blob: str = "cell", nearest: bool = False) -> DataFrame:
-    """Align-corners resize of (C,H,W) uint8: bilinear for images, nearest for masks."""
+def resize(df: DataFrame, shape: Sequence[int], to: tuple[int, int], blob: str = "cell", nearest: bool | Sequence[int] = False) -> DataFrame:
+    """Align-corners resize of (C,H,W) uint8: bilinear for images, nearest for masks.
+
+    ``nearest`` says so for all channels, or lists the mask channels of a stack that also holds images.
+    """
     c, h, w = shape
+    masks = list(range(c)) if nearest is True else sorted(nearest or ())
     if (h, w) == tuple(to):
         return df
     ys = np.linspace(0, h - 1, to[0])
@@ -193,16 +197,17 @@ def resize(df: DataFrame, shape: Sequence[int], to: tuple[int, int], blob: str =
 
     def run(x: pd.Series) -> pd.Series:
         img = _decode(x, shape, blob)
-        if nearest:
-            yi, xi = np.floor(ys + 0.5).astype(int), np.floor(xs + 0.5).astype(int)
+        yi, xi = np.floor(ys + 0.5).astype(int), np.floor(xs + 0.5).astype(int)
+        if len(masks) == c:
             return _encode(np.ascontiguousarray(img[:, :, yi][:, :, :, xi]))
         y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
         y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
         fy, fx = (ys - y0)[:, None], xs - x0
         f = img.astype(np.float64)
         rows = f[:, :, y0] * (1 - fy) + f[:, :, y1] * fy
-        out = rows[..., x0] * (1 - fx) + rows[..., x1] * fx
-        return _encode(np.clip(out + 1e-9, 0, 255).astype(np.uint8))
+        out = np.clip(rows[..., x0] * (1 - fx) + rows[..., x1] * fx + 1e-9, 0, 255).astype(np.uint8)
+        out[:, masks] = img[:, masks][:, :, yi][:, :, :, xi]
+        return _encode(out)
 
     return df.withColumn(blob, F.pandas_udf(run, "binary")(blob))
 
