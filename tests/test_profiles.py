@@ -450,6 +450,31 @@ def test_silhouette_brute_force(blobs, lane_rows):
     assert got == pytest.approx((np.mean(s) + 1) / 2)
 
 
+def test_silhouette_many_labels(spark):
+    """Labels of every size, cut and whole: equal to plain distances, and one row per query and lane besides cut labels."""
+    r = np.random.default_rng(77)
+    n = 260
+    lab = np.where(np.arange(n) < 90, 0, np.where(np.arange(n) < 100, 1, 2 + np.arange(n) // 2))
+    x = r.standard_normal((n, 5))
+    df = vectors(spark, x, lab=[f"l{v}" for v in lab])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    near, rest = [], []
+    for i in range(n):
+        same = (lab == lab[i]) & (np.arange(n) != i)
+        if not same.any():
+            near.append(0.0)
+            rest.append(0.0)
+            continue
+        a = d[i, same].mean()
+        for out, b in ((near, min(d[i, lab == k].mean() for k in set(lab) - {lab[i]})), (rest, d[i, lab != lab[i]].mean())):
+            out.append((b - a) / max(a, b))
+    ids = [row.id for row in df.select("id").collect()]
+    for between, want in (("nearest", near), ("mean_other", rest)):
+        for lane_rows in (None, 40):
+            got = {row.id: row.s for row in integration.silhouette_samples(df, "id", "vec", "lab", 5, between=between, lane_rows=lane_rows).collect()}
+            assert [got[i] for i in ids] == pytest.approx(want, abs=1e-9)
+
+
 def lisi_by_hand(x, code, k):
     """Median inverse Simpson index over the k nearest rows (the row itself left out), one row after another."""
     out = []

@@ -53,6 +53,11 @@ def chunks(n_rows: int, n_cols: int):
         yield start, min(n_rows, start + step)
 
 
+def default_lane_rows(dim: int) -> int:
+    """Rows of a lane of ``LANE_BYTES``."""
+    return max(MIN_LANE_ROWS, LANE_BYTES // (8 * max(1, dim)))
+
+
 def grid(
     queries: DataFrame,
     gallery: DataFrame,
@@ -73,7 +78,7 @@ def grid(
     empty table when its gallery lane has no rows.
     """
     keys = list(keys)
-    rows = lane_rows or max(MIN_LANE_ROWS, LANE_BYTES // (8 * max(1, dim)))
+    rows = lane_rows or default_lane_rows(dim)
     n_parts = shuffle_partitions(queries)
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     lanes_for = lambda n: F.greatest(F.ceil(F.col(n) / rows), F.lit(1)).cast("int")
