@@ -237,6 +237,40 @@ def test_incremental_ingest(spark, tmp_path, crops):
     assert got.count() == got.select("row_key").distinct().count() == 20 and len(got.first().embedding) == 4
 
 
+def test_ingest_refuses(spark, tmp_path, crops):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    crops.limit(4).write.parquet(src)
+    stream = lambda: ingest.file_stream(spark, src, crops.schema)
+    keys = lambda b: b.select("row_key", "well")
+    ingest.ingest_once(stream(), out, state, ["row_key"], keys)
+    with pytest.raises(ValueError, match="schema changed"):
+        ingest.ingest_once(stream(), out, state, ["row_key"], lambda b: keys(b).withColumn("well", F.lit(1)))
+    with pytest.raises(ValueError, match="does not know"):
+        ingest.ingest_once(stream(), out, str(tmp_path / "other"), ["row_key"], keys)
+    assert spark.read.parquet(out).count() == 4 and spark.conf.get(ingest.PROVIDER) != ingest.ROCKS
+
+
+def test_ingest_after_failure(spark, tmp_path):
+    """A batch that stops half-way is run again; its keys and those of a later copy are stored once."""
+    src, out, state, mark = (str(tmp_path / n) for n in ("in", "out", "state", "mended"))
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 20).coalesce(1).write.mode("append").parquet(src)
+
+    def careful(batches):
+        for b in batches:
+            if not os.path.exists(mark) and (b["id"] >= 30).any():
+                raise RuntimeError("lost")
+            yield b
+
+    run = lambda: ingest.ingest_once(ingest.file_stream(spark, src, spark.range(1).schema, files_per_batch=1), out, state, ["id"], lambda b: b.mapInPandas(careful, "id long"))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    open(mark, "w").close()
+    run()
+    run()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
 def test_crop_schema_order():
     assert schemas.CROP.names[0] == "row_key" and schemas.CROP.names[-2:] == ["mask", "cell"] and len(schemas.CROP.names) == 19
     assert schemas.PUBLISHED_CROP.names[-1] == "Metadata_Perturbation"

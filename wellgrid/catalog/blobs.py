@@ -217,6 +217,19 @@ def ingest_once(spark, d):
     return spark.read.parquet(out).select("event_id", "event_type", "user_id")
 
 
+@query("SELECT event_id, event_type, user_id FROM events")
+def ingest_replayed(spark, d):
+    """Files that repeat stored events, once in a run of their own and once beside each other, add nothing."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/replayed-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    for landed in (events.where("value < 50"), events, events):
+        landed.write.mode("append").parquet(f"{base}/in")
+        stream = ingest.file_stream(spark, f"{base}/in", events.schema, files_per_batch=2)
+        ingest.ingest_once(stream, f"{base}/out", f"{base}/state", ["event_id"])
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type", "user_id")
+
+
 @query(CHANNEL_MEANS)
 def stream_inference(spark, d):
     """Images land as files and are embedded one micro-batch per file; a second start finds nothing to do."""
