@@ -213,6 +213,19 @@ def test_partitioned_resharded_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).columns == df.columns
 
 
+def test_resharded_files_by_number(spark, tmp_path):
+    """Every file has its own rows, however coarsely ranges are sampled."""
+    conf = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    spark.conf.set(conf, "1")
+    try:
+        writers.resharded(spark.range(0, 4000, 1, 16), str(tmp_path / "files"), ["id"], rows_per_file=20)
+    finally:
+        spark.conf.unset(conf)
+    names = F.col("_metadata.file_name").alias("file")
+    files = spark.read.parquet(str(tmp_path / "files")).select("id", names).groupBy("file").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("id").alias("n")).collect()
+    assert sorted((r.a, r.z, r.n) for r in files) == [(i, i + 19, 20) for i in range(0, 4000, 20)]
+
+
 def test_append_is_resumable(spark, tmp_path):
     out = str(tmp_path / "out")
     a = spark.createDataFrame([("k1", "7", 1), ("k2", "8", 2), ("k2", "8", 2)], "row_key string, plate string, v int")

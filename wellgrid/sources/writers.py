@@ -47,7 +47,8 @@ def resharded(df: DataFrame, path: str, order: Sequence[str], rows_per_file: int
     """Contiguous equal files of about ``rows_per_file`` rows in the given order; at most ``max_files`` if given."""
     plan = file_plan(df, order, rows_per_file, max_files)
     n = (plan.agg(F.max("file")).first()[0] or 0) + 1  # an empty table is one empty file
-    plan.repartitionByRange(n, "file").sortWithinPartitions("file", *order).drop("file").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # a partition is a file by its number; ranges by sampled bounds may put two files into one
+    plan.repartitionById(n, F.col("file").cast("int")).sortWithinPartitions("file", *order).drop("file").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def metric_csv(df: DataFrame, path: str) -> None:
