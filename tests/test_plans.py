@@ -91,3 +91,23 @@ def test_well_medians_of_small_and_large_wells(spark, monkeypatch, limit):
     df = spark.createDataFrame([(str(i % 7), v.tolist()) for i, v in enumerate(x)], "k string, vec array<double>")
     got = {r.k: list(r.vec) for r in pooling.well_median(df, ["k"], "vec").collect()}
     assert all(got[str(k)] == pytest.approx(np.median(x[k::7], axis=0), abs=1e-12) for k in range(7))
+
+
+def test_salted_side_counts_its_repeats(spark):
+    """A side whose repeats pass the broadcast threshold is not broadcast, though one copy of it would be."""
+    from wellgrid.plans.joins import salted_join
+
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    side = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    fact = spark.range(4000).select((F.col("id") % 1500).alias("k"), "id")
+    try:
+        spark.conf.set(conf, "40000")  # one copy is estimated at 12,000 to 24,000 bytes
+        out = salted_join(fact, side, ["k"], "left")
+        plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert out.count() == 4000 and out.where("v = 2 * k").count() == out.where("k < 1000").count()
+    finally:
+        spark.conf.set(conf, before)
+    for salts in (1, 3, 16):
+        assert salted_join(fact, side, ["k"], salts=salts).count() == fact.where("k < 1000").count()

@@ -23,12 +23,15 @@ def salted_join(
 
     ``side`` has one row per key (an aggregate, a lookup), so repeating it ``salts`` times is
     cheap, while each hot key of ``fact`` is spread over ``salts`` shuffle partitions. If the
-    runtime size of ``side`` is under the broadcast threshold Spark broadcasts it instead. With
+    size of ``side`` with its repeats is under the broadcast threshold Spark broadcasts it instead. With
     ``null_safe`` a null key meets a null key.
     """
     spread = list(spread_by or [c for c in fact.columns if c not in keys] or keys)
     left = fact.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = side.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    # a cross join, as Spark's size estimate counts its repeats, but not those of an explode: it would broadcast them all
+    pairs = F.explode(F.array(*[F.col("id").cast("int") + F.lit(i) for i in range(0, salts, 2)])).alias("__salt")
+    repeats = side.sparkSession.range(2).select(pairs).where(F.col("__salt") < salts)
+    right = side.crossJoin(F.broadcast(repeats))
     if null_safe:
         same = lambda d: d.withColumn("__key", F.struct(*[F.col(k) for k in keys]))
         return same(left).join(same(right).drop(*keys), ["__key", "__salt"], how).drop("__key", "__salt")
