@@ -111,3 +111,28 @@ def test_salted_side_counts_its_repeats(spark):
         spark.conf.set(conf, before)
     for salts in (1, 3, 16):
         assert salted_join(fact, side, ["k"], salts=salts).count() == fact.where("k < 1000").count()
+
+
+def test_neighbours_do_not_copy_vectors(spark, monkeypatch):
+    """What a cell holds for its neighbours is a small part of one vector for each of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wellgrid.plans import blocks
+
+    cell = []
+    monkeypatch.setattr(blocks, "grid", lambda q, g, keys, q_id, g_id, dim, fn, *rest: cell.append(fn) or spark.createDataFrame([], "q_id long, g_id long, sim double, q_lab string, g_lab string"))
+    rows, dim, k = 1000, 64, 200
+    df = spark.createDataFrame([], "id long, unit array<double>, lab string")
+    blocks.topk(df, df, k, dim, carry=["lab"])
+    vec = pa.FixedSizeListArray.from_arrays(pa.array(np.random.default_rng(1).random(rows * dim)), dim).cast(pa.list_(pa.float64()))
+    lane = pa.table({"id": pa.array(range(rows)), "lab": pa.array(["a"] * rows), "vec": vec})
+    plain = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(plain)
+    pa.set_memory_pool(pool)
+    try:
+        found = cell[0](lane, lane).num_rows  # the table goes before its pool does
+    finally:
+        pa.set_memory_pool(plain)
+    assert found == rows * k
+    assert pool.max_memory() < rows * k * dim * 8 / 3
