@@ -223,6 +223,29 @@ def test_average_precision_brute_force(spark, monkeypatch, negatives, lane_rows,
     assert all(got[q] == pytest.approx(want[q]) for q in want if want[q] is not None)
 
 
+@pytest.mark.parametrize("negatives", ["ref_index", "controls"])
+@pytest.mark.parametrize("lists,way", [(100, "cells"), (1, "both"), (0, "lists")])
+def test_average_precision_in_cells_and_lists(spark, monkeypatch, negatives, lists, way):
+    """Many queries of a plate and perturbation leave no lists of similarities; all ways give the same numbers."""
+    n = 60
+    x = RNG.standard_normal((n, 4))
+    x[40:44] = x[:4]
+    pert = [("a" if i % 3 else "b") if i < 48 else "ctl" if i % 2 else f"g{i % 4}" for i in range(n)]
+    plate = [f"p{i % 3 if i < 48 else i % 2}" for i in range(n)]
+    ctrl = [p == "ctl" for p in pert]
+    df = vectors(spark, x, pert=pert, plate=plate, ctrl=ctrl).withColumn("batch", F.lit("b"))
+    used = []
+    for f in ("_in_cells", "_by_lists"):
+        real = getattr(replicate, f)
+        monkeypatch.setattr(replicate, f, lambda *a, real=real, f=f: used.append(f) or real(*a))
+    monkeypatch.setattr(replicate, "LISTS", lists)
+    got = replicate.average_precision(df, "id", "vec", "pert", ["batch", "plate"], F.col("ctrl"), 4, negatives=negatives).collect()
+    want = brute_ap(x, pert, plate, ctrl, negatives)
+    assert used == {"cells": ["_in_cells"], "both": ["_in_cells", "_by_lists"], "lists": ["_by_lists"]}[way]
+    assert {r.id for r in got} == set(want) and all(r.ap == pytest.approx(want[r.id]) for r in got if want[r.id] is not None)
+    assert all(r.ap is None for r in got if want[r.id] is None)
+
+
 def test_diff_mode(spark):
     df = vectors(spark, RNG.standard_normal((4, 3)), pert=["a"] * 4, batch=["1", "1", "2", "2"], plate=["x", "y", "x", "y"])
     n = lambda mode: {r.n_pos for r in replicate.average_precision(df, "id", "vec", "pert", ["batch", "plate"], F.lit(False), 3, diff_mode=mode).collect()}

@@ -10,7 +10,9 @@ AP = (1/1 + 2/3) / 2 = 5/6.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
-from ..plans.blocks import _arrow_schema, chunks, grid, matrix, similarity, values
-from ..plans.durable import checkpoint
+from ..plans.blocks import _arrow_schema, chunks, default_lane_rows, grid, matrix, similarity, values
+from ..plans.durable import checkpoint, materialise
 from ..plans.joins import salted_join
 from ..plans.ranking import pieces
 from ..plans.sizing import shuffle_partitions
@@ -33,6 +35,8 @@ NULL_SIZE = 10_000  # fixed values
 SEED = 42
 THRESHOLD = 0.05
 BAND_ROWS = 50_000  # similarities of one query held in one row
+LISTS = 4  # times that the similarities of a query are shuffled when they are written as lists
+LANES = 4  # gallery lanes that one cell may hold of a perturbation and of a plate
 
 
 def _codes(*columns: np.ndarray) -> np.ndarray:
@@ -71,23 +75,99 @@ def average_precision(
     ``diff_mode`` says whether 'any' or 'all' plate columns must differ for a positive.
     ``negatives``: 'ref_index' takes every other well of the plate, 'controls' only controls.
 
-    No pair becomes a row. Positives of a query are similarity arrays, cut into bands of the
-    similarity range when a perturbation is large; per plate, matrix products count the
-    negatives above each positive; AP follows from the counts.
+    No pair becomes a row. The queries of one plate and perturbation have the same positives and
+    negatives. Where they are many, all of these meet in one cell that returns a number per query (``_in_cells``).
+    Elsewhere, and where a perturbation or plate is too large for a cell, positives of a query are
+    similarity arrays, cut into bands of the similarity range when a perturbation is large; per plate, matrix products
+    count the negatives above each positive; AP follows from the counts (``_by_lists``).
     """
     if diff_mode not in ("any", "all") or negatives not in ("ref_index", "controls"):
         raise ValueError("diff_mode: any|all, negatives: ref_index|controls")
     plate = list(plate)
+    rows = lane_rows or default_lane_rows(dim)
     wells = l2_normalize(df, vec).select(
         F.col(id_col).alias("id"), F.col(perturbation).alias("pert"), *plate,
         F.coalesce(is_control, F.lit(False)).alias("ctrl"), F.col("unit").alias("vec"),
     )
     treated = wells.where(~F.col("ctrl"))
     id_type = df.schema[id_col].dataType
-
-    # positives: the query's similarity to every replicate on another plate
+    rival = F.col("ctrl") if negatives == "controls" else F.lit(True)
     replicates = treated.where(F.col("pert").isNotNull())
     n_reps = replicates.groupBy("pert").agg(F.count(F.lit(1)).alias("nq")).withColumn("ng", F.col("nq"))
+    on_plate = wells.groupBy(*plate).agg(F.count_if(~F.col("ctrl")).alias("nq"), F.count_if(rival).alias("ng"))
+
+    # a cell gets a vector of each positive, a list a number of each query and positive
+    groups = replicates.groupBy(*plate, "pert").agg(F.count(F.lit(1)).alias("__c"))
+    groups = groups.join(n_reps.select("pert", F.col("ng").alias("__pos")), "pert").join(on_plate.select(*plate, F.col("ng").alias("__neg")), plate)
+    cell = (F.col("__c") * LISTS >= dim) & (F.greatest("__pos", "__neg") <= LANES * rows)
+    lanes = F.ceil(F.sum("__pos").over(Window.partitionBy(*plate)) / rows)
+    groups = materialise(groups.where(cell).withColumn("__lane", F.pmod(F.xxhash64("pert"), lanes).cast("int")).select(*plate, "pert", "__lane"))
+    if groups.isEmpty():
+        per_query = _by_lists(wells, treated, replicates, replicates, rival, n_reps, on_plate, plate, id_type, dim, diff_mode, lane_rows)
+    else:
+        asked = salted_join(treated, groups, [*plate, "pert"], "left", spread_by=["id"], null_safe=True)
+        rest = asked.where(F.col("__lane").isNull()).drop("__lane")
+        held = asked.where(F.col("__lane").isNotNull())
+        per_query = _in_cells(wells.where(rival), held, replicates, groups, plate, id_type, diff_mode)
+        others = rest.where(F.col("pert").isNotNull())
+        if not others.isEmpty():
+            per_query = per_query.unionByName(_by_lists(wells, rest, others, replicates, rival, n_reps, on_plate, plate, id_type, dim, diff_mode, lane_rows))
+    return treated.select("id", "pert").join(per_query, "id", "left").select(
+        F.col("id").alias(id_col), F.col("pert").alias(perturbation), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), "n_neg", "ap"
+    )
+
+
+def _in_cells(rivals: DataFrame, held: DataFrame, replicates: DataFrame, groups: DataFrame, plate: list[str], id_type: T.DataType, diff_mode: str) -> DataFrame:
+    """``id, n_pos, n_neg, ap`` of the ``held`` queries that have positives.
+
+    A cell is a plate's lane of perturbations: its queries, their replicates on other plates, and the plate's negatives.
+    What is shuffled grows with queries and positives, not with their pairs, and one row per query comes out.
+    """
+    far = [~F.col(f"__at_{c}").eqNullSafe(F.col(c)) for c in plate]
+    apart = reduce(operator.or_ if diff_mode == "any" else operator.and_, far)
+    elsewhere = replicates.withColumnsRenamed({c: f"__at_{c}" for c in plate})
+    row = lambda role: [*plate, "__lane", F.lit(role).alias("__role"), "id", "pert", "vec"]
+    lanes = groups.select(*plate, "__lane").distinct()
+    parts = [
+        held.select(*row(0)),
+        elsewhere.join(groups, "pert").where(apart).select(*row(1)),
+        rivals.join(lanes, plate).select(*row(2)),
+    ]
+    kind = T.StructType([T.StructField("id", id_type), T.StructField("n_pos", T.LongType()), T.StructField("n_neg", T.LongType()), T.StructField("ap", T.DoubleType())])
+    schema = _arrow_schema(kind)
+
+    def score(t: pa.Table) -> pa.Table:
+        role, vecs = values(t, "__role"), matrix(t)
+        ids, perts = _codes(values(t, "id")), _codes(values(t, "pert"))
+        neg = np.flatnonzero(role == 2)
+        gm = vecs[neg]
+        took, n_pos, n_neg, ap = [], [], [], []
+        for pert in np.unique(perts[role == 0]):
+            asked, pos = np.flatnonzero((role == 0) & (perts == pert)), np.flatnonzero((role == 1) & (perts == pert))
+            pm = vecs[pos]
+            for s, e in chunks(len(asked), len(pos) + len(neg)):
+                near, far = similarity(vecs[asked[s:e]], pm, "cosine"), similarity(vecs[asked[s:e]], gm, "cosine")
+                for i, q in enumerate(asked[s:e]):
+                    up = np.sort(near[i][ids[pos] != ids[q]])[::-1]
+                    if not len(up):
+                        continue
+                    down = np.sort(far[i][ids[neg] != ids[q]])
+                    place = np.arange(1, len(up) + 1)
+                    took.append(q)
+                    n_pos.append(len(up))
+                    n_neg.append(len(down))
+                    ap.append((place / (place + len(down) - np.searchsorted(down, up, side="right"))).mean())
+        names = t.column("id").take(pa.array(took, pa.int64())).combine_chunks()
+        return pa.Table.from_arrays([names, pa.array(n_pos, pa.int64()), pa.array(n_neg, pa.int64()), pa.array(ap, pa.float64())], names=schema.names).cast(schema)
+
+    every = reduce(DataFrame.unionByName, parts)
+    # few cells with much work each: an explicit number keeps them apart
+    return every.repartition(shuffle_partitions(every), *plate, "__lane").groupBy(*plate, "__lane").applyInArrow(score, kind)
+
+
+def _by_lists(wells: DataFrame, treated: DataFrame, queries: DataFrame, replicates: DataFrame, rival: Column, n_reps: DataFrame, on_plate: DataFrame, plate: list[str], id_type: T.DataType, dim: int, diff_mode: str, lane_rows: int | None) -> DataFrame:
+    """``id, n_pos, n_neg, ap`` of the ``queries`` that have positives, which are written as lists of similarities."""
+    # positives: the query's similarity to every replicate on another plate
     pos_type = T.StructType([
         T.StructField("id", id_type), T.StructField("band", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType())),
     ])
@@ -116,7 +196,7 @@ def average_precision(
             parts.append(pa.Table.from_arrays([ids.combine_chunks(), pa.array(used % bands), lists], names=pos_schema.names).cast(pos_schema))
         return pa.concat_tables(parts)
 
-    cells = grid(replicates, replicates, ["pert"], "id", "id", dim, positives, pos_type, lane_rows, sizes=n_reps)
+    cells = grid(queries, replicates, ["pert"], "id", "id", dim, positives, pos_type, lane_rows, sizes=n_reps)
     per_band = cells.groupBy("id", "band").agg(F.sort_array(F.flatten(F.collect_list("s")), asc=False).alias("s"))
     ahead = Window.partitionBy("id").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("id")
@@ -127,8 +207,6 @@ def average_precision(
 
     # negatives: how many wells of the plate beat each positive
     asked = ranked.join(treated.select("id", *plate, "vec"), "id")
-    rival = F.col("ctrl") if negatives == "controls" else F.lit(True)
-    on_plate = wells.groupBy(*plate).agg(F.count_if(~F.col("ctrl")).alias("nq"), F.count_if(rival).alias("ng"))
     neg_type = T.StructType([
         T.StructField("id", id_type), T.StructField("band", T.IntegerType()), T.StructField("offset", T.LongType()),
         T.StructField("n_pos", T.LongType()), T.StructField("beats", T.ArrayType(T.DoubleType())), T.StructField("n_neg", T.LongType()),
@@ -164,12 +242,9 @@ def average_precision(
         vector_to_array(Summarizer.sum(array_to_vector("beats"))).alias("beats"), F.sum("n_neg").alias("n_neg")
     )
     place = F.transform("beats", lambda b, i: (F.col("offset") + i + 1) / (F.col("offset") + i + 1 + b))
-    per_query = above.withColumn("part", F.aggregate(place, F.lit(0.0), lambda a, x: a + x)).groupBy("id", "n_pos").agg(
+    return above.withColumn("part", F.aggregate(place, F.lit(0.0), lambda a, x: a + x)).groupBy("id", "n_pos").agg(
         F.max("n_neg").alias("n_neg"), (F.sum("part") / F.col("n_pos")).alias("ap")
     )
-    return treated.select("id", "pert").join(per_query, "id", "left").select(
-        F.col("id").alias(id_col), F.col("pert").alias(perturbation), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), "n_neg", "ap"
-    )
 
 
 def map_per_perturbation(ap: DataFrame, perturbation: str) -> DataFrame:
