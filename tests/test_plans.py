@@ -136,3 +136,20 @@ def test_neighbours_do_not_copy_vectors(spark, monkeypatch):
         pa.set_memory_pool(plain)
     assert found == rows * k
     assert pool.max_memory() < rows * k * dim * 8 / 3
+
+
+def test_means_of_short_vectors_shuffle_numbers(spark):
+    """No summarizer state per cell; the same means, and another length fails."""
+    from wellgrid.operators import pooling
+
+    rows = [(f"w{i % 7}", i, [float(i), i / 3, -1.0 * i], None if i % 5 else f"m{i}") for i in range(200)] + [("none", 300, None, "m")]
+    df = spark.createDataFrame(rows, "well string, row_key long, vec array<double>, meta string")
+    mean = lambda **kw: pooling.well_mean(df, ["well"], "vec", ["meta"], order=["row_key"], **kw)
+    want = {r.well: r for r in mean().where("well <> 'none'").collect()}
+    got = {r.well: r for r in mean(dim=3).collect()}
+    assert got.pop("none").vec is None
+    assert {w: (r.n_cells, r.meta, r.vec) for w, r in got.items()} == {w: (r.n_cells, r.meta, pytest.approx(r.vec)) for w, r in want.items()}
+    assert "ObjectHashAggregate" not in mean(dim=3)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan(spark, "well_mean")
+    with pytest.raises(Exception, match="vector without 2 elements"):
+        mean(dim=2).collect()
