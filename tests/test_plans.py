@@ -153,3 +153,19 @@ def test_means_of_short_vectors_shuffle_numbers(spark):
     assert "ObjectHashAggregate" not in plan(spark, "well_mean")
     with pytest.raises(Exception, match="vector without 2 elements"):
         mean(dim=2).collect()
+
+
+def test_feature_rows_go_to_the_long_table(spark):
+    """The long table is not shuffled for a join with one row per feature."""
+    from wellgrid.operators import quality
+
+    long = spark.range(3000).select("id", (F.col("id") % 3).cast("int").alias("feature"), F.when(F.col("id") % 10 > 0, F.col("id") * 1.0).alias("value"))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "-1")  # as for a side whose size Spark does not know
+        text = quality.kept_features(long, max_missing=0.5)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        assert quality.impute_median(long).where("value is not null").count() == 3000
+    finally:
+        spark.conf.set(conf, before)
