@@ -28,10 +28,10 @@ def salted_join(
     """
     spread = list(spread_by or [c for c in fact.columns if c not in keys] or keys)
     left = fact.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    # a cross join, as Spark's size estimate counts its repeats, but not those of an explode: it would broadcast them all
+    # a join on a key that is always 0, as Spark's size estimate counts its repeats, but not those of an explode: it would broadcast them all
     pairs = F.explode(F.array(*[F.col("id").cast("int") + F.lit(i) for i in range(0, salts, 2)])).alias("__salt")
-    repeats = side.sparkSession.range(2).select(pairs).where(F.col("__salt") < salts)
-    right = side.crossJoin(F.broadcast(repeats))
+    repeats = side.sparkSession.range(2).select(F.pmod("id", F.lit(1)).alias("__zero"), pairs).where(F.col("__salt") < salts)
+    right = side.withColumn("__zero", F.pmod(F.xxhash64(*keys), F.lit(1))).join(F.broadcast(repeats), "__zero").drop("__zero")
     if null_safe:
         same = lambda d: d.withColumn("__key", F.struct(*[F.col(k) for k in keys]))
         return same(left).join(same(right).drop(*keys), ["__key", "__salt"], how).drop("__key", "__salt")
