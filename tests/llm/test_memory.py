@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from wellgrid.llm import arrow_text
+from wellgrid.llm.components import components
 
 
 def test_slices_cover_all_rows():
@@ -30,3 +32,11 @@ def test_words_stay_inside_their_text():
 
 def test_give_back_is_harmless():
     arrow_text.give_back()
+
+
+def test_component_rounds_do_not_swell_the_plan(spark):
+    """A long path takes many rounds; the size estimate of the result must not be a product over them."""
+    path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    comp = components(path)
+    assert comp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+    assert comp.agg(F.count("*"), F.max("root")).first()[:] == (301, 0)

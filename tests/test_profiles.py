@@ -610,3 +610,11 @@ def test_one_hot_key_is_split(spark):
     )
     assert wide.keys() == narrow.keys()
     assert all((wide[i] is None and narrow[i] is None) or wide[i] == pytest.approx(narrow[i]) for i in wide)
+
+
+def test_component_rounds_do_not_swell_the_plan(spark):
+    """A long path takes many rounds; the size estimate of the result must not be a product over them."""
+    path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    comp = integration.connected_components(path, "u", "v")
+    assert comp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+    assert comp.agg(F.count("*"), F.max("component")).first()[:] == (301, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import checkpoint
+from ..plans.durable import materialise
 from ..plans.joins import salted_join
 
 
@@ -23,11 +23,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Alternates two steps until the edges stay the same: every node hands its larger neighbours to
     its smallest one, then its smaller ones likewise. The number of rounds grows with the logarithm
-    of the longest path; each round is cut by a checkpoint. A hub's edges are joined salted. Self
+    of the longest path. Each round is written as a table: a checkpoint keeps the size estimate of its plan, a
+    product for each join, and over rounds the number itself fills the driver. A hub's edges are joined salted. Self
     loops and repeated edges do no harm; edges with a null end are left out.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = checkpoint(e)
+    e = materialise(e)
     seen = _checksum(e)
     for _ in range(rounds):
         if not seen[0]:
@@ -39,7 +40,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         e = large.unionByName(top).where("u <> v").distinct()
         low = salted_join(e, _smallest(e), ["u"], spread_by=["v"])
         e = low.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = checkpoint(e.where("u <> v").distinct())
+        e = materialise(e.where("u <> v").distinct())
         now = _checksum(e)
         if now == seen:
             break
