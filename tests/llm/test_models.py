@@ -208,3 +208,16 @@ def test_neighbours_hard_cases(spark):
     assert got[20] == [(0, 0.0), (1, 0.0), (2, 0.0), (8, 0.0)]
     assert 40 not in got and 60 not in got
     assert vptree.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_toxicity_shuffles_few_unlabelled_texts(spark):
+    """Every labelled row comes through the filter, repeated keys too, and hardly any other."""
+    texts = spark.range(20_000).select((F.col("id") % 19_000).alias("k"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    marks = spark.range(0, 19_000, 10).select(F.col("id").alias("k"))
+    got = toxicity.maybe_marked(texts, marks, "k")
+    assert got.columns == ["k", "text"]
+    want = texts.join(marks, "k").count()
+    assert got.join(marks, "k").count() == want and got.count() <= want + 20
+    assert toxicity.maybe_marked(texts, marks.limit(0), "k").count() == 0
+    names = texts.select(F.col("k").cast("string").alias("k"), "text")
+    assert toxicity.maybe_marked(names, marks.select(F.col("k").cast("string")), "k").join(marks, "k").count() == want

@@ -34,6 +34,7 @@ SEVERE = 0.02
 SURE = 0.5
 LONGEST = 40
 STEMS = (4, 5, 6)
+FILTER_BITS = 1 << 26  # of the table of labelled keys: 8 MB at most
 
 
 def names(token: str) -> list[str]:
@@ -165,17 +166,30 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarra
     return Ordinal(p[:features], p[features] + np.r_[0.0, np.cumsum(np.exp(p[features + 1:]))])
 
 
+def maybe_marked(texts: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """The rows of ``texts`` with a key of ``marks``, and a few others: a bit for each hashed key, sent to every task.
+
+    A join that follows drops the others; the texts of most documents without a label need no shuffle for it.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = marks.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = texts.withColumn("__p", place()).withColumns({"__bucket": F.bitmap_bucket_number("__p"), "__at": F.bitmap_bit_position("__p")})
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    there = F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1
+    return at.join(F.broadcast(bits), "__bucket").where(there).select(*texts.columns)
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], Ordinal]:
     """Features and model from labels (key, toxic); rows with a null in either, and null texts, teach nothing.
 
-    Rows of equal key and text teach once. Texts are shuffled once, for the counts; repeated rows are cut to
-    one before that, where they are.
+    Rows of equal key and text teach once. Texts of labelled documents are shuffled once, for the counts; repeated
+    rows are cut to one before that, where they are.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(key, "text", F.xxhash64("text").alias("t")).where(F.col("text").isNotNull())
     marks = checkpoint(texts.select(key, "t").distinct().join(marks, key))  # of documents that are there; no text moves
     n_rows = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    features = telling_words(texts.groupBy(key, "t").agg(F.first("text").alias("text")).join(marks, [key, "t"]), n_rows)
+    features = telling_words(maybe_marked(texts, marks, key).groupBy(key, "t").agg(F.first("text").alias("text")).join(marks, [key, "t"]), n_rows)
     if not features:
         return [], Ordinal(np.zeros(0), np.array([40.0, 41.0]))
     drawn = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64(key), key, "t").limit(sample) for t in (0, 1)]
