@@ -19,7 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8 or more).
+
+    SimHash fingerprints propose pairs first and min-wise hashes those that are further apart; exact similarity decides.
+    """
     return nearcopies.keep_one(docs)
 
 

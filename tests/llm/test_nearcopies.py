@@ -116,3 +116,17 @@ def test_ids_that_repeat_or_lack(spark):
     kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("9", texts[0]), ("None", texts[1]), ("None", texts[2]), ("4", rows[3][1]), ("4", rows[4][1])])
     assert nearcopies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_simhash_proposes(spark, monkeypatch):
+    """With no band shared by chance alone, slight edits are still found, through their fingerprints."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base + ["end"])), (3 * i + 2, " ".join([f"v{x}" for x in base]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(nearcopies, "leading_links", lambda b, s, r, proposed: nearcopies.similar(proposed, s))
+    monkeypatch.setattr(nearcopies, "crossing_links", lambda b, s, g: spark.createDataFrame([], "u long, v long"))
+    kept = {r.doc_id for r in nearcopies.keep_one(df).collect()}
+    assert {r for r in kept if r % 3 != 1} == {r for r, _ in rows if r % 3 != 1} and len(kept) <= 50

@@ -169,3 +169,13 @@ def test_feature_rows_go_to_the_long_table(spark):
         assert quality.impute_median(long).where("value is not null").count() == 3000
     finally:
         spark.conf.set(conf, before)
+
+
+def test_rows_without_a_match_are_told(spark):
+    from wellgrid.plans.joins import may_match
+
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    side = rows.where("b % 10 = 0")
+    got = may_match(rows, side, ["a", "b"])
+    assert got.count() == 20_000 and got.where("b % 10 = 0 and not __may").isEmpty() and got.where("__may").count() <= 2020
+    assert may_match(rows, side.limit(0), ["a", "b"]).where("__may").isEmpty()

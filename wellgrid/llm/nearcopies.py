@@ -1,11 +1,13 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets become one node. Min-wise hashes in ``BANDS`` bands of ``ROWS`` make buckets: two texts of
+Equal sets become one node. SimHash proposes first: nodes whose 64-bit fingerprints of the set (``simhash``) differ in
+at most two bits are compared, by a spanning forest of these links. A radius of two catches slight edits of long texts,
+not all near copies, so min-wise hashes propose the rest. Min-wise hashes in ``BANDS`` bands of ``ROWS`` make buckets: two texts of
 similarity s share one with a chance of 1 - (1 - s^ROWS)^BANDS, which is 1 - 1.3e-7 at 0.8. All pairs
 of a bucket count, but they are not made:
 
-1. The smallest node of each bucket is compared with the others, and what is found so far is joined to
-   groups. This links nearly all near copies, by one pair per node and smallest node.
+1. The smallest node of each bucket is compared with the others, SimHash's pairs are decided beside them, and what is
+   found so far is joined to groups. This links nearly all near copies, by one pair per node and smallest node.
 2. Only buckets that still hold several groups are looked at again. They are cut into cells of bounded
    size, a task each. In a cell, sketches (the least hash of each of ``BINS`` ranges) tell which nodes may
    reach the similarity with one of another group; for these nodes alone the sets are fetched, and a pair
@@ -26,9 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint, materialise
-from ..plans.joins import salted_join
+from ..plans.joins import may_match, salted_join
 from .arrow_text import give_back, mix, text_slices, words
 from .components import components
+from .simhash import links as fingerprint_links
+from .simhash import majority_of
 
 SHINGLE = 5
 FIFTHS = 4  # similarity of near copies, in fifths
@@ -37,6 +41,7 @@ ROUNDS = 1
 BINS = 128
 CELL_NODES, CELL_SHINGLES = 1024, 500_000  # of a bucket's lane; a cell has one lane or two
 LEAD_PAIRS = 1024  # of a hot smallest node, in one place
+HOT = 1024  # rows of a bucket that are joined in one place
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -78,10 +83,11 @@ def _sketch(keep: list[str]):
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 size = np.array([len(s) for s in sets], np.int64)
+                fp = majority_of(np.concatenate([*sets, np.zeros(0, np.uint64)]), size)
                 found = bands([sets[i] for i in some]).T.ravel() if some else np.zeros(0, np.uint64)
                 ends = np.r_[0, np.cumsum(np.where(size > 0, BANDS, 0))]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(node.view(np.int64)), pa.array(size), lists], names=[*keep, "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), lists], names=[*keep, "node", "size", "fp", "bands"])
         give_back()
 
     return run
@@ -132,23 +138,55 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) * 5 >= F.greatest(a, b) * FIFTHS
 
 
-def leading_links(buckets: DataFrame, sets: DataFrame, rounds: int) -> DataFrame | None:
+BUCKET = ["band", "h"]
+
+
+def _with_bucket(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` (band, h, node, ...) with the columns of ``per``, one row per bucket with its ``n``; others are dropped.
+
+    Buckets are nearly as many as rows, so ``per`` is sorted, not broadcast, and repeated for hot buckets only: these, at
+    most one for ``HOT`` rows, are known to all tasks.
+    """
+    places = F.ceil(F.col("n") / HOT).cast("int")
+    hot = per.where(F.col("n") > HOT).select(*BUCKET, places.alias("__places"))
+    left = rows.join(F.broadcast(hot), BUCKET, "left").withColumn("__place", F.pmod(F.xxhash64("node"), F.coalesce("__places", F.lit(1))).cast("int")).drop("__places")
+    right = per.withColumn("__place", F.explode(F.sequence(F.lit(0), places - 1))).drop("n")
+    return left.join(right.hint("merge"), [*BUCKET, "__place"]).drop("__place")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with two nodes at least, with the smallest ``at`` of the bucket as ``lead``."""
+    return _with_bucket(rows, materialise(rows.groupBy(*BUCKET).agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")))
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes (node, fp) with equal fingerprints, or linked by SimHash; a node of each fingerprint stands for it."""
+    rep = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    equal = nodes.join(rep.hint("merge"), "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    end = lambda c: rep.select(F.col("fp").alias(c), F.col("rep").alias(f"__{c}")).hint("merge")
+    apart = fingerprint_links(rep.select("fp")).join(end("u"), "u").join(end("v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    return equal.unionByName(apart)
+
+
+def leading_links(buckets: DataFrame, sets: DataFrame, rounds: int, proposed: DataFrame | None = None) -> DataFrame:
     """(u, v): near copies of the smallest node of their bucket; in further rounds, of the smallest of those left.
 
-    ``buckets`` has band, h, node, and ``at``, a struct that orders the nodes and has their ``size``.
+    ``buckets`` has band, h, node, and ``at``, a struct that orders the nodes and has their ``size``. Pairs ``proposed`` (u, v) are decided with those of the first round.
     """
-    open_, found = buckets, None
-    by = ["band", "h"]
-    for _ in range(rounds):
-        lead = open_.groupBy(*by).agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        rows = checkpoint(salted_join(open_, lead, by, spread_by=["node"]).where(F.col("at") != F.col("lead")))
-        if rows.isEmpty():
-            break
-        pairs = rows.where(_sizes_allow(F.col("at.size"), F.col("lead.size"))).select(F.col("at.node").alias("u"), F.col("lead.node").alias("v")).distinct()
-        good = checkpoint(similar(pairs, sets))
+    rows, found = _led(buckets).where(F.col("at") != F.col("lead")), None
+    for i in range(max(rounds, 1)):
+        pairs = rows.where(_sizes_allow(F.col("at.size"), F.col("lead.size"))).select(F.col("at.node").alias("u"), F.col("lead.node").alias("v"))
+        if i == 0 and proposed is not None:
+            pairs = pairs.unionByName(proposed) if rounds else proposed
+        good = checkpoint(similar(pairs.distinct(), sets))
         found = good if found is None else found.unionByName(good)
+        if i + 1 >= rounds:
+            break
         taken = good.withColumnsRenamed({"u": "node", "v": "__lead"})
-        open_ = rows.withColumn("__lead", F.col("lead.node")).join(taken, ["node", "__lead"], "left_anti").select(*by, "node", "at")
+        left = rows.withColumn("__lead", F.col("lead.node")).join(taken, ["node", "__lead"], "left_anti").select(*BUCKET, "node", "at")
+        rows = checkpoint(_led(left).where(F.col("at") != F.col("lead")))
+        if rows.isEmpty():
+            break
     return found
 
 
@@ -226,8 +264,8 @@ def _link(t: pa.Table) -> pa.Table:
 def crossing_links(buckets: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(u, v): near copies that share a bucket but no group yet; ``groups`` (node, root) may leave out nodes that are their own."""
     rows = buckets.join(groups, "node", "left").select("band", "h", "node", F.col("at.size").alias("size"), F.coalesce("root", "node").alias("root"))
-    per = rows.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("size") / CELL_SHINGLES)).cast("int").alias("lanes"))
-    mixed = salted_join(rows, per.where("low <> high").select("band", "h", "lanes"), ["band", "h"], spread_by=["node"])
+    per = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("size") / CELL_SHINGLES)).cast("int").alias("lanes"))
+    mixed = _with_bucket(rows, materialise(per.where("low <> high").select(*BUCKET, "n", "lanes")))
     lane = mixed.withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int"))
     cells = lane.withColumn("other", F.explode(F.expr("sequence(0, lanes - 1)"))).select("band", "h", F.least("lane", "other").alias("a"), F.greatest("lane", "other").alias("b"), "lane", "node", "root", "size")
     names = "band int, h bigint, a int, b int, lane int, node bigint, root bigint, size bigint"
@@ -235,13 +273,12 @@ def crossing_links(buckets: DataFrame, sets: DataFrame, groups: DataFrame) -> Da
     return hopeful.join(sets, "node").groupBy(*CELL).applyInArrow(_link, "u bigint, v bigint")
 
 
-def links(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v): near copies that share a bucket, enough to join all of them into their groups."""
-    found = leading_links(buckets, sets, rounds)
-    none = buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    groups = checkpoint(components(none if found is None else found))
+def links(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS, proposed: DataFrame | None = None) -> DataFrame:
+    """(u, v): near copies that share a bucket or are ``proposed``, enough to join all of them into their groups."""
+    found = leading_links(buckets, sets, rounds, proposed)
+    groups = checkpoint(components(found))
     more = checkpoint(crossing_links(buckets, sets, groups))
-    return more if found is None else found.unionByName(more)
+    return found.unionByName(more)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
@@ -252,17 +289,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", rounds: int = ROUNDS) -> Data
     """
     named = lambda k: F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("null"))
     slim = docs.select(F.col(key).alias("k"), "text", F.xxhash64("text").alias("t"))
-    schema = f"k {docs.schema[key].dataType.simpleString()}, t bigint, node bigint, size bigint, bands array<bigint>"
+    schema = f"k {docs.schema[key].dataType.simpleString()}, t bigint, node bigint, size bigint, fp bigint, bands array<bigint>"
     marked = slim.mapInArrow(_sketch(["k", "t"]), schema)
     order = F.struct(F.col("k").isNull().alias("n"), "k", "t", "node", "size")
-    nodes = materialise(marked.groupBy("node").agg(F.min(order).alias("at"), F.min("bands").alias("bands")))
+    nodes = materialise(marked.groupBy("node").agg(F.min(order).alias("at"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    proposed = materialise(fingerprint_pairs(nodes.where("at.size > 0").select("node", "fp")))
 
-    b = nodes.select("node", "at", F.posexplode("bands").alias("band", "h"))
-    shared = b.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = materialise(salted_join(b, shared, ["band", "h"], spread_by=["node"]))
+    # forty rows a node: all are shuffled to be counted, but only those that may share a bucket to meet it
+    b = nodes.select("node", F.struct("node", "at.size").alias("at"), F.posexplode("bands").alias("band", "h"))
+    shared = materialise(b.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = materialise(_with_bucket(may_match(b, shared, BUCKET).where("__may").drop("__may"), shared))
 
     # one row of each node, with its text: texts are shuffled here only
-    asked = buckets.select("node").distinct().withColumn("asked", F.lit(True))
+    ends = proposed.select(F.explode(F.array("u", "v")).alias("node"))
+    asked = buckets.select("node").unionByName(ends).distinct().withColumn("asked", F.lit(True))
     first = nodes.select(named(F.col("at.k")).alias("__id"), F.col("at.t").alias("__t"), F.col("node").alias("__node")).join(asked.withColumnRenamed("node", "__node"), "__node", "left")
     others = [F.col(c) for c in docs.columns if c not in (key, "text")]
     same = Window.partitionBy("__id", "__t").orderBy(*others, "text")
@@ -270,8 +310,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", rounds: int = ROUNDS) -> Data
     one = materialise(one.join(first, ["__id", "__t"]).select(*docs.columns, "__node", F.coalesce("asked", F.lit(False)).alias("__asked")))
 
     sets = materialise(one.where("__asked").select(F.col("__node").alias("node"), "text").mapInArrow(_sets, "node bigint, set array<bigint>, bands array<bigint>, sketch array<bigint>"))
-    comp = components(links(buckets, sets, rounds))
+    comp = components(links(buckets, sets, rounds, proposed))
     member = comp.join(nodes.select("node", "at"), "node")
     least = member.groupBy("root").agg(F.min("at").alias("least"))
-    dropped = member.join(least, "root").where(F.col("at") != F.col("least")).select(F.col("node").alias("__node"))
-    return one.join(dropped, "__node", "left_anti").select(*docs.columns)
+    dropped = materialise(member.join(least, "root").where(F.col("at") != F.col("least")).select(F.col("node").alias("__node")))
+    told = may_match(one, dropped, ["__node"])
+    kept = told.where("__may").join(dropped, "__node", "left_anti").select(*docs.columns)
+    return told.where("not __may").select(*docs.columns).unionByName(kept)

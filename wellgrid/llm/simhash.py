@@ -49,11 +49,14 @@ def _of_text(raw: bytes, k: int, seed: int) -> list[int]:
 
 def majority(hashes: list[list[int]]) -> np.ndarray:
     """One fingerprint per list: the bits set in over half of its hashes; 0 for none."""
-    n = np.array([len(x) for x in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
+    return majority_of(np.array([x for y in hashes for x in y], np.uint64), np.array([len(x) for x in hashes], np.int64))
+
+
+def majority_of(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``majority`` of hashes that lie one list after another, ``n[i]`` of list i."""
+    out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        flat = np.array([x for y in hashes for x in y], np.uint64)
         bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         starts = np.r_[0, np.cumsum(n[some])[:-1]]
         counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)

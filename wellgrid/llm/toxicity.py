@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint
+from ..plans.joins import may_match
 from .arrow_text import give_back
 from .registry import query, table
 
@@ -34,7 +35,6 @@ SEVERE = 0.02
 SURE = 0.5
 LONGEST = 40
 STEMS = (4, 5, 6)
-FILTER_BITS = 1 << 26  # of the table of labelled keys: 8 MB at most
 
 
 def names(token: str) -> list[str]:
@@ -167,16 +167,8 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarra
 
 
 def maybe_marked(texts: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """The rows of ``texts`` with a key of ``marks``, and a few others: a bit for each hashed key, sent to every task.
-
-    A join that follows drops the others; the texts of most documents without a label need no shuffle for it.
-    """
-    place = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    bits = marks.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
-    at = texts.withColumn("__p", place()).withColumns({"__bucket": F.bitmap_bucket_number("__p"), "__at": F.bitmap_bit_position("__p")})
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    there = F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1
-    return at.join(F.broadcast(bits), "__bucket").where(there).select(*texts.columns)
+    """The rows of ``texts`` with a key of ``marks``, and a few others, which a join drops: most texts without a label need no shuffle."""
+    return may_match(texts, marks, [key]).where("__may").drop("__may")
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], Ordinal]:
