@@ -618,3 +618,14 @@ def test_component_rounds_do_not_swell_the_plan(spark):
     comp = integration.connected_components(path, "u", "v")
     assert comp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
     assert comp.agg(F.count("*"), F.max("component")).first()[:] == (301, 0)
+
+
+def test_cell_counts_from_the_fov_table(spark):
+    """Counts of the FOV table meet the sampled cells and give what counts on every cell give."""
+    from wellgrid.operators import profiles
+
+    cells = spark.createDataFrame([(f"s__b__p__W{i % 3}__t{i % 2}", str(i)) for i in range(60)], "fov_id string, id_local string")
+    fovs = cells.groupBy("fov_id").agg(F.count("*").alias("n_cells_in_fov"))
+    pick = lambda c, m: sorted(map(str, profiles.select_cells(c, m, "uniform_per_well", ["x"], n_per_well=4).select("row_key", "n_cells_in_fov", "n_cells_scaled").collect()))
+    got = pick(cells, fovs)
+    assert len(got) == 12 and got == pick(cells.join(fovs, "fov_id"), fovs.select("fov_id"))
