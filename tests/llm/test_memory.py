@@ -40,3 +40,21 @@ def test_component_rounds_do_not_swell_the_plan(spark):
     comp = components(path)
     assert comp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
     assert comp.agg(F.count("*"), F.max("root")).first()[:] == (301, 0)
+
+
+def shuffles_of(spark, edges):
+    """Distinct nodes and roots of ``components``, and the stages that Spark ran for it."""
+    tracker, group = spark.sparkContext.statusTracker(), "stages-of-components"
+    spark.sparkContext.setJobGroup(group, group)
+    got = sorted(tuple(r) for r in components(edges).collect())
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(stages)
+
+
+def test_stars_take_no_round(spark):
+    """What the driver keeps grows with stages; edges that are stars already need none but those that say so."""
+    stars = spark.createDataFrame([(10 * g + i, 10 * g) for g in range(5) for i in range(1, 10)], "u long, v long")
+    got, stages = shuffles_of(spark, stars)
+    assert got == sorted((10 * g + i, 10 * g) for g in range(5) for i in range(10))
+    assert stages < 20

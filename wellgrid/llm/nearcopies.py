@@ -178,7 +178,7 @@ def leading_links(buckets: DataFrame, sets: DataFrame, rounds: int, proposed: Da
         pairs = rows.where(_sizes_allow(F.col("at.size"), F.col("lead.size"))).select(F.col("at.node").alias("u"), F.col("lead.node").alias("v"))
         if i == 0 and proposed is not None:
             pairs = pairs.unionByName(proposed) if rounds else proposed
-        good = checkpoint(similar(pairs.distinct(), sets))
+        good = checkpoint(similar(materialise(pairs.distinct()), sets))  # written, as the plan has them three times
         found = good if found is None else found.unionByName(good)
         if i + 1 >= rounds:
             break
@@ -274,11 +274,10 @@ def crossing_links(buckets: DataFrame, sets: DataFrame, groups: DataFrame) -> Da
 
 
 def links(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS, proposed: DataFrame | None = None) -> DataFrame:
-    """(u, v): near copies that share a bucket or are ``proposed``, enough to join all of them into their groups."""
-    found = leading_links(buckets, sets, rounds, proposed)
-    groups = checkpoint(components(found))
+    """(u, v): enough links to join near copies that share a bucket or are ``proposed`` into their groups; groups known early come as stars."""
+    groups = checkpoint(components(leading_links(buckets, sets, rounds, proposed)))
     more = checkpoint(crossing_links(buckets, sets, groups))
-    return found.unionByName(more)
+    return groups.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(more)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
