@@ -1,5 +1,7 @@
 """Physical plans: no pairwise joins, trimmed group ranks, narrow scans."""
 
+import re
+
 import pytest
 
 from tests.oracle import SF
@@ -47,6 +49,12 @@ def test_no_group_is_gathered_for_quantiles(spark):
     assert "percentile" not in plan(spark, "mad_normalise") and "median" not in plan(spark, "well_median")
 
 
+def test_cells_are_shuffled_once_to_be_scaled(spark):
+    """With all their fields, not as a row per feature."""
+    text = plan(spark, "mad_normalise")
+    assert "hashpartitioning(source" in text and not re.search(r"hashpartitioning\([^)]*feature", text)
+
+
 def test_ranks_and_adjustment_equal_the_plain_ones(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
     got = {r.id: (r.rank, r.n) for r in ranged_rank(df, ["g", "k"], ["v", "id"], "rank", "n").collect()}

@@ -51,6 +51,19 @@ def test_quality_filter_conjunction(spark):
     assert (counts.n_before, counts.n_after, counts.n_dropped) == (7, 4, 3)
 
 
+@pytest.mark.parametrize("limit", [0, 25, 10_000])
+def test_wide_fields_scale_as_long_ones(spark, monkeypatch, limit):
+    """Plates in arrays, long ones and both together give what ``robust_scale`` gives, with null plates, gaps and few controls."""
+    i = F.col("id")
+    value = lambda k: F.when(i % 7 == k, None).when(i % 11 == k, float("nan")).otherwise(F.pmod(F.hash("id", F.lit(k)), F.lit(50)) / 3)
+    df = spark.range(90).select("id", F.when(i < 50, "a").when(i < 70, "b").alias("plate"), F.when(i % 4 > 0, i % 4 == 1).alias("ctrl"), value(2).alias("x"), value(3).alias("y"), F.lit(1.5).alias("z"))
+    plain = quality.robust_scale(quality.tidy(df, ["plate", "id", "ctrl"], ["x", "y", "z"]), ["plate"], ["id"], F.col("ctrl")).drop("ctrl")
+    monkeypatch.setattr(quality, "large_groups", lambda rows, keys, of=quality.large_groups: of(rows, keys, limit))
+    got = quality.robust_scale_fields(df, ["plate"], ["id"], ["x", "y", "z"], F.col("ctrl"))
+    order = lambda d: sorted(map(str, d.select("plate", "id", "feature", "value", "scaled").collect()))
+    assert order(got) == order(plain)
+
+
 def test_robust_scale(spark):
     rows = [("p4", f"a{i}", i < 4, float(i)) for i in range(10)] + [("p5", f"b{i}", i < 5, float(i * i)) for i in range(10)] + [("p0", f"c{i}", False, 7.0) for i in range(3)]
     df = spark.createDataFrame(rows, "plate string, id string, ctrl boolean, value double").withColumn("feature", F.lit("f"))

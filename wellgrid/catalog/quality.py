@@ -70,7 +70,10 @@ mad AS (SELECT source, plate, feature, any_value(med) AS med, median(abs(value -
 SELECT row_key, feature, CASE WHEN value IS NOT NULL THEN round(least(greatest((value - med) / CASE WHEN mad > 0 THEN mad * 1.4826 ELSE 1.0 END, -4.0), 4.0), 6) + 0.0 END AS scaled
 FROM g JOIN mad USING (source, plate, feature)""")
 def mad_normalise(spark, d):
-    out = Q.robust_scale(Q.clean_nonfinite(_gappy(spark, d), ["value"]), ["source", "plate"], ["row_key"], F.col("is_control"), min_controls=22)
+    cells = v_cell(spark, d)
+    holes = F.when(F.col("nuc_area") == 7, F.lit(None)).when(F.col("nuc_area") == 11, F.lit(float("inf"))).otherwise(F.col("nuc_area"))
+    gappy = Q.clean_nonfinite(cells.withColumn("nuc_area", holes), FIELDS)
+    out = Q.robust_scale_fields(gappy, ["source", "plate"], ["row_key"], FIELDS, F.col("is_control"), min_controls=22)
     return out.select("row_key", "feature", r6("scaled").alias("scaled"))
 
 
