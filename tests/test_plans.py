@@ -55,6 +55,12 @@ def test_cells_are_shuffled_once_to_be_scaled(spark):
     assert "hashpartitioning(source" in text and not re.search(r"hashpartitioning\([^)]*feature", text)
 
 
+@pytest.mark.parametrize(("name", "functions"), [("blob_crop", 4)])
+def test_blob_functions_are_called_once(spark, name, functions):
+    """Each call has Python processes of its own; a filter on what a function gives must not call it again."""
+    assert plan(spark, name).count("EvalPython [") == functions
+
+
 def test_ranks_and_adjustment_equal_the_plain_ones(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
     got = {r.id: (r.rank, r.n) for r in ranged_rank(df, ["g", "k"], ["v", "id"], "rank", "n").collect()}

@@ -1,8 +1,9 @@
 """Image blobs as rows: normalise, crop, mask, mark, resize, label, embed, featurise.
 
-Blobs are C-order bytes with the shape next to them. Jobs are scalar Pandas UDFs over the blob
+Blobs are C-order bytes with the shape next to them. Jobs are scalar Arrow UDFs over the blob
 columns only, so metadata never leaves the JVM; cap ``spark.sql.execution.arrow.maxRecordsPerBatch``
-(or ``maxBytesPerBatch``) for large images. NumPy works on one Arrow batch at a time.
+(or ``maxBytesPerBatch``) for large images. NumPy works on ``PIECE`` rows of an Arrow batch at a time, and what
+they give is kept as Arrow arrays.
 """
 
 from __future__ import annotations
@@ -11,11 +12,36 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import in_bounds
 
+PIECE = 256  # rows that are Python objects at once
+BYTES, LONGS, BYTE_LISTS = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())
+
+
+def _as_arrow(made: pd.Series | pd.DataFrame, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_as_arrow(made[f.name], f.type) for f in kind], fields=list(kind))
+    return pa.array(made, kind, from_pandas=True)
+
+
+def in_pieces(run: Callable[..., pd.Series | pd.DataFrame], kind: pa.DataType = BYTES) -> Callable[..., pa.Array]:
+    """``run`` on Arrow columns, of which it gets ``PIECE`` rows at a time as Pandas series."""
+
+    def whole(*columns: pa.Array) -> pa.Array:
+        parts = [_as_arrow(run(*[c.slice(at, PIECE).to_pandas() for c in columns]), kind) for at in range(0, len(columns[0]), PIECE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return whole
+
+
+def _blob_udf(run: Callable[..., pd.Series | pd.DataFrame], returns: str = "binary", kind: pa.DataType = BYTES) -> Callable[..., Column]:
+    return F.arrow_udf(in_pieces(run, kind), returns)
+
+
 # -- pixel scaling ------------------------------------------------------------------------
 
 
@@ -41,7 +67,7 @@ def normalise_fov(df: DataFrame, pixels: str = "pixels", scheme: str = "per_fov_
         fn = (lambda s: stretch(s, low, high)) if scheme == "per_fov_percentile" else sixteen_to_eight
         return pd.Series([fn(s).tobytes() for s in stacks], dtype=object)
 
-    return df.withColumn(out or pixels, F.pandas_udf(run, "binary")(pixels, "c", "h", "w"))
+    return df.withColumn(out or pixels, _blob_udf(run)(pixels, "c", "h", "w"))
 
 
 # -- stacking and cropping -------------------------------------------------------------------
@@ -90,7 +116,7 @@ def extract_crops(cells: DataFrame, fovs: DataFrame, fov: str, patch: int, heigh
         return pd.DataFrame({"cell": cell_lists, "mask": mask_lists})
 
     field = lambda n: F.transform("wanted", lambda s: s[n])
-    udf = F.pandas_udf(cut, "cell array<binary>, mask array<binary>")
+    udf = _blob_udf(cut, "cell array<binary>, mask array<binary>", pa.struct({"cell": BYTE_LISTS, "mask": BYTE_LISTS}))
     made = joined.withColumn("m", udf("pixels", "labels", "c", "h", "w", field("id"), field("r"), field("c")))
     rows = made.select(fov, F.explode(F.arrays_zip(field("id").alias("id_local"), F.col("m.cell").alias("cell"), F.col("m.mask").alias("mask"))).alias("x"))
     return rows.select(fov, "x.id_local", "x.cell", "x.mask")
@@ -130,7 +156,7 @@ def mask_channels(df: DataFrame, shape: Sequence[int], cell: str = "cell", mask:
         which = np.minimum(np.arange(c), 1)
         return _encode(img * seg[:, which])
 
-    return df.withColumn(cell, F.pandas_udf(run, "binary")(cell, mask))
+    return df.withColumn(cell, _blob_udf(run)(cell, mask))
 
 
 def corner_mask(h: int, w: int, size: int, pad: int) -> np.ndarray:
@@ -159,7 +185,7 @@ def mark_density(df: DataFrame, shape: Sequence[int], size: int, pad: int, cell:
         images = _decode(blobs, shape, cell)
         return _encode(np.where(marked, levels.to_numpy(np.uint8)[:, None, None, None], images))
 
-    return df.withColumn(cell, F.pandas_udf(run, "binary")(cell, level))
+    return df.withColumn(cell, _blob_udf(run)(cell, level))
 
 
 def all_variants(crops: DataFrame, shape: Sequence[int], size: int, pad: int) -> dict[str, DataFrame]:
@@ -209,7 +235,7 @@ def resize(df: DataFrame, shape: Sequence[int], to: tuple[int, int], blob: str =
         out[:, masks] = img[:, masks][:, :, yi][:, :, :, xi]
         return _encode(out)
 
-    return df.withColumn(blob, F.pandas_udf(run, "binary")(blob))
+    return df.withColumn(blob, _blob_udf(run)(blob))
 
 
 # -- label images -------------------------------------------------------------------------
@@ -237,7 +263,7 @@ def drop_border_labels(df: DataFrame, labels: str = "labels", out: str | None =
             made.append(np.where(np.isin(lab, lab[~inner]), 0, lab).astype("<u4").tobytes())
         return pd.Series(made, dtype=object)
 
-    return df.withColumn(out or labels, F.pandas_udf(run, "binary")(labels, "h", "w"))
+    return df.withColumn(out or labels, _blob_udf(run)(labels, "h", "w"))
 
 
 def _relabel(img: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -270,8 +296,9 @@ def match_labels(df: DataFrame, nucleus: str = "nucleus", cell: str = "cell_labe
             rows.append((new_n.tobytes(), new_c.tobytes(), pair_n.astype(np.int64), pair_c.astype(np.int64)))
         return pd.DataFrame(rows, columns=["nucleus", "cell", "nucleus_ids", "cell_ids"])
 
-    kind = "nucleus binary, cell binary, nucleus_ids array<bigint>, cell_ids array<bigint>"
-    return df.withColumn("matched", F.pandas_udf(run, kind)(nucleus, cell, "h", "w"))
+    returns = "nucleus binary, cell binary, nucleus_ids array<bigint>, cell_ids array<bigint>"
+    kind = pa.struct({"nucleus": BYTES, "cell": BYTES, "nucleus_ids": LONGS, "cell_ids": LONGS})
+    return df.withColumn("matched", _blob_udf(run, returns, kind)(nucleus, cell, "h", "w"))
 
 
 def cell_stats(df: DataFrame, fov: str) -> DataFrame:
@@ -289,8 +316,10 @@ def cell_stats(df: DataFrame, fov: str) -> DataFrame:
             out.append(table.tolist())
         return pd.Series(out, dtype=object)
 
-    m = F.pandas_udf(run, "array<array<double>>")("matched.nucleus", "matched.cell", "h", "w")
-    rows = df.withColumn("__s", m).select(fov, F.col("matched.nucleus_ids").alias("ni"), F.col("matched.cell_ids").alias("ci"), F.size("__s").alias("n"), F.posexplode("__s").alias("i", "v"))
+    m = _blob_udf(run, "array<array<double>>", pa.list_(pa.list_(pa.float64())))("matched.nucleus", "matched.cell", "h", "w")
+    # outer, as Spark asks for the size of an inner one's array by calling all functions below once more
+    each = F.posexplode_outer("__s").alias("i", "v")
+    rows = df.withColumn("__s", m).select(fov, F.col("matched.nucleus_ids").alias("ni"), F.col("matched.cell_ids").alias("ci"), F.size("__s").alias("n"), each).where("i is not null")
     v = lambda i: F.col("v")[i]
     return rows.select(
         F.col(fov), (F.col("i") + 1).cast("bigint").alias("id_local"), F.get("ni", F.col("i")).alias("nuc_id_global"), F.get("ci", F.col("i")).alias("cell_id_global"),
@@ -386,7 +415,7 @@ def featurise(df: DataFrame, shape: Sequence[int], measures: Sequence[Measure] =
                     except Exception:
                         got = dict.fromkeys(keys, float("nan"))
                     row |= {f"{part}_{k}": float(v) for k, v in got.items()}
-            rows.append(row)
+            rows.append(list(row.items()))
         return pd.Series(rows, dtype=object)
 
-    return df.withColumn(out, F.pandas_udf(run, "map<string,double>")(cell, mask))
+    return df.withColumn(out, _blob_udf(run, "map<string,double>", pa.map_(pa.string(), pa.float64()))(cell, mask))
