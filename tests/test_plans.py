@@ -55,7 +55,7 @@ def test_cells_are_shuffled_once_to_be_scaled(spark):
     assert "hashpartitioning(source" in text and not re.search(r"hashpartitioning\([^)]*feature", text)
 
 
-@pytest.mark.parametrize(("name", "functions"), [("blob_crop", 4)])
+@pytest.mark.parametrize(("name", "functions"), [("blob_crop", 4), ("featurise", 2)])
 def test_blob_functions_are_called_once(spark, name, functions):
     """Each call has Python processes of its own; a filter on what a function gives must not call it again."""
     assert plan(spark, name).count("EvalPython [") == functions

@@ -201,7 +201,7 @@ s AS (SELECT fov, part, ch, count(*) AS a, avg(u) AS mean, stddev_pop(u) AS std,
 SELECT fov, part || '_AreaShape_Area' AS feature, CAST(a AS DOUBLE) AS value FROM s WHERE ch = 0 UNION ALL SELECT fov, part || '_Intensity_Mean_' || ch, round(mean, 6) FROM s
 UNION ALL SELECT fov, part || '_Intensity_Std_' || ch, round(std, 6) FROM s UNION ALL SELECT fov, part || '_Intensity_Min_' || ch, mn FROM s UNION ALL SELECT fov, part || '_Intensity_Max_' || ch, mx FROM s""")
 def featurise(spark, d):
-    f = B.featurise(_pair(spark, d), SHAPE, measures=[B.intensity]).select("fov", F.explode("features").alias("feature", "value"))
+    f = B.featurise(_pair(spark, d), SHAPE, measures=[B.intensity]).select("fov", F.explode_outer("features").alias("feature", "value"))  # outer: an inner one calls the functions twice
     return f.select("fov", "feature", r6("value").alias("value")).where("value is not null")
 
 
