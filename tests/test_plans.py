@@ -193,3 +193,15 @@ def test_rows_without_a_match_are_told(spark):
     got = may_match(rows, side, ["a", "b"])
     assert got.count() == 20_000 and got.where("b % 10 = 0 and not __may").isEmpty() and got.where("__may").count() <= 2020
     assert may_match(rows, side.limit(0), ["a", "b"]).where("__may").isEmpty()
+
+
+@pytest.mark.parametrize("limit", [10_000, 1])
+def test_medians_equal_sql_to_the_last_bit(spark, limit):
+    import duckdb
+
+    from wellgrid.plans.quantiles import exact_quantiles
+
+    pairs = [(a * 11 + b, x / 100) for a in range(11) for b in range(11) for x in (a, b)]
+    got = exact_quantiles(spark.createDataFrame(pairs, "k int, v double"), ["k"], "v", [0.5], in_one_row=limit)
+    want = duckdb.connect().execute("SELECT k, median(x / 100.0) FROM (SELECT a * 11 + b AS k, unnest([a, b])::DOUBLE AS x FROM range(11) s(a), range(11) t(b)) GROUP BY k").fetchall()
+    assert {r.k: r.q[0] for r in got.collect()} == dict(want)

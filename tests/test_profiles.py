@@ -642,3 +642,22 @@ def test_cell_counts_from_the_fov_table(spark):
     pick = lambda c, m: sorted(map(str, profiles.select_cells(c, m, "uniform_per_well", ["x"], n_per_well=4).select("row_key", "n_cells_in_fov", "n_cells_scaled").collect()))
     got = pick(cells, fovs)
     assert len(got) == 12 and got == pick(cells.join(fovs, "fov_id"), fovs.select("fov_id"))
+
+
+def test_classical_profiles_equal_sql_where_medians_tie(spark, tmp_path):
+    """Controls of equal median made from different cells have no deviation, so their plate is not scaled by a rounding error."""
+    import shutil
+
+    from tests.oracle import SF, connect, differences
+    from wellgrid import catalog
+
+    catalog.load_all()
+    for t in ("part", "supplier", "nation", "region"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    cell = lambda i, well, v: (i, well, 1, 1, float(i * 7 % 16), float(i * i * 11 % 23), v, "2020-01-01")
+    pairs = [(0.01, 0.03)] * 3 + [(0.02, 0.02)] * 3 + [(0.01, 0.05), (0.0, 0.1)]
+    rows = [cell(2 * i + j, w, v) for i, (w, pair) in enumerate(zip((1, 2, 3, 4, 5, 6, 8, 9), pairs)) for j, v in enumerate(pair)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate string"
+    spark.createDataFrame(rows, kinds).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "cells"))
+    shutil.copy(next((tmp_path / "cells").glob("*.parquet")), tmp_path / "lineitem.parquet")
+    assert differences(catalog.QUERIES["classical_profiles"](spark, str(tmp_path)), connect(str(tmp_path)), catalog.ORACLES["classical_profiles"]) == []
