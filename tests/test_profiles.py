@@ -661,3 +661,23 @@ def test_classical_profiles_equal_sql_where_medians_tie(spark, tmp_path):
     spark.createDataFrame(rows, kinds).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "cells"))
     shutil.copy(next((tmp_path / "cells").glob("*.parquet")), tmp_path / "lineitem.parquet")
     assert differences(catalog.QUERIES["classical_profiles"](spark, str(tmp_path)), connect(str(tmp_path)), catalog.ORACLES["classical_profiles"]) == []
+
+
+def test_harmony_rounds_do_not_pile_up(spark):
+    """Whatever the number of rounds, the checkpoint folder holds one state, without a number per row and cluster."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from wellgrid.plans.durable import ensure_checkpoint_dir
+
+    rng, n, k = np.random.default_rng(5), 3000, 40
+    df = spark.createDataFrame([(i, f"b{i % 3}", rng.normal(size=4).tolist()) for i in range(n)], "id long, batch string, vec array<double>").cache()
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    size, before = {}, held()
+    for rounds in (1, 6):
+        assert correct.harmony(df, "vec", "batch", "id", n_clusters=k, max_rounds=rounds, tol=-1.0).count() == n
+        size[rounds] = held() - before
+        before += size[rounds]
+    assert size[6] < 1.5 * size[1] and size[6] < n * k * 8
