@@ -681,3 +681,17 @@ def test_harmony_rounds_do_not_pile_up(spark):
         size[rounds] = held() - before
         before += size[rounds]
     assert size[6] < 1.5 * size[1] and size[6] < n * k * 8
+
+
+def test_fov_table_meets_sampled_cells_once(spark):
+    """Counts and metadata of the FOV table come by one join without repeats of that table, and id parts are not shuffled."""
+    from wellgrid.operators import profiles
+
+    cells = spark.createDataFrame([(f"s__b__p{i % 2}__W{i % 3}__t{i % 5}", str(i)) for i in range(200)], "fov_id string, id_local string")
+    fovs = cells.groupBy("fov_id").agg(F.count("*").alias("n_cells_in_fov")).withColumn("kind", F.concat(F.lit("k"), "fov_id"))
+    out = profiles.select_cells(cells, fovs, "uniform_per_well", ["kind"], n_per_well=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" not in plan and plan.count("Join LeftOuter") == 3  # the result, and the lowest and highest count
+    rows = out.collect()
+    assert len(rows) == 24 and all(r.kind == f"k{r.fov_id}" and r.fov_id == "__".join([r.source, r.batch, r.plate, r.well, r.tile]) for r in rows)
+    assert all(r.plate_key == f"s__b__{r.plate}" and r.row_key == f"{r.fov_id}__{r.id_local}" for r in rows)
