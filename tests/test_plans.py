@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from tests.oracle import SF
@@ -205,3 +206,36 @@ def test_medians_equal_sql_to_the_last_bit(spark, limit):
     got = exact_quantiles(spark.createDataFrame(pairs, "k int, v double"), ["k"], "v", [0.5], in_one_row=limit)
     want = duckdb.connect().execute("SELECT k, median(x / 100.0) FROM (SELECT a * 11 + b AS k, unnest([a, b])::DOUBLE AS x FROM range(11) s(a), range(11) t(b)) GROUP BY k").fetchall()
     assert {r.k: r.q[0] for r in got.collect()} == dict(want)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("n,m,k,copies", [(300, 9000, 90, 1), (300, 6000, 15, 60), (40, 10, 15, 1), (5, 1, 1, 1), (7, 3000, 2900, 2)])
+def test_nearest_is_that_of_sorting_all_pairs(metric, n, m, k, copies, monkeypatch):
+    """Equal vectors tie to the last bit and go by ``tie``, wherever the tiles fall."""
+    from wellgrid.plans import blocks
+
+    rng = np.random.default_rng(m + k)
+    g = rng.normal(size=(m, 6))[rng.integers(0, max(1, m // copies), m)]
+    g = g / np.linalg.norm(g, axis=1, keepdims=True) if metric == "cosine" else g + 3.0
+    at, tie = rng.integers(0, m, n), rng.permutation(m)
+    own = np.where(rng.random(n) < 0.7, at, -1)
+    want = []
+    for i, (x, o) in enumerate(zip(g[at], own)):
+        sim = np.round(-np.sqrt(np.square(x - g).sum(1)), 10) if metric == "euclidean" else np.round((x * g).sum(1), 12)
+        want += [(i, int(j), sim[j]) for j in [j for j in np.lexsort((tie, -sim)) if j != o][:k]]
+    for cells in (blocks.TILE_CELLS, 1000):
+        monkeypatch.setattr(blocks, "TILE_CELLS", cells)
+        assert list(zip(*(a.tolist() for a in blocks.nearest(g[at], g, k, metric, tie, own)))) == want
+
+
+def test_equal_vectors_have_distance_zero(spark):
+    """Copies of a vector far from the origin are nearest by id, not by the rounding of a matrix product."""
+    from wellgrid.plans.blocks import topk
+
+    rng = np.random.default_rng(3)
+    vecs = (rng.normal(size=(30, 16)) * 100).tolist()
+    df = spark.createDataFrame([(i, vecs[i % 30]) for i in range(300)], "id long, vec array<double>")
+    got = topk(df, df, 9, 16, vec="vec", metric="euclidean").collect()
+    assert len(got) == 2700 and all(r.sim == 0.0 and r.g_id % 30 == r.q_id % 30 for r in got)
+    for q in (0, 299):
+        assert [r.g_id for r in sorted(got, key=lambda r: r.rank) if r.q_id == q] == [i for i in range(q % 30, 300, 30) if i != q]
