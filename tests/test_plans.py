@@ -239,3 +239,15 @@ def test_equal_vectors_have_distance_zero(spark):
     assert len(got) == 2700 and all(r.sim == 0.0 and r.g_id % 30 == r.q_id % 30 for r in got)
     for q in (0, 299):
         assert [r.g_id for r in sorted(got, key=lambda r: r.rank) if r.q_id == q] == [i for i in range(q % 30, 300, 30) if i != q]
+
+
+def test_null_draws_are_dealt_out_and_made_once(spark):
+    """A shape of list is much work, so shapes lie in many tasks, and the result does not draw again."""
+    from wellgrid.operators import replicate
+
+    ap = spark.createDataFrame([(f"p{i % 7}", 2 + i, 5 + i, 0.5) for i in range(40)], "pert string, n_pos long, n_neg long, ap double")
+    nulls = replicate.null_distributions(ap, 20)
+    assert nulls.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert nulls.count() == 40
+    out = replicate.significance(ap, "pert", null_size=20)
+    assert "MapInPandas" not in out._jdf.queryExecution().toString() and out.count() == 7

@@ -295,9 +295,9 @@ def null_distributions(configs: DataFrame, null_size: int = NULL_SIZE, seed: int
                 "nulls": [_null_draws(int(p), int(p + n), null_size, seed) for p, n in zip(pdf["n_pos"], pdf["n_neg"])],
             })
 
-    shapes = configs.select("n_pos", "n_neg").distinct()
-    # few rows with much work each: an explicit number, so that adaptive execution does not fold them into one task
-    shapes = shapes.repartition(shuffle_partitions(configs), "n_pos", "n_neg")
+    # few rows with much work each: an explicit number, so that adaptive execution does not fold them into one task; before
+    # distinct(), as Spark leaves out a repartition that repeats the one of distinct(), and folds that
+    shapes = configs.select("n_pos", "n_neg").repartition(shuffle_partitions(configs), "n_pos", "n_neg").distinct()
     return shapes.mapInPandas(draw, "n_pos bigint, n_neg bigint, nulls array<double>")
 
 
@@ -305,8 +305,8 @@ def significance(ap: DataFrame, perturbation: str, null_size: int = NULL_SIZE, s
     """mAP with permutation p-value, BH-corrected p-value and flags.
 
     The null of a perturbation is the mean of its queries' nulls: a weighted mean over the
-    distinct list shapes, taken as one vector aggregate. The AP table is used twice, so it is
-    written to the checkpoint folder first.
+    distinct list shapes, taken as one vector aggregate. The AP table and the p-values, which hold all the
+    drawing, are used twice, so they are written to the checkpoint folder first.
     """
     ap = checkpoint(ap)
     scored = ap.where(F.col("ap").isNotNull())
@@ -319,7 +319,7 @@ def significance(ap: DataFrame, perturbation: str, null_size: int = NULL_SIZE, s
     maps = map_per_perturbation(ap, perturbation).join(null_map, perturbation)
     # compared at 12 digits, so that a null equal to the mAP does not beat it by the order of its sum
     above = F.size(F.filter("nulls", lambda x: F.round(x, 12) > F.round(F.col("mean_ap"), 12)))
-    p = maps.withColumn("p_value", (above + 1) / F.lit(null_size + 1)).drop("nulls")
+    p = checkpoint(maps.withColumn("p_value", (above + 1) / F.lit(null_size + 1)).drop("nulls"))
     return bh_adjust(p, "p_value").withColumns({
         "below_p": F.col("p_value") < threshold, "below_corrected_p": F.col("corrected_p_value") < threshold,
     })
